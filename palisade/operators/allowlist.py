@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palisade.functions.net import address, parse_cidr, prefix_key
+from palisade.functions.net import address, parse_cidr, prefix_key, unfolded
 
 NETWORK = ["organization_id", "family", "prefix", "network"]
 ANY_PORT = (0, 65536)
@@ -28,13 +28,12 @@ def rule_networks(rules: DataFrame) -> DataFrame:
     """Rule rows as (network, port_lo, port_hi); both targets of a rule count."""
     lo = F.coalesce("port_lo", F.lit(ANY_PORT[0])).cast("int").alias("port_lo")
     hi = F.coalesce("port_hi", F.lit(ANY_PORT[1])).cast("int").alias("port_hi")
-    ranges = (rules.withColumn("n", parse_cidr(F.col("ip_range"))).filter(F.col("n").isNotNull())
-              .select("organization_id", "n.*", lo, hi)
-              .filter(F.col("prefix") < F.when(F.col("family") == 4, 32).otherwise(128)))
-    single = (rules.withColumn("a", address(F.col("ip_address"))).filter(F.col("a").isNotNull())
-              .select("organization_id", F.col("a.family").alias("family"),
-                      F.when(F.col("a.family") == 4, 32).otherwise(128).alias("prefix"),
-                      F.col("a.key").alias("network"), lo, hi))
+    ranges = (unfolded(rules, parse_cidr(F.col("ip_range")))
+              .filter(F.col("prefix") < F.when(F.col("family") == 4, 32).otherwise(128))
+              .select(*NETWORK, lo, hi))
+    width = F.when(F.col("family") == 4, 32).otherwise(128)
+    single = (unfolded(rules, address(F.col("ip_address"))).filter(F.col("key").isNotNull())
+              .select("organization_id", "family", width.alias("prefix"), F.col("key").alias("network"), lo, hi))
     return ranges.unionByName(single).filter(F.col("port_lo") < F.col("port_hi"))
 
 
@@ -61,8 +60,7 @@ def allowed_destinations(targets: DataFrame, rules: DataFrame) -> DataFrame:
     networks = merged_ports(rule_networks(rules))
     # at most 33 + 129 prefixes per organisation
     prefixes = networks.groupBy("organization_id", "family").agg(F.collect_set("prefix").alias("prefixes"))
-    keyed = (targets.withColumn("a", address(F.col("destination_ip"))).filter(F.col("a").isNotNull())
-             .select("organization_id", "destination_ip", "dst_port", "a.*"))
+    keyed = unfolded(targets, address(F.col("destination_ip"))).filter(F.col("key").isNotNull())
     tried = (keyed.join(prefixes, ["organization_id", "family"])
              .withColumn("prefix", F.explode("prefixes"))
              .withColumn("network", prefix_key(F.col("key"), F.col("family"), F.col("prefix"))))

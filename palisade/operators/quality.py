@@ -173,27 +173,30 @@ def _in(column: str, words: str):
     return F.col(column).isin(*ALLOWED[words])
 
 
-# Rule name -> what every row must satisfy; a null outcome passes, as in SQL CHECK.
+# Rule name -> (columns it needs, what every row must satisfy); a null outcome passes, as in SQL CHECK.
 ROW_RULES = {
-    "organizations": {"license_after_creation": lambda: F.col("license_expires_at") > F.col("created_at")},
-    "users": {"role_allowed": lambda: _in("role", "role")},
-    "assets": {"status_allowed": lambda: _in("status", "asset_status")},
-    "known_threats": {"severity_allowed": lambda: _in("severity", "severity"),
-                      "source_allowed": lambda: _in("source", "threat_source")},
+    "organizations": {"license_after_creation": (
+        ["license_expires_at", "created_at"], lambda: F.col("license_expires_at") > F.col("created_at"))},
+    "users": {"role_allowed": (["role"], lambda: _in("role", "role"))},
+    "assets": {"status_allowed": (["status"], lambda: _in("status", "asset_status"))},
+    "known_threats": {
+        "severity_allowed": (["severity"], lambda: _in("severity", "severity")),
+        "source_allowed": (["source"], lambda: _in("source", "threat_source"))},
     "asset_vulnerabilities": {
-        "status_allowed": lambda: _in("status", "vulnerability_status"),
-        "confidence_range": lambda: F.col("detection_confidence").between(0, 1)},
+        "status_allowed": (["status"], lambda: _in("status", "vulnerability_status")),
+        "confidence_range": (["detection_confidence"], lambda: F.col("detection_confidence").between(0, 1))},
     "anomaly_detections": {
-        "type_allowed": lambda: _in("anomaly_type", "anomaly_type"),
-        "severity_allowed": lambda: _in("severity", "severity"),
-        "confidence_range": lambda: F.col("confidence_score").between(0, 1)},
+        "type_allowed": (["anomaly_type"], lambda: _in("anomaly_type", "anomaly_type")),
+        "severity_allowed": (["severity"], lambda: _in("severity", "severity")),
+        "confidence_range": (["confidence_score"], lambda: F.col("confidence_score").between(0, 1))},
     "remediation_tasks": {
-        "status_allowed": lambda: _in("status", "remediation_status"),
-        "has_source": lambda: F.col("vulnerability_id").isNotNull() | F.col("anomaly_id").isNotNull()},
+        "status_allowed": (["status"], lambda: _in("status", "remediation_status")),
+        "has_source": (["vulnerability_id", "anomaly_id"],
+                       lambda: F.col("vulnerability_id").isNotNull() | F.col("anomaly_id").isNotNull())},
     "network_allowlists": {
-        "has_target": lambda: F.col("ip_range").isNotNull() | F.col("ip_address").isNotNull()
-        | F.col("domain_pattern").isNotNull(),
-        "direction_allowed": lambda: _in("direction", "direction")},
+        "has_target": (["ip_range", "ip_address", "domain_pattern"],
+                       lambda: F.coalesce("ip_range", "ip_address", "domain_pattern").isNotNull()),
+        "direction_allowed": (["direction"], lambda: _in("direction", "direction"))},
 }
 UNIQUE_RULES = {
     "organizations": {"license_key_unique": (["license_key"], None)},
@@ -213,13 +216,9 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table, df in tables.items():
         rules = {}
-        for name, rule in ROW_RULES.get(table, {}).items():
-            condition = rule()
-            try:
-                df.select(condition)
-            except Exception:  # noqa: BLE001 - a column of the rule is absent
-                continue
-            rules[name] = F.count_if(~condition)
+        for name, (needs, condition) in ROW_RULES.get(table, {}).items():
+            if set(needs) <= set(df.columns):
+                rules[name] = F.count_if(~condition())
         if rules:
             counts = df.agg(F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("violations"))
                                       for n, v in rules.items()]).alias("r"))

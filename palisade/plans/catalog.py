@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from palisade.plans import feeds, learning, reads  # noqa: F401
+from palisade.plans import feeds, learning, reads, streams, workflow  # noqa: F401
 from palisade.plans.registry import CATALOG  # noqa: F401

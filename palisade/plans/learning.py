@@ -25,6 +25,13 @@ def event_features(t, window_seconds: int = 300) -> DataFrame:
     return feat.window_features(check_flows(t.flow_events, t.network_allowlists), window_seconds)
 
 
+def stored_features(t) -> DataFrame:
+    """Window features written once, for jobs that pass over them several times."""
+    path = scratch_dir(t.spark, "features")
+    feat.clean(event_features(t), "double").write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 RATES = ("packets_per_second", "bytes_per_second")
 
 
@@ -34,9 +41,9 @@ def rounded(df: DataFrame, columns, keep) -> DataFrame:
 
 def window_sql(seconds: int) -> str:
     return f"""
-WITH f AS (SELECT f.*, epoch_us(ts) AS at, epoch_us(ts) // {seconds}000000 * {seconds} AS ws, {ALLOWED_SQL} AS allowed
+WITH f AS (SELECT f.*, epoch_us(ts) AS us, epoch_us(ts) // {seconds}000000 * {seconds} AS ws, {ALLOWED_SQL} AS allowed
            FROM flow_events f),
-g AS (SELECT *, (at - lag(at) OVER (PARTITION BY organization_id, source_ip, destination_ip, ws ORDER BY at)) / 1e6 AS gap
+g AS (SELECT *, (us - lag(us) OVER (PARTITION BY organization_id, source_ip, destination_ip, ws ORDER BY us)) / 1e6 AS gap
       FROM f),
 h AS (SELECT organization_id, source_ip, destination_ip, ws, bytes, count(*) AS m FROM f GROUP BY ALL),
 e AS (SELECT organization_id, source_ip, destination_ip, ws, -sum(m / s * log2(m / s)) AS entropy FROM (
@@ -44,7 +51,7 @@ e AS (SELECT organization_id, source_ip, destination_ip, ws, -sum(m / s * log2(m
 w AS (SELECT organization_id, source_ip, destination_ip, ws, count(*) AS n, sum(bytes) AS b, avg(bytes) AS mean,
         stddev_pop(bytes) AS sd, avg(CAST(protocol = 6 AS INT)) AS tcp, avg(CAST(protocol = 17 AS INT)) AS udp,
         avg(CAST(protocol = 1 AS INT)) AS icmp, count(DISTINCT dst_port) AS ports, avg(CAST(dst_port > 1024 AS INT)) AS hi,
-        avg(CAST(failed AS INT)) AS bad, (max(at) - min(at)) / 1e6 AS span, coalesce(avg(gap), 0) AS idle,
+        avg(CAST(failed AS INT)) AS bad, (max(us) - min(us)) / 1e6 AS span, coalesce(avg(gap), 0) AS idle,
         coalesce(stddev_pop(gap), 0) AS gap_sd, max(CAST(NOT allowed AS INT)) AS na,
         max(CAST(dst_port NOT IN (22,23,25,53,80,110,143,443,445,465,587,993,995,1433,1521,3306,3389,5432,5900,6379,
             8080,8443,27017) AS INT)) AS odd
@@ -203,7 +210,7 @@ def _(t):
     root = scratch_dir(t.spark, "training")
     sinks.write_dataset(unified_dataset(t), f"{root}/unified")
     # a file that is no parquet must not stop the read
-    t.region.select(F.col("r_name").alias("value")).coalesce(1).write.text(f"{root}/broken")
+    t.region.select(F.col("r_name").alias("value")).coalesce(1).write.text(f"{root}/notes")
     return datasets.read_training_files(t.spark, root).agg(
         F.count("*").alias("n"), F.round(F.sum("mem_handles_nhandles"), 2).alias("handles"))
 
@@ -258,7 +265,8 @@ def _(t):
                     F.round("mean", 4).alias("mean"), "low", "high", "low_variance")
 
 
-@query("ml14_non_zero_features", """SELECT 19 AS non_zero""")
+@query("ml14_non_zero_features", f"""
+SELECT 17 + CAST(sum(header_repetition_score) > 0 AS INT) + CAST(sum(high_port_ratio) > 0 AS INT) AS non_zero FROM ({FULL_SQL})""")
 def _(t):
     return feat.non_zero_features(feat.clean(feat.map_traffic_full(traffic_rows(t).drop("Label")), "double"))
 
@@ -459,7 +467,7 @@ WITH {WINDOWS_SQL}
 SELECT 100 AS trees, CAST(100 * least(256, count(*)) AS BIGINT) AS sampled, CAST(100 * least(256, count(*)) AS BIGINT)
   AS in_leaves, TRUE AS depth_in_limit FROM w""")
 def _(t):
-    nodes = iso.grow_forests(event_features(t), KEY, SMALL)
+    nodes = iso.grow_forests(stored_features(t), KEY, SMALL)
     leaf = F.col("feature") < 0
     return nodes.agg(
         F.count_if(F.col("node_id") == 0).cast("int").alias("trees"),
@@ -470,10 +478,7 @@ def _(t):
 
 def trained(t):
     """A model fitted on the training part of the event windows, with both parts scored."""
-    rows = feat.clean(event_features(t), "double")
-    path = scratch_dir(t.spark, "features")
-    rows.write.parquet(path)
-    rows = t.spark.read.parquet(path)
+    rows = stored_features(t)
     train, val = iso.split_by_hash(rows, KEY)
     forest, nodes = iso.fit_forest(train, KEY, SMALL)
     return rows, train, val, forest, nodes
@@ -532,13 +537,13 @@ def model_rows(t) -> DataFrame:
 
 MODELS_SQL = f"""ages AS (SELECT organization_id, CASE WHEN organization_id % 3 = 1 THEN 10 ELSE 2 END AS age
    FROM organizations WHERE organization_id % 3 <> 0),
-models AS (SELECT organization_id, {EVENT_SQL} - INTERVAL 1 DAY * (age + extra) AS at, extra = 0 AS is_active
+models AS (SELECT organization_id, {EVENT_SQL} - INTERVAL 1 DAY * (age + extra) AS done, extra = 0 AS is_active
    FROM ages, (VALUES (0), (30)) x(extra))"""
 
 
 @query("wn2_active_models", f"""
 WITH {MODELS_SQL}
-SELECT organization_id, strftime(at, '%Y%m%d.%H%M%S') AS model_version, at AS activated_at FROM models WHERE is_active""")
+SELECT organization_id, strftime(done, '%Y%m%d.%H%M%S') AS model_version, done AS activated_at FROM models WHERE is_active""")
 def _(t):
     return reg.active_models(model_rows(t)).select("organization_id", "model_version", "activated_at")
 
@@ -547,8 +552,8 @@ def _(t):
 WITH {MODELS_SQL},
 s AS (SELECT organization_id, count(*) AS n, CAST(count(*) FILTER (WHERE is_false_positive) AS DOUBLE) / count(*) AS share
   FROM anomaly_detections WHERE detected_at > {EVENT_SQL} - INTERVAL 7 DAYS GROUP BY organization_id),
-r AS (SELECT o.organization_id, CASE WHEN m.at IS NULL THEN 'no_existing_model'
-   WHEN date_diff('day', m.at, {EVENT_SQL}) >= 7 THEN 'scheduled_interval (' || CAST(date_diff('day', m.at, {EVENT_SQL}) AS VARCHAR) || ' days)'
+r AS (SELECT o.organization_id, CASE WHEN m.done IS NULL THEN 'no_existing_model'
+   WHEN date_diff('day', m.done, {EVENT_SQL}) >= 7 THEN 'scheduled_interval (' || CAST(date_diff('day', m.done, {EVENT_SQL}) AS VARCHAR) || ' days)'
    WHEN s.n > 100 AND s.share > 0.1 THEN 'high_false_positive_rate (' || printf('%.2f', s.share * 100) || '%)'
    ELSE 'not_needed' END AS reason
  FROM organizations o LEFT JOIN (SELECT * FROM models WHERE is_active) m ON m.organization_id = o.organization_id
@@ -565,10 +570,10 @@ SELECT CAST(o.organization_id AS VARCHAR) AS model_key, 20 AS trees, CAST(20 * l
 FROM organizations o JOIN n ON n.organization_id = o.organization_id
 WHERE o.license_expires_at > {EVENT_SQL} AND o.features LIKE '%true%' AND n.n >= 30
   AND NOT EXISTS (SELECT 1 FROM models m WHERE m.organization_id = o.organization_id AND m.is_active
-                  AND date_diff('day', m.at, {EVENT_SQL}) < 7)""")
+                  AND date_diff('day', m.done, {EVENT_SQL}) < 7)""")
 def _(t):
     params = iso.ForestParams(trees=20, sample=128, min_rows=30)
-    _, nodes = reg.retrain(t.organizations, model_rows(t), t.anomaly_detections, event_features(t), KEY,
+    _, nodes = reg.retrain(t.organizations, model_rows(t), t.anomaly_detections, stored_features(t), KEY,
                            event_clock(), params)
     root = F.col("node_id") == 0
     return nodes.groupBy("model_key").agg(
@@ -577,7 +582,7 @@ def _(t):
 
 @query("upd4_ml16_activate_models", f"""
 WITH {MODELS_SQL}
-SELECT organization_id, strftime(at, '%Y%m%d.%H%M%S') AS model_version,
+SELECT organization_id, strftime(done, '%Y%m%d.%H%M%S') AS model_version,
        is_active AND organization_id % 3 <> 1 AS is_active,
        CASE WHEN is_active AND organization_id % 3 = 1 THEN {EVENT_SQL} END AS deactivated_at FROM models
 UNION ALL

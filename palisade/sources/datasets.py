@@ -20,10 +20,11 @@ def read_feature_csv(spark: SparkSession, path: str, columns=FEATURES) -> DataFr
     return df.select(*[F.col(c).try_cast("float").alias(c) for c in columns if c in df.columns])
 
 
-def read_training_files(spark: SparkSession, path: str) -> DataFrame:
+def read_training_files(spark: SparkSession, path: str, columns=FEATURES) -> DataFrame:
     """All readable parquet files below a folder; unreadable ones are skipped, none at all is an error."""
-    df = (spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-          .option("mergeSchema", False).parquet(path))
+    schema = ", ".join(f"`{c}` double" for c in columns)
+    df = (spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+          .option("ignoreCorruptFiles", True).parquet(path))
     if df.isEmpty():
         raise ValueError(f"no training data below {path}")
     return df
