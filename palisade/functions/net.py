@@ -3,15 +3,21 @@
 An address becomes a 32-hex-digit key, so ranges compare as strings and a
 prefix match is an equality on the masked key. IPv4 keys are zero-padded; the
 family is kept beside the key and always compared first.
+
+Arguments are SQL expressions (usually a column name). The formulas are long,
+so they are put together as SQL text and bound with ``let``: each value is
+computed once and the plan stays small.
 """
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-IPV4_SHAPE = rf"^{OCTET}(\.{OCTET}){{3}}$"
-IPV4_TAIL = rf"^(.*:)({OCTET}(\.{OCTET}){{3}})$"
+IPV4 = rf"{OCTET}(\.{OCTET}){{3}}"
+SITE_LOCAL_V4 = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.)"  # the three site-local blocks
 
 # Address blocks of the public special-purpose registries.
 PRIVATE_V4 = (
@@ -29,123 +35,96 @@ PUBLIC_V6 = (
 )
 LOOPBACK = ("127.0.0.0/8", "::1/128")
 MULTICAST = ("224.0.0.0/4", "ff00::/8")
-SITE_LOCAL_V4 = r"^(10\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.)"  # the three site-local blocks
-
-
-def _literal_range(cidr: str) -> tuple[int, str, str]:
-    import ipaddress
-
-    net = ipaddress.ip_network(cidr)
-    return net.version, f"{int(net[0]):032x}", f"{int(net[-1]):032x}"
-
-
-def ipv4_number(text: Column) -> Column:
-    """IPv4 text to bigint; anything else to null."""
-    part = F.split(text, r"\.")
-    value = F.lit(0).cast("bigint")
-    for i in range(4):
-        value = value * 256 + F.try_element_at(part, F.lit(i + 1)).try_cast("bigint")
-    return F.when(text.rlike(IPV4_SHAPE), value)
-
-
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
 
-def _spell_tail_in_hex(low: Column) -> Column:
-    """Rewrite a trailing dotted quad (``::ffff:1.2.3.4``) as two hex groups."""
-    def rewrite(quad: Column) -> Column:
-        digits = F.lpad(F.lower(F.hex(quad)), 8, "0")
-        return F.concat(F.regexp_extract(low, IPV4_TAIL, 1), F.substring(digits, 1, 4), F.lit(":"),
-                        F.substring(digits, 5, 4))
 
-    return F.when(low.rlike(IPV4_TAIL), _bind(ipv4_number(F.regexp_extract(low, IPV4_TAIL, 2)), rewrite)
-                  ).otherwise(low)
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _expand_halves(halves: Column) -> Column:
-    """The parts around ``::`` to eight unpadded groups; null when they cannot be."""
-    def groups(half: Column) -> Column:
-        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+def is_ipv4_sql(text: str) -> str:
+    return f"({text} rlike r'^{IPV4}$')"
 
-    def fill(pair: Column) -> Column:
-        gap = F.lit(8) - F.size(pair["head"]) - F.size(pair["rear"])
-        fits = F.when(F.size(halves) == 1, gap == 0).otherwise((F.size(halves) == 2) & (gap >= 1))
-        return F.when(fits, F.concat(pair["head"], F.array_repeat(F.lit("0"), gap), pair["rear"]))
 
-    return _bind(F.struct(
-        groups(F.try_element_at(halves, F.lit(1))).alias("head"),
-        groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit(""))).alias("rear")), fill)
+def ipv4_number_sql(text: str) -> str:
+    """IPv4 text to bigint; anything else to null."""
+    number = " + ".join(f"cast(q[{i}] as bigint) * {256 ** (3 - i)}" for i in range(4))
+    return f"if({is_ipv4_sql(text)}, {let('q', f"split({text}, '[.]')", number)}, null)"
 
 
-def ipv6_groups(text: Column) -> Column:
+def ipv6_groups_sql(text: str) -> str:
     """Eight hex groups without leading zeros, or null when the text is not IPv6."""
-    def check(full: Column) -> Column:
-        good = F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-        return F.when(good, F.transform(full, lambda g: F.regexp_replace(g, "^0{1,3}(?=.)", "")))
-
-    spelled = F.when(text.contains(":"), _bind(F.lower(text), _spell_tail_in_hex))
-    return _bind(_bind(F.split(spelled, "::"), _expand_halves), check)
-
-
-def address(text: Column) -> Column:
+    tail = rf"r'^(.*:)({IPV4})$'"
+    quad = ipv4_number_sql(f"regexp_extract(low, {tail}, 2)")
+    as_hex = let("digits", f"lpad(lower(hex({quad})), 8, '0')",
+                 f"concat(regexp_extract(low, {tail}, 1), substr(digits, 1, 4), ':', substr(digits, 5, 4))")
+    spelled = let("low", f"lower({text})", f"if(low rlike {tail}, {as_hex}, low)")
+    part = "if({h} = '', cast(array() as array<string>), split({h}, ':'))"
+    pair = (f"struct(size(halves) as n, {part.format(h='halves[0]')} as head, "
+            + part.format(h="coalesce(get(halves, 1), '')") + " as rear)")
+    filled = let("p", pair, """if(p.n = 1 and size(p.head) = 8 or p.n = 2 and size(p.head) + size(p.rear) <= 7,
+        concat(p.head, array_repeat('0', 8 - size(p.head) - size(p.rear)), p.rear), null)""")
+    full = let("halves", f"split({spelled}, '::')", filled)
+    checked = let("g8", full, "if(forall(g8, g -> g rlike '^[0-9a-f]{1,4}$'), "
+                              "transform(g8, g -> regexp_replace(g, '^0{1,3}(?=.)', '')), null)")
+    return f"if({text} like '%:%', {checked}, null)"
+
+
+def address_sql(text: str) -> str:
     """``struct(family, key)``; null when the text is no address."""
-    def six(groups: Column) -> Column:
-        return F.when(groups.isNotNull(), F.struct(
-            F.lit(6).alias("family"),
-            F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "").alias("key")))
+    four = f"struct(4 as family, lpad(lower(hex({ipv4_number_sql('a')})), 32, '0') as key)"
+    six = let("g6", ipv6_groups_sql("a"), "if(g6 is null, null, struct(6 as family, "
+                                          "array_join(transform(g6, g -> lpad(g, 4, '0')), '') as key))")
+    return let("a", text, f"if({is_ipv4_sql('a')}, {four}, {six})")
 
-    four = F.when(text.rlike(IPV4_SHAPE), F.struct(
-        F.lit(4).alias("family"), F.lpad(F.lower(F.hex(ipv4_number(text))), 32, "0").alias("key")))
-    return F.coalesce(four, _bind(ipv6_groups(text), six))
 
+def address(text: str) -> Column:
+    return F.expr(address_sql(text))
 
-def ip_family(text: Column) -> Column:
-    return address(text)["family"]
 
-
-def ip_key(text: Column) -> Column:
+def ip_key(text: str) -> Column:
     return address(text)["key"]
 
 
-def _compress(joined: Column) -> Column:
-    """``:a:b:...:h:`` to the shortest spelling: the first longest run of zero groups becomes ``::``."""
-    runs = [":" + "0:" * n for n in range(8, 1, -1)]
-    packed = F.coalesce(
-        *[F.when(joined.contains(z), F.regexp_replace(joined, f"^(.*?){z}", "$1::")) for z in runs], joined)
-    return F.regexp_replace(F.regexp_replace(packed, "^:(?!:)", ""), "(?<!:):$", "")
+def canonical_ip_sql(text: str) -> str:
+    """Shortest standard spelling: IPv4 unchanged, IPv6 lower-case with its longest zero run packed."""
+    packed = "coalesce({}, j)".format(", ".join(
+        "if(contains(j, '{z}'), regexp_replace(j, '^(.*?){z}', '$1::'), null)".format(z=":" + "0:" * n)
+        for n in range(8, 1, -1)))
+    trimmed = f"regexp_replace(regexp_replace({packed}, '^:(?!:)', ''), '(?<!:):$', '')"
+    six = let("j", f"concat(':', array_join({ipv6_groups_sql('c')}, ':'), ':')", trimmed)
+    return let("c", text, f"if({is_ipv4_sql('c')}, c, {six})")
 
 
-def canonical_ip(text: Column) -> Column:
-    """Shortest standard spelling: IPv4 unchanged, IPv6 lower-case and compressed."""
-    six = _bind(F.concat(F.lit(":"), F.array_join(ipv6_groups(text), ":"), F.lit(":")), _compress)
-    return F.when(text.rlike(IPV4_SHAPE), text).otherwise(six)
+def canonical_ip(text: str) -> Column:
+    return F.expr(canonical_ip_sql(text))
 
 
-def in_blocks(addr: Column, blocks) -> Column:
+def in_blocks_sql(addr: str, blocks) -> str:
     """Whether an ``address`` struct lies in one of the literal blocks."""
-    hit = F.lit(False)
+    tests = []
     for cidr in blocks:
-        version, low, high = _literal_range(cidr)
-        hit = hit | ((addr["family"] == version) & addr["key"].between(low, high))
-    return hit
+        net = ipaddress.ip_network(cidr)
+        tests.append(f"({addr}.family = {net.version} and {addr}.key between "
+                     f"'{int(net[0]):032x}' and '{int(net[-1]):032x}')")
+    return "(" + " or ".join(tests) + ")"
 
 
-def private_block(addr: Column) -> Column:
-    return in_blocks(addr, PRIVATE_V4 + PRIVATE_V6) & ~in_blocks(addr, PUBLIC_V4 + PUBLIC_V6)
+def private_sql(addr: str) -> str:
+    return (f"({in_blocks_sql(addr, PRIVATE_V4 + PRIVATE_V6)} and not "
+            f"{in_blocks_sql(addr, PUBLIC_V4 + PUBLIC_V6)})")
 
 
-def is_private(text: Column) -> Column:
-    return _bind(address(text), private_block)
+def is_private(text: str) -> Column:
+    return F.expr(let("s", address_sql(text), private_sql("s")))
 
 
-def is_loopback(text: Column) -> Column:
-    return _bind(address(text), lambda a: in_blocks(a, LOOPBACK))
+def is_loopback(text: str) -> Column:
+    return F.expr(let("s", address_sql(text), in_blocks_sql("s", LOOPBACK)))
 
 
-def is_multicast(text: Column) -> Column:
-    return _bind(address(text), lambda a: in_blocks(a, MULTICAST))
+def is_multicast(text: str) -> Column:
+    return F.expr(let("s", address_sql(text), in_blocks_sql("s", MULTICAST)))
 
 
 def is_site_local_v4(text: Column) -> Column:
@@ -162,45 +141,44 @@ def unfolded(df: DataFrame, struct: Column) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(struct)))
 
 
-def prefix_key(key: Column, family: Column, prefix: Column) -> Column:
+def prefix_key_sql(key: str, family: str, prefix: str) -> str:
     """The key with all bits beyond ``prefix`` cleared."""
-    keep = prefix + F.when(family == 4, 96).otherwise(0)
-    whole = F.floor(keep / 4).cast("int")
-    spare = (keep % 4).cast("int")
-    nibble = F.conv(F.substring(key, whole + 1, F.lit(1)), 16, 10).cast("int")
-    mask = F.element_at(F.array(*[F.lit(m) for m in (0, 8, 12, 14)]), spare + 1)
-    masked = F.lower(F.hex(nibble.bitwiseAND(mask).cast("bigint")))
-    body = F.substring(key, F.lit(1), whole)
-    return F.rpad(F.when(spare == 0, body).otherwise(F.concat(body, masked)), 32, "0")
+    keep = f"{prefix} + if({family} = 4, 96, 0)"
+    nibble = f"cast(conv(substr({key}, keep div 4 + 1, 1), 16, 10) as int) & element_at(array(0, 8, 12, 14), keep % 4 + 1)"
+    return let("keep", f"cast({keep} as int)",
+               f"rpad(concat(substr({key}, 1, cast(keep div 4 as int)), if(keep % 4 = 0, '', lower(hex({nibble})))), 32, '0')")
+
+
+def prefix_key(key: str, family: str, prefix: str) -> Column:
+    return F.expr(prefix_key_sql(key, family, prefix))
 
 
-def parse_cidr(text: Column) -> Column:
+def parse_cidr_sql(text: str) -> str:
     """``struct(family, prefix, network)``, host bits cleared; null when malformed."""
-    def build(parts: Column) -> Column:
-        addr, mask = parts["addr"], parts["mask"]
-        width = F.when(addr["family"] == 4, 32).otherwise(128)
-        inverted = F.lit(0xFFFFFFFF) - ipv4_number(mask)
-        dotted = F.when((addr["family"] == 4) & (inverted.bitwiseAND(inverted + 1) == 0),
-                        F.lit(32) - F.bit_count(inverted))
-        digits = F.when(mask.rlike(r"^\d{1,3}$"), mask.try_cast("int"))
-        prefix = F.when(mask.isNull(), width).otherwise(F.coalesce(digits, dotted)).cast("int")
-        valid = addr.isNotNull() & (parts["n"] <= 2) & prefix.between(0, width)
-        return F.when(valid, F.struct(
-            addr["family"].alias("family"), prefix.alias("prefix"),
-            prefix_key(addr["key"], addr["family"], prefix).alias("network")))
-
-    pieces = F.split(text, "/")
-    return _bind(F.struct(address(pieces[0]).alias("addr"), F.try_element_at(pieces, F.lit(2)).alias("mask"),
-                          F.size(pieces).alias("n")), build)
-
-
-def address_count(family: Column, prefix: Column) -> Column:
-    """Number of addresses in a block, as a double (IPv6 blocks exceed bigint)."""
-    return F.pow(F.lit(2.0), F.when(family == 4, 32).otherwise(128) - prefix)
-
-
-def key_to_ip(key: Column, family: Column) -> Column:
-    number = F.conv(F.substring(key, 25, 8), 16, 10).cast("bigint")
-    v4 = F.concat_ws(".", *[F.shiftright(number, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
-    groups = F.array(*[F.substring(key, 1 + 4 * i, 4) for i in range(8)])
-    return F.when(family == 4, v4).otherwise(canonical_ip(F.array_join(groups, ":")))
+    inverted = f"4294967295 - {ipv4_number_sql('m.mask')}"
+    dotted = let("inv", inverted, "if(m.addr.family = 4 and (inv & (inv + 1)) = 0, 32 - bit_count(inv), null)")
+    width = "if(m.addr.family = 4, 32, 128)"
+    prefix = (f"cast(case when m.mask is null then {width} when m.mask rlike '^[0-9]{{1,3}}$' then "
+              f"try_cast(m.mask as int) else {dotted} end as int)")
+    net = let("px", prefix, f"if(m.addr is not null and m.n <= 2 and px between 0 and {width}, struct("
+                            f"m.addr.family as family, px as prefix, "
+                            f"{prefix_key_sql('m.addr.key', 'm.addr.family', 'px')} as network), null)")
+    parts = f"struct({address_sql('pieces[0]')} as addr, get(pieces, 1) as mask, size(pieces) as n)"
+    body = let("pieces", f"split({text}, '/')", let("m", parts, net))
+    return f"if({text} is null, null, {body})"
+
+
+def parse_cidr(text: str) -> Column:
+    return F.expr(parse_cidr_sql(text))
+
+
+def key_to_ip_sql(key: str, family: str) -> str:
+    octets = ", ".join(f"cast(shiftright(num, {s}) & 255 as string)" for s in (24, 16, 8, 0))
+    four = let("num", f"cast(conv(substr({key}, 25, 8), 16, 10) as bigint)", f"concat_ws('.', {octets})")
+    groups = ", ".join(f"substr({key}, {1 + 4 * i}, 4)" for i in range(8))
+    six = canonical_ip_sql(f"concat_ws(':', {groups})")
+    return f"if({family} = 4, {four}, {six})"
+
+
+def render_cidr_sql(net: str) -> str:
+    return f"concat({key_to_ip_sql(net + '.network', net + '.family')}, '/', cast({net}.prefix as string))"

@@ -28,11 +28,11 @@ def rule_networks(rules: DataFrame) -> DataFrame:
     """Rule rows as (network, port_lo, port_hi); both targets of a rule count."""
     lo = F.coalesce("port_lo", F.lit(ANY_PORT[0])).cast("int").alias("port_lo")
     hi = F.coalesce("port_hi", F.lit(ANY_PORT[1])).cast("int").alias("port_hi")
-    ranges = (unfolded(rules, parse_cidr(F.col("ip_range")))
+    ranges = (unfolded(rules, parse_cidr("ip_range"))
               .filter(F.col("prefix") < F.when(F.col("family") == 4, 32).otherwise(128))
               .select(*NETWORK, lo, hi))
     width = F.when(F.col("family") == 4, 32).otherwise(128)
-    single = (unfolded(rules, address(F.col("ip_address"))).filter(F.col("key").isNotNull())
+    single = (unfolded(rules, address("ip_address")).filter(F.col("key").isNotNull())
               .select("organization_id", "family", width.alias("prefix"), F.col("key").alias("network"), lo, hi))
     return ranges.unionByName(single).filter(F.col("port_lo") < F.col("port_hi"))
 
@@ -60,10 +60,10 @@ def allowed_destinations(targets: DataFrame, rules: DataFrame) -> DataFrame:
     networks = merged_ports(rule_networks(rules))
     # at most 33 + 129 prefixes per organisation
     prefixes = networks.groupBy("organization_id", "family").agg(F.collect_set("prefix").alias("prefixes"))
-    keyed = unfolded(targets, address(F.col("destination_ip"))).filter(F.col("key").isNotNull())
+    keyed = unfolded(targets, address("destination_ip")).filter(F.col("key").isNotNull())
     tried = (keyed.join(prefixes, ["organization_id", "family"])
              .withColumn("prefix", F.explode("prefixes"))
-             .withColumn("network", prefix_key(F.col("key"), F.col("family"), F.col("prefix"))))
+             .withColumn("network", prefix_key("key", "family", "prefix")))
     fits = F.col("dst_port").isNull() | F.exists(
         "ports", lambda p: (F.col("dst_port") >= p["lo"]) & (F.col("dst_port") < p["hi"]))
     return (tried.join(networks, NETWORK).filter(fits)

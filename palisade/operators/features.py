@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.net import is_site_local_v4
 from palisade.functions.software import SERVER_PORTS
+from palisade.operators.allowlist import allowed_destinations
 from palisade.schemas import FEATURES, MEMORY_FEATURES
 
 PAIR = ["organization_id", "source_ip", "destination_ip"]
 HIGH_PORT = 1024
+NO_PORT = -1
 MICROS = "decimal(13,0)"  # microseconds within a window, up to 115 days
 
 
@@ -139,7 +141,6 @@ def _prepare(events: DataFrame, window_seconds: int) -> DataFrame:
         optional("payload_bytes", F.col("bytes")).cast("double").alias("payload"), "protocol", "failed",
         optional("syn", F.lit(False)).alias("syn"), F.col("dst_port").cast("int").alias("dst_port"),
         optional("src_port", F.lit(None)).cast("int").alias("src_port"),
-        optional("allowed", F.lit(True)).alias("allowed"),
     ).withColumn("window_start", F.floor(F.col("at") / (window_seconds * 1000000)) * window_seconds)
 
 
@@ -160,7 +161,6 @@ def _slice_stats(rows: DataFrame, slice_micros: int) -> DataFrame:
         F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"),
         F.count_if(F.col("protocol") == 1).alias("icmp"), F.count_if("failed").alias("failed"),
         F.count_if("syn").alias("syn"), F.count_if(F.col("dst_port") > HIGH_PORT).alias("high"),
-        F.max(F.when(~F.col("allowed"), 1.0).otherwise(0.0)).alias("not_allowed"),
         F.max(F.when(standard, 0.0).otherwise(1.0)).alias("odd_port"),
         F.min("at").alias("first_at"), F.max("at").alias("last_at"),
         F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gap_sq"))
@@ -174,39 +174,56 @@ def _window_stats(slices: DataFrame) -> DataFrame:
     sums = ["n", "bytes", "payload", "bytes_sq", "tcp", "udp", "icmp", "failed", "syn", "high"]
     return slices.withColumn("jump", jump).groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
-        F.max("not_allowed").alias("not_allowed"), F.max("odd_port").alias("odd_port"),
+        F.max("odd_port").alias("odd_port"),
         F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
         F.sum(F.col("gap_sq") + F.coalesce(F.col("jump") * F.col("jump"), F.lit(0))).alias("gap_sq"))
 
 
-def _variety(rows: DataFrame) -> DataFrame:
-    """Distinct ports and payload entropy from one long-form count."""
+def _variety(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Distinct ports, payload entropy and refused destinations from one long-form count.
+
+    ``allowed`` meets the counts, not the events: one row per pair, window and port.
+    """
     keys = PAIR + ["window_start"]
+    port = F.coalesce(F.col("dst_port"), F.lit(NO_PORT)).cast("double")
     long = rows.select(*keys, F.explode(F.array(
-        F.struct(F.lit("d").alias("kind"), F.col("dst_port").cast("double").alias("value")),
+        F.struct(F.lit("d").alias("kind"), port.alias("value")),
         F.struct(F.lit("s").alias("kind"), F.col("src_port").cast("double").alias("value")),
         F.struct(F.lit("p").alias("kind"), F.col("payload").alias("value")))).alias("x")).select(*keys, "x.*")
     counts = long.filter(F.col("value").isNotNull()).groupBy(*keys, "kind", "value").agg(F.count("*").alias("m"))
+    refused = F.lit(False)
+    if allowed is not None:
+        known = allowed.select("organization_id", "destination_ip", F.lit("d").alias("kind"),
+                               port.alias("value"), F.lit(True).alias("ok"))
+        counts = counts.join(known, ["organization_id", "destination_ip", "kind", "value"], "left")
+        refused = (F.col("kind") == "d") & F.col("ok").isNull()
     payload = F.col("kind") == "p"
     total = F.sum(F.when(payload, F.col("m")))
     return counts.groupBy(*keys).agg(
-        F.count_if(F.col("kind") == "d").alias("dst_ports"), F.count_if(F.col("kind") == "s").alias("src_ports"),
+        F.count_if((F.col("kind") == "d") & (F.col("value") != NO_PORT)).alias("dst_ports"),
+        F.count_if(F.col("kind") == "s").alias("src_ports"),
+        F.max(_indicator(refused)).alias("not_allowed"),
         (F.log2(total) - F.sum(F.when(payload, F.col("m") * F.log2("m"))) / total).alias("entropy"))
 
 
-def window_features(events: DataFrame, window_seconds: int = 300, slice_seconds: float = 1.0) -> DataFrame:
+def window_features(events: DataFrame, rules: DataFrame | None = None, window_seconds: int = 300,
+                    slice_seconds: float = 1.0) -> DataFrame:
     """Network features per (organisation, source, destination, window).
 
     ``events``: organization_id, source_ip, destination_ip, ts, bytes, protocol,
-    failed, dst_port; optional payload_bytes, src_port, syn, allowed. Memory
-    features are zero.
+    failed, dst_port; optional payload_bytes, src_port, syn. ``rules`` are usable
+    allowlist rules; without them nothing counts as refused. Memory features are
+    zero.
     """
     rows = _prepare(events, window_seconds)
+    allowed = None
+    if rules is not None:
+        allowed = allowed_destinations(events.select("organization_id", "destination_ip", "dst_port").distinct(), rules)
     keys = PAIR + ["window_start"]
     stats = _window_stats(_slice_stats(rows, int(slice_seconds * 1000000)))
     back = stats.select("organization_id", F.col("destination_ip").alias("source_ip"),
                         F.col("source_ip").alias("destination_ip"), "window_start", F.col("n").alias("back"))
-    joined = stats.join(_variety(rows), keys).join(back, keys, "left")
+    joined = stats.join(_variety(rows, allowed), keys).join(back, keys, "left")
     n, seconds = F.col("n"), F.lit(float(window_seconds))
     rate = n / seconds
     span = (F.col("last_at") - F.col("first_at")) / 1e6

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.functions.net import (LOOPBACK, MULTICAST, address, address_count, canonical_ip, in_blocks, key_to_ip,
-                                    parse_cidr, private_block)
+from palisade.functions.net import (LOOPBACK, MULTICAST, address_sql, canonical_ip, in_blocks_sql, let, parse_cidr_sql,
+                                    private_sql, render_cidr_sql)
 from palisade.functions.text import nfkc
 from palisade.schemas import ALLOWED
 
@@ -56,56 +56,47 @@ def stripped(text: Column) -> Column:
 
 # --- validators: each gives (normalised value, reason or null) ------------------------------
 
-def check_ip(text: Column, allow_private: bool = True) -> tuple[Column, Column]:
-    def verdict(addr: Column) -> Column:
-        reason = F.when(addr.isNull(), "invalid_ip")
-        if not allow_private:
-            reason = reason.when(private_block(addr), "private_ip")
-        return reason.when(in_blocks(addr, LOOPBACK), "loopback_ip").when(in_blocks(addr, MULTICAST), "multicast_ip")
+def check_ip(column: str, allow_private: bool = True) -> tuple[Column, Column]:
+    private = "" if allow_private else f"when {private_sql('s')} then 'private_ip'"
+    verdict = f"""case when s is null then 'invalid_ip' {private} when {in_blocks_sql('s', LOOPBACK)} then 'loopback_ip'
+        when {in_blocks_sql('s', MULTICAST)} then 'multicast_ip' end"""
+    return canonical_ip(column), F.expr(let("s", address_sql(column), verdict))
 
-    return canonical_ip(text), F.element_at(F.transform(F.array(address(text)), verdict), 1)
 
+def check_cidr(column: str, max_hosts: int | None = None) -> tuple[Column, Column]:
+    limit = "" if not max_hosts else (
+        f"when pow(2.0D, if(net.family = 4, 32, 128) - net.prefix) > {int(max_hosts)} then 'range_too_large'")
+    verdict = f"case when net is null then 'invalid_cidr' {limit} end"
+    net = parse_cidr_sql(column)
+    return F.expr(let("net", net, render_cidr_sql("net"))), F.expr(let("net", net, verdict))
 
-def check_cidr(text: Column, max_hosts: int | None = None) -> tuple[Column, Column]:
-    def render(net: Column) -> Column:
-        return F.concat(key_to_ip(net["network"], net["family"]), F.lit("/"), net["prefix"].cast("string"))
 
-    def verdict(net: Column) -> Column:
-        reason = F.when(net.isNull(), "invalid_cidr")
-        if max_hosts:
-            reason = reason.when(address_count(net["family"], net["prefix"]) > max_hosts, "range_too_large")
-        return reason
-
-    net = F.array(parse_cidr(text))
-    return F.element_at(F.transform(net, render), 1), F.element_at(F.transform(net, verdict), 1)
-
-
-def check_port(text: Column) -> tuple[Column, Column]:
-    digits = stripped(text.cast("string"))
+def check_port(column: str) -> tuple[Column, Column]:
+    digits = stripped(F.col(column).cast("string"))
     value = F.when(digits.rlike(r"^[+-]?\d+$"), digits.try_cast("decimal(38,0)"))
     reason = F.when(value.isNull(), "invalid_port").when(~value.between(1, 65535), "port_out_of_range")
     return value.try_cast("int"), reason
 
 
-def check_email(text: Column) -> tuple[Column, Column]:
-    value = F.lower(stripped(text))
+def check_email(column: str) -> tuple[Column, Column]:
+    value = F.lower(stripped(F.col(column)))
     return value, (F.when(~F.coalesce(value.rlike(EMAIL), F.lit(False)), "invalid_email")
                    .when(F.length(value) > MAX_NAME, "email_too_long"))
 
 
-def check_hostname(text: Column) -> tuple[Column, Column]:
-    value = F.lower(stripped(text))
+def check_hostname(column: str) -> tuple[Column, Column]:
+    value = F.lower(stripped(F.col(column)))
     return value, F.when(~F.coalesce(value.rlike(HOSTNAME), F.lit(False)), "invalid_hostname")
 
 
-def check_uuid(text: Column) -> tuple[Column, Column]:
-    bare = F.lower(F.regexp_replace(F.regexp_replace(text, "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", ""))
+def check_uuid(column: str) -> tuple[Column, Column]:
+    bare = F.lower(F.regexp_replace(F.regexp_replace(F.col(column), "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", ""))
     value = F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return value, F.when(~F.coalesce(bare.rlike("^[0-9a-f]{32}$"), F.lit(False)), "invalid_uuid")
 
 
-def check_cve(text: Column) -> tuple[Column, Column]:
-    value = F.upper(stripped(text))
+def check_cve(column: str) -> tuple[Column, Column]:
+    value = F.upper(stripped(F.col(column)))
     return value, F.when(~F.coalesce(value.rlike(CVE_ID), F.lit(False)), "invalid_cve")
 
 
@@ -118,7 +109,7 @@ def validate(df: DataFrame, rules: dict[str, tuple[str, dict]]) -> tuple[DataFra
 
     ``rules`` maps a column to (kind, options).
     """
-    checked = {c: CHECKS[kind](F.col(c), **options) for c, (kind, options) in rules.items()}
+    checked = {c: CHECKS[kind](c, **options) for c, (kind, options) in rules.items()}
     rows = df.select(
         "*", F.array_compact(F.array(*[
             F.when(reason.isNotNull(), F.concat(F.lit(f"{c}:"), reason)) for c, (_, reason) in checked.items()

@@ -486,9 +486,9 @@ SELECT f.event_id, lower(lpad(to_hex({DST}), 32, '0')) AS ip_key, f.destination_
        lower(lpad(to_hex({DST} // 65536 * 65536), 32, '0')) AS network, 16 AS prefix
 FROM flow_events f""")
 def _(t):
-    rows = t.flow_events.withColumn("c", parse_cidr(F.concat("destination_ip", F.lit("/16"))))
-    return rows.select("event_id", address(F.col("destination_ip"))["key"].alias("ip_key"),
-                       canonical_ip(F.col("destination_ip")).alias("canonical"), "c.network", "c.prefix")
+    rows = t.flow_events.withColumn("c", parse_cidr("concat(destination_ip, '/16')"))
+    return rows.select("event_id", address("destination_ip")["key"].alias("ip_key"),
+                       canonical_ip("destination_ip").alias("canonical"), "c.network", "c.prefix")
 
 
 @query("fn7_template_render", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade.functions.parsing import model_version
 from palisade.operators import detectors, features as feat, forest as iso, models as reg
-from palisade.operators.allowlist import check_flows
+from palisade.operators.allowlist import usable_rules
 from palisade.operators.quantiles import order_statistic, quantile
 from palisade.plans.feeds import ALLOWED_SQL
 from palisade.plans.reads import EVENT_SQL, event_clock
@@ -22,7 +22,8 @@ WIDE = 30 * 86400
 
 def event_features(t, window_seconds: int = 300) -> DataFrame:
     """Window features of all flow events, destinations checked against the rules."""
-    return feat.window_features(check_flows(t.flow_events, t.network_allowlists), window_seconds)
+    rules = usable_rules(t.network_allowlists, None, "outbound")
+    return feat.window_features(t.flow_events, rules, window_seconds)
 
 
 def stored_features(t) -> DataFrame:
