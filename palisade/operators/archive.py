@@ -34,6 +34,7 @@ def write_archive(batch: DataFrame, path: str) -> None:
     at = F.col("created_at")
     (batch.withColumn("org", F.col("organization_id")).withColumn("y", F.date_format(at, "yyyy"))
      .withColumn("m", F.date_format(at, "MM")).withColumn("d", F.date_format(at, "dd"))
+     .repartition("org")  # a batch holds a bounded number of rows per organisation: few files, no hot task
      .write.mode("append").partitionBy("org", "y", "m", "d").option("compression", "gzip").json(path))
 
 

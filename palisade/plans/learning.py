@@ -36,8 +36,17 @@ def stored_features(t) -> DataFrame:
 RATES = ("packets_per_second", "bytes_per_second")
 
 
+TIMES = ("flow_idle_time", "packet_interval_std")
+
+
+def steady(x: str) -> str:
+    """Cut to milliseconds off any tie, so both engines cut alike (times are whole or half microseconds)."""
+    return f"floor({x} * 1e3 + 0.1234567) / 1e3"
+
+
 def rounded(df: DataFrame, columns, keep) -> DataFrame:
-    return df.select(*keep, *[F.round(c, 9 if c in RATES else 6).alias(c) for c in columns])
+    return df.select(*keep, *[
+        F.expr(steady(c)).alias(c) if c in TIMES else F.round(c, 9 if c in RATES else 6).alias(c) for c in columns])
 
 
 def window_sql(seconds: int) -> str:
@@ -62,11 +71,11 @@ SELECT w.organization_id, w.source_ip, w.destination_ip, make_timestamp(w.ws * 1
   round(mean, 6) AS avg_packet_size, round(tcp, 6) AS tcp_ratio, round(udp, 6) AS udp_ratio, round(icmp, 6) AS icmp_ratio,
   CAST(ports AS DOUBLE) AS unique_dst_ports, 0.0::DOUBLE AS unique_src_ports, round(hi, 6) AS high_port_ratio,
   CAST(n AS DOUBLE) AS connection_count, round(bad, 6) AS failed_connection_ratio, 0.0::DOUBLE AS syn_flood_score,
-  round(span, 6) AS flow_duration, round(idle, 6) AS flow_idle_time,
+  round(span, 6) AS flow_duration, {steady("idle")} AS flow_idle_time,
   round((coalesce((SELECT x.n FROM w x WHERE x.organization_id = w.organization_id AND x.source_ip = w.destination_ip
       AND x.destination_ip = w.source_ip AND x.ws = w.ws), 0) + 1) / (n + 1), 6) AS bidirectional_ratio,
   round(abs(entropy), 6) AS payload_entropy, round(mean, 6) AS avg_payload_size,
-  round(1 - sd / (mean + 1), 6) AS header_repetition_score, round(gap_sd, 6) AS packet_interval_std,
+  round(1 - sd / (mean + 1), 6) AS header_repetition_score, {steady("gap_sd")} AS packet_interval_std,
   CAST(w.destination_ip LIKE '203.%' AS INT)::DOUBLE AS is_outbound, CAST(na AS DOUBLE) AS is_non_allowlisted,
   CAST(odd AS DOUBLE) AS uses_non_standard_port
 FROM w JOIN e USING (organization_id, source_ip, destination_ip, ws)"""

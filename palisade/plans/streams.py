@@ -60,8 +60,7 @@ def _(t):
 WITH g AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 * 86400 AS ws FROM flow_events),
 s AS (SELECT organization_id, source_ip, destination_ip, ws, us - lag(us) OVER (
    PARTITION BY organization_id, source_ip, destination_ip, ws ORDER BY us) AS gap FROM g
-   WHERE us // 1000 + 1 <= {CLOSED} // 1000
-   AND us // 60000000 NOT IN (SELECT us // 60000000 FROM g WHERE us // 1000 + 1 > {CLOSED} // 1000))
+   WHERE (us // 1000000 + 1) * 1000000 <= {CLOSED})
 SELECT organization_id, source_ip, destination_ip, make_timestamp(ws * 1000000) AS window_start,
   round(coalesce(stddev_pop(gap / 1e6), 0), 3) AS packet_interval_std
 FROM s GROUP BY ALL""")
