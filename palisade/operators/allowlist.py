@@ -2,9 +2,9 @@
 
 A range rule allows addresses strictly inside it, so a range of one address
 allows nothing. Rules are reduced to one row per (organisation, family, prefix,
-network) holding sorted disjoint port intervals; flows are reduced to distinct
-(organisation, destination, port) before they meet the rules in an equality
-join on the masked key. Only prefixes that an organisation uses are tried.
+network) holding disjoint port intervals; flows are reduced to distinct
+(organisation, destination) before they meet the rules in an equality join on
+the masked key. Only prefixes that an organisation uses are tried.
 """
 
 from __future__ import annotations
@@ -52,33 +52,33 @@ def merged_ports(networks: DataFrame) -> DataFrame:
     return spans.groupBy(*NETWORK).agg(F.collect_list(F.struct("lo", "hi")).alias("ports"))
 
 
-def allowed_destinations(targets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The (organization_id, destination_ip, dst_port) of ``targets`` that some rule allows.
+def destination_ports(destinations: DataFrame, rules: DataFrame) -> DataFrame:
+    """The ports allowed for each destination some rule covers: (organization_id, destination_ip, ports).
 
-    ``targets`` must be distinct; ``rules`` comes from ``usable_rules``.
+    ``destinations`` must be distinct; ``rules`` comes from ``usable_rules``.
     """
     networks = merged_ports(rule_networks(rules))
     # at most 33 + 129 prefixes per organisation
     prefixes = networks.groupBy("organization_id", "family").agg(F.collect_set("prefix").alias("prefixes"))
-    keyed = unfolded(targets, address("destination_ip")).filter(F.col("key").isNotNull())
+    keyed = unfolded(destinations, address("destination_ip")).filter(F.col("key").isNotNull())
     tried = (keyed.join(prefixes, ["organization_id", "family"])
              .withColumn("prefix", F.explode("prefixes"))
              .withColumn("network", prefix_key("key", "family", "prefix")))
-    fits = F.col("dst_port").isNull() | F.exists(
-        "ports", lambda p: (F.col("dst_port") >= p["lo"]) & (F.col("dst_port") < p["hi"]))
-    return (tried.join(networks, NETWORK).filter(fits)
-            .select("organization_id", "destination_ip", "dst_port").distinct())
+    # a destination lies in one network per prefix, so its list is as bounded as theirs
+    return (tried.join(networks, NETWORK).groupBy("organization_id", "destination_ip")
+            .agg(F.flatten(F.collect_list("ports")).alias("ports")))
+
+
+def port_allowed(port: Column, ports: Column) -> Column:
+    """Whether a destination's intervals cover the port; without a port any rule will do."""
+    inside = F.exists(ports, lambda p: (port >= p["lo"]) & (port < p["hi"]))
+    return F.coalesce(ports.isNotNull() & (port.isNull() | inside), F.lit(False))
 
 
 def check_flows(flows: DataFrame, rules: DataFrame, as_of: Column | None = None,
                 direction: str = "outbound") -> DataFrame:
     """``flows`` plus ``allowed``."""
-    keys = ["organization_id", "destination_ip", "dst_port"]
-    targets = flows.select(*keys).distinct()
-    allowed = allowed_destinations(targets, usable_rules(rules, as_of, direction))
-    ok = allowed.select(F.col("organization_id").alias("__o"), F.col("destination_ip").alias("__d"),
-                        F.col("dst_port").alias("__p"), F.lit(True).alias("__ok"))
-    same = ((F.col("organization_id") == F.col("__o")) & (F.col("destination_ip") == F.col("__d"))
-            & F.col("dst_port").eqNullSafe(F.col("__p")))
-    return (flows.join(ok, same, "left").withColumn("allowed", F.col("__ok").isNotNull())
-            .drop("__o", "__d", "__p", "__ok"))
+    keys = ["organization_id", "destination_ip"]
+    ports = destination_ports(flows.select(*keys).distinct(), usable_rules(rules, as_of, direction))
+    return (flows.join(ports, keys, "left")
+            .withColumn("allowed", port_allowed(F.col("dst_port"), F.col("ports"))).drop("ports"))

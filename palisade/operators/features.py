@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.net import is_site_local_v4
 from palisade.functions.software import SERVER_PORTS
-from palisade.operators.allowlist import allowed_destinations
+from palisade.operators.allowlist import destination_ports, port_allowed
 from palisade.schemas import FEATURES, MEMORY_FEATURES
 
 PAIR = ["organization_id", "source_ip", "destination_ip"]
@@ -179,10 +179,10 @@ def _window_stats(slices: DataFrame) -> DataFrame:
         F.sum(F.col("gap_sq") + F.coalesce(F.col("jump") * F.col("jump"), F.lit(0))).alias("gap_sq"))
 
 
-def _variety(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+def _variety(rows: DataFrame, ports: DataFrame | None) -> DataFrame:
     """Distinct ports, payload entropy and refused destinations from one long-form count.
 
-    ``allowed`` meets the counts, not the events: one row per pair, window and port.
+    The allowed ``ports`` meet the counts, not the events: one row per pair, window and port.
     """
     keys = PAIR + ["window_start"]
     port = F.coalesce(F.col("dst_port"), F.lit(NO_PORT)).cast("double")
@@ -192,11 +192,10 @@ def _variety(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
         F.struct(F.lit("p").alias("kind"), F.col("payload").alias("value")))).alias("x")).select(*keys, "x.*")
     counts = long.filter(F.col("value").isNotNull()).groupBy(*keys, "kind", "value").agg(F.count("*").alias("m"))
     refused = F.lit(False)
-    if allowed is not None:
-        known = allowed.select("organization_id", "destination_ip", F.lit("d").alias("kind"),
-                               port.alias("value"), F.lit(True).alias("ok"))
-        counts = counts.join(known, ["organization_id", "destination_ip", "kind", "value"], "left")
-        refused = (F.col("kind") == "d") & F.col("ok").isNull()
+    if ports is not None:
+        counts = counts.join(ports, ["organization_id", "destination_ip"], "left")
+        number = F.when(F.col("value") != NO_PORT, F.col("value"))
+        refused = (F.col("kind") == "d") & ~port_allowed(number, F.col("ports"))
     payload = F.col("kind") == "p"
     total = F.sum(F.when(payload, F.col("m")))
     return counts.groupBy(*keys).agg(
@@ -216,14 +215,14 @@ def window_features(events: DataFrame, rules: DataFrame | None = None, window_se
     zero.
     """
     rows = _prepare(events, window_seconds)
-    allowed = None
+    ports = None
     if rules is not None:
-        allowed = allowed_destinations(events.select("organization_id", "destination_ip", "dst_port").distinct(), rules)
+        ports = destination_ports(events.select("organization_id", "destination_ip").distinct(), rules)
     keys = PAIR + ["window_start"]
     stats = _window_stats(_slice_stats(rows, int(slice_seconds * 1000000)))
     back = stats.select("organization_id", F.col("destination_ip").alias("source_ip"),
                         F.col("source_ip").alias("destination_ip"), "window_start", F.col("n").alias("back"))
-    joined = stats.join(_variety(rows, allowed), keys).join(back, keys, "left")
+    joined = stats.join(_variety(rows, ports), keys).join(back, keys, "left")
     n, seconds = F.col("n"), F.lit(float(window_seconds))
     rate = n / seconds
     span = (F.col("last_at") - F.col("first_at")) / 1e6

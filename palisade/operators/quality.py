@@ -43,6 +43,11 @@ PATH_PATTERNS = (
     r"%2e%2e",
     r"\.\.%2f",
 )
+# A literal every match of the pattern contains: most texts lack it, and looking for it is cheap.
+SQL_LITERALS = ("=", "union", "drop", "delete", "insert", "update", "--", "/*", "drop", "xp_cmdshell")
+SCRIPT_LITERALS = ("<script", "javascript:", "=", "<iframe", "<object", "<embed")
+PATH_LITERALS = ("../", "..\\", "%2e", "..%2f")
+LITERALS = {"sql": SQL_LITERALS, "script": SCRIPT_LITERALS, "path": PATH_LITERALS}
 # One comparison is enough after OR/AND in the strict variant.
 STRICT_FIRST = r"(\bOR\b|\bAND\b)\s+\S.*?="
 FAMILIES = {"sql": SQL_PATTERNS, "script": SCRIPT_PATTERNS, "path": PATH_PATTERNS}
@@ -124,12 +129,14 @@ def validate(df: DataFrame, rules: dict[str, tuple[str, dict]]) -> tuple[DataFra
 def injection_hits(df: DataFrame, key: str, columns: list[str], families=("sql", "script"),
                    strict: bool = False) -> DataFrame:
     """One row per (key, column, pattern) found; every text is read once, whole."""
-    patterns = [(f, STRICT_FIRST if strict and f == "sql" and i == 0 else p)
-                for f in families for i, p in enumerate(FAMILIES[f])]
-    found = [F.when(F.col(c).rlike(FLAGS + p), F.struct(
+    patterns = [(f, literal, STRICT_FIRST if strict and f == "sql" and i == 0 else p)
+                for f in families for i, (p, literal) in enumerate(zip(FAMILIES[f], LITERALS[f]))]
+    # folding up and then down also brings the odd letters (long s, Kelvin sign) to their plain form
+    folded = df.select(key, *columns, *[F.lower(F.upper(c)).alias(f"__{c}") for c in columns])
+    found = [F.when(F.col(f"__{c}").contains(literal) & F.col(c).rlike(FLAGS + p), F.struct(
         F.lit(c).alias("column"), F.lit(f).alias("family"), F.lit(p).alias("pattern")))
-        for c in columns for f, p in patterns]
-    return (df.select(key, F.array_compact(F.array(*found)).alias("hits"))
+        for c in columns for f, literal, p in patterns]
+    return (folded.select(key, F.array_compact(F.array(*found)).alias("hits"))
             .select(key, F.explode("hits").alias("h")).select(key, "h.*"))
 
 
