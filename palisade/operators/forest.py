@@ -5,7 +5,8 @@ does not depend on partitioning and at most trees x sample rows are shuffled,
 however long the table is. Each tree grows in one task from its sample. A split
 takes a random feature and a uniform threshold between its extremes, which is
 unaffected by scaling a column; trees therefore grow on the raw columns, and
-the scaler is kept with the model for reports.
+the scaler is kept with the model for reports. Values are single precision in
+trees and scores alike.
 
 Many models fit in one job: ``group`` names a column whose values each get
 their own forest.
@@ -95,34 +96,50 @@ def average_path(n):
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, np.ndarray]:
-    """One isolation tree, a level at a time over all open nodes."""
-    feature, threshold, left, right, depth, size = [-1], [0.0], [-1], [-1], [0], [len(x)]
-    members, open_nodes = [np.arange(len(x))], [0]
+    """One isolation tree, a whole level at a time: the rows of a node lie side by side."""
+    columns = {"feature": [-1], "threshold": [0.0], "left_id": [-1], "right_id": [-1], "depth": [0], "size": [len(x)]}
+    table = {k: np.array(v) for k, v in columns.items()}
+    rows = np.arange(len(x))
+    nodes, starts = np.array([0]), np.array([0])
     for level in range(limit):
-        next_members, next_open = [], []
-        for node, rows in zip(open_nodes, members):
-            if len(rows) < 2:
-                continue
-            part = x[rows]
-            low, high = part.min(axis=0), part.max(axis=0)
-            usable = np.flatnonzero(high > low)
-            if not len(usable):
-                continue
-            f = int(usable[rng.integers(len(usable))])
-            cut = low[f] + rng.random() * (high[f] - low[f])
-            if not cut < high[f]:
-                cut = low[f]
-            goes_left = part[:, f] <= cut
-            feature[node], threshold[node] = f, float(cut)
-            for rows_in, link in ((rows[goes_left], left), (rows[~goes_left], right)):
-                child = len(feature)
-                link[node] = child
-                feature.append(-1), threshold.append(0.0), left.append(-1), right.append(-1)
-                depth.append(level + 1), size.append(len(rows_in))
-                next_members.append(rows_in), next_open.append(child)
-        members, open_nodes = next_members, next_open
-    return {"feature": np.array(feature), "threshold": np.array(threshold), "left_id": np.array(left),
-            "right_id": np.array(right), "depth": np.array(depth), "size": np.array(size)}
+        if not len(nodes):
+            break
+        xs = x[rows]
+        low, high = np.minimum.reduceat(xs, starts, axis=0), np.maximum.reduceat(xs, starts, axis=0)
+        usable = high > low
+        draw = np.where(usable, rng.random(usable.shape), -1.0)
+        chosen = draw.argmax(axis=1)
+        at = np.arange(len(nodes))
+        lo, hi = low[at, chosen], high[at, chosen]
+        lo, hi = lo.astype(float), hi.astype(float)
+        cut = lo + rng.random(len(nodes)) * (hi - lo)
+        cut = np.where(cut < hi, cut, lo)
+        splits = usable.any(axis=1)
+        counts = np.diff(np.append(starts, len(rows)))
+        owner = np.repeat(at, counts)
+        right = xs[np.arange(len(rows)), chosen[owner]] > cut[owner]
+        keep = splits[owner]
+        # children are numbered in node order, left before right
+        rank = np.cumsum(splits) - 1
+        child = (2 * rank[owner] + right)[keep]
+        order = np.argsort(child, kind="stable")
+        sizes = np.bincount(child, minlength=2 * int(splits.sum()))
+        first = len(table["feature"])
+        split_nodes = nodes[splits]
+        table["feature"][split_nodes] = chosen[splits]
+        table["threshold"][split_nodes] = cut[splits]
+        table["left_id"][split_nodes] = first + 2 * rank[splits]
+        table["right_id"][split_nodes] = first + 2 * rank[splits] + 1
+        n = len(sizes)
+        added = {"feature": np.full(n, -1), "threshold": np.zeros(n), "left_id": np.full(n, -1),
+                 "right_id": np.full(n, -1), "depth": np.full(n, level + 1), "size": sizes}
+        table = {k: np.concatenate([table[k], added[k]]) for k in table}
+        # only children with two rows or more stay open
+        is_open = sizes > 1
+        rows = rows[keep][order][np.repeat(is_open, sizes)]
+        nodes = first + np.flatnonzero(is_open)
+        starts = np.concatenate([[0], np.cumsum(sizes[is_open])])[:-1].astype(int)
+    return table
 
 
 def height_limit(sample: int) -> int:
@@ -137,7 +154,7 @@ def sample_into_trees(train: DataFrame, key: list[str], params: ForestParams, gr
     """
     name = F.col(group).cast("string") if group else F.lit(GLOBAL)
     rows = train.select(name.alias("model_key"), F.xxhash64(*key).alias("row_key"),
-                        *[F.col(c).cast("double").alias(c) for c in params.columns])
+                        *[F.col(c).cast("float").alias(c) for c in params.columns])
     counts = rows.groupBy("model_key").agg(F.count("*").alias("n"))
     wanted = params.sample + 6 * math.sqrt(params.sample)
     p = F.least(F.lit(1.0), F.lit(wanted) / F.col("n"))
@@ -147,9 +164,9 @@ def sample_into_trees(train: DataFrame, key: list[str], params: ForestParams, gr
         F.when(F.col("n") <= params.sample, 1.0).otherwise(q).alias("q"))
     thin = (rows.join(rated, "model_key")
             .filter(hash_share(params.seed, "row_key") < F.col("q")))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(params.trees - 1)), lambda t: hash_share(
-        params.seed + 1, F.col("row_key"), t) < F.col("p") / F.col("q"))
-    return thin.withColumn("tree_id", F.explode(trees)).drop("p", "q")
+    # the constant list of trees unfolds inside generated code; what fails its hash goes no further
+    each = thin.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1))))
+    return each.filter(hash_share(params.seed + 1, "row_key", "tree_id") < F.col("p") / F.col("q")).drop("p", "q")
 
 
 def _grower(params: ForestParams):
@@ -160,7 +177,7 @@ def _grower(params: ForestParams):
         keys = pdf["row_key"].to_numpy()
         # the order, and so the tree, depends on the keys and values only
         order = np.lexsort([pdf[c].to_numpy() for c in columns] + [keys ^ np.int64(tree_id * SPREAD % (1 << 63))])
-        x = np.nan_to_num(pdf[columns].to_numpy(dtype=float)[order[:sample]])
+        x = np.nan_to_num(pdf[columns].to_numpy(dtype=np.float32)[order[:sample]])
         words = [seed, tree_id, *model.encode()]
         nodes = grow_tree(x, np.random.default_rng(words), height_limit(min(sample, len(x))))
         out = pd.DataFrame(nodes)
@@ -244,7 +261,7 @@ def raw_score(df: DataFrame, forest: Forest, group: str | None = None, name: str
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for keys, *columns in batches:
-            x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=float) for c in columns]))
+            x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=np.float32) for c in columns]))
             out = np.full(len(x), np.nan)
             names = keys.to_numpy()
             for model in pd.unique(names):
@@ -253,7 +270,7 @@ def raw_score(df: DataFrame, forest: Forest, group: str | None = None, name: str
                     out[mine] = negative_score(x[mine], models.value[model])
             yield pd.Series(out)
 
-    return df.withColumn(name, score(key, *[F.col(c).cast("double") for c in forest.params.columns]))
+    return df.withColumn(name, score(key, *[F.col(c).cast("float") for c in forest.params.columns]))
 
 
 def apply_forest(df: DataFrame, forest: Forest, group: str | None = None) -> DataFrame:

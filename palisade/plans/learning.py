@@ -447,7 +447,7 @@ LEAF = """CASE WHEN n.size > 2 THEN 2 * (ln(n.size - 1) + 0.5772156649) - 2 * (n
 @query("ml5_fixed_forest_scores", f"""
 WITH RECURSIVE nodes(tree, node, feature, threshold, l, r, depth, size) AS (VALUES {NODE_VALUES}),
 rows AS (SELECT row_number() OVER () AS id, * FROM lineitem),
-walk AS (SELECT id, l_quantity AS q, l_extendedprice AS p, l_discount AS d, tree, 0 AS node FROM rows,
+walk AS (SELECT id, CAST(l_quantity AS FLOAT) AS q, CAST(l_extendedprice AS FLOAT) AS p, CAST(l_discount AS FLOAT) AS d, tree, 0 AS node FROM rows,
            (SELECT DISTINCT tree FROM nodes)
   UNION ALL
   SELECT w.id, w.q, w.p, w.d, w.tree, CASE WHEN (CASE n.feature WHEN 0 THEN w.q WHEN 1 THEN w.p ELSE w.d END) <= n.threshold
