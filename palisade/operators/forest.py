@@ -192,8 +192,9 @@ def _grower(params: ForestParams):
 def grow_forests(train: DataFrame, key: list[str], params: ForestParams, group: str | None = None) -> DataFrame:
     """Node rows of all trees of all models."""
     sampled = sample_into_trees(train, key, params, group)
-    # growing is work, not bytes: ask for a task per tree, which adaptive execution would otherwise fold together
-    tasks = max(params.trees, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # growing is work, not bytes: ask for tasks by cores, which adaptive execution would otherwise fold together
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks if group else min(params.trees, tasks)
     sampled = sampled.repartition(tasks, "model_key", "tree_id")
     return sampled.groupBy("model_key", "tree_id").applyInPandas(_grower(params), NODE_SCHEMA)
 
