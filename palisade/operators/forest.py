@@ -31,6 +31,7 @@ from palisade.session import scratch_dir
 EULER = 0.5772156649
 GLOBAL = "global"
 HASH_RANGE = 1 << 31
+MAX_NODES = 16_000_000  # nodes broadcast at once
 SPREAD = 0x9E3779B97F4A7C15  # spreads tree numbers over the key bits
 NODE_SCHEMA = ("model_key string, tree_id int, node_id int, feature int, threshold double, "
                "left_id int, right_id int, depth int, size int")
@@ -209,12 +210,17 @@ class Forest:
     trees: dict[str, list[dict[str, np.ndarray]]] = field(default_factory=dict)
     offsets: dict[str, float] = field(default_factory=dict)
     scaler: dict[str, dict] = field(default_factory=dict)
+    nodes: DataFrame | None = None
+    max_nodes: int = MAX_NODES
 
     @staticmethod
-    def from_nodes(nodes: DataFrame, params: ForestParams, max_nodes: int = 16_000_000) -> Forest:
-        total = nodes.count()
-        if total > max_nodes:
-            raise ValueError(f"{total} nodes exceed the broadcast limit of {max_nodes}; load fewer models at once")
+    def from_nodes(nodes: DataFrame, params: ForestParams, max_nodes: int = MAX_NODES) -> Forest:
+        """Load all models, or, where together they are too large to broadcast, leave them in their table.
+
+        The table is then read in chunks of models when rows are scored.
+        """
+        if nodes.count() > max_nodes:
+            return Forest(params, nodes=nodes, max_nodes=max_nodes)
         table = nodes.toPandas().sort_values(["model_key", "tree_id", "node_id"])
         trees: dict[str, list] = {}
         for (model, _), part in table.groupby(["model_key", "tree_id"], sort=True):
@@ -254,8 +260,33 @@ def negative_score(x: np.ndarray, trees: list[dict]) -> np.ndarray:
     return -np.power(2.0, -mean_path(x, trees) / max(norm, 1e-12))
 
 
+def model_chunks(nodes: DataFrame, max_nodes: int) -> list[list[str]]:
+    """Models packed into chunks within the node limit; one model is bounded by its parameters."""
+    chunks, room = [], 0
+    for key, n in nodes.groupBy("model_key").count().orderBy("model_key").collect():
+        if n > room or not chunks:
+            chunks.append([])
+            room = max_nodes
+        chunks[-1].append(key)
+        room -= n
+    return chunks
+
+
+def _score_in_chunks(df: DataFrame, forest: Forest, group: str | None, name: str) -> DataFrame:
+    key = F.col(group).cast("string") if group else F.lit(GLOBAL)
+    chunks = model_chunks(forest.nodes, forest.max_nodes)
+    known = F.coalesce(key.isin([k for c in chunks for k in c]), F.lit(False))
+    out = df.filter(~known).withColumn(name, F.lit(None).cast("double"))
+    for keys in chunks:
+        part = Forest.from_nodes(forest.nodes.filter(F.col("model_key").isin(keys)), forest.params, 2 * forest.max_nodes)
+        out = out.unionByName(raw_score(df.filter(key.isin(keys)), part, group, name))
+    return out
+
+
 def raw_score(df: DataFrame, forest: Forest, group: str | None = None, name: str = "raw_score") -> DataFrame:
     """Add the negative score; null where a row's group has no model."""
+    if forest.nodes is not None:
+        return _score_in_chunks(df, forest, group, name)
     models = df.sparkSession.sparkContext.broadcast(forest.trees)
     key = F.col(group).cast("string") if group else F.lit(GLOBAL)
 
@@ -302,7 +333,7 @@ def fit_forest(train: DataFrame, key: list[str], params: ForestParams = ForestPa
     grow_forests(train, key, params, group).write.parquet(path)
     nodes = spark.read.schema(NODE_SCHEMA).parquet(path)
     forest = Forest.from_nodes(nodes, params)
-    forest.scaler = {m: s for m, s in scaler.items() if m in forest.trees}
+    forest.scaler = {m: s for m, s in scaler.items() if s["rows"] >= params.min_rows}
     scores_path = scratch_dir(spark, "scores")
     name = F.col(group).cast("string") if group else F.lit(GLOBAL)
     raw_score(train, forest, group).select(name.alias("model_key"), "raw_score").write.parquet(scores_path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,7 +31,8 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, s
     """
     slices = Window.partitionBy(*keys, SALT).orderBy(*order)
     groups = Window.partitionBy(*keys).orderBy(*order)
-    salted = df.withColumn(SALT, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    plain = [f.name for f in df.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    salted = df.withColumn(SALT, F.pmod(F.xxhash64(*plain), F.lit(salts)))
     cut = salted.withColumn(RANK, F.row_number().over(slices)).filter(F.col(RANK) <= k)
     return (cut.withColumn(RANK, F.row_number().over(groups))
             .filter(F.col(RANK) <= k).drop(SALT, RANK))

@@ -125,8 +125,6 @@ def _(t):
 SELECT organization_id, source_ip AS ip_address, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings
 FROM flow_events GROUP BY ALL""")
 def _(t):
-    table = jobs.VersionedTable(t.spark, scratch_dir(t.spark, "st6"), jobs.LAST_SEEN)
-    table.create(t.spark.createDataFrame([], jobs.LAST_SEEN))
-    q = jobs.track_last_seen(flow_stream(t), table, scratch_dir(t.spark, "st6-log"))
-    q.awaitTermination()
-    return ntz(table.read(q.lastProgress.batchId), "first_seen_at", "last_seen_at")
+    path = scratch_dir(t.spark, "st6")
+    jobs.track_last_seen(flow_stream(t), path, scratch_dir(t.spark, "st6-log")).awaitTermination()
+    return ntz(jobs.last_seen(t.spark, path), "first_seen_at", "last_seen_at")

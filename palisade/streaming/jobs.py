@@ -15,6 +15,7 @@ from palisade.functions.software import SERVER_PORTS
 from palisade.operators import detectors, threats as thr
 from palisade.operators.features import HIGH_PORT, PAIR
 from palisade.operators.forest import Forest, apply_forest
+from palisade.operators.ranking import latest_per_key
 from palisade.schemas import FEATURES, NVD_DOCUMENT, THREATS, struct_of
 from palisade.sources.feeds import parse_nvd
 
@@ -164,24 +165,27 @@ def insert_once(stream: DataFrame, existing: DataFrame, watermark: str = "1 hour
             .join(existing.select(*keys), keys, "left_anti"))
 
 
-LAST_SEEN = "organization_id long, ip_address string, first_seen_at timestamp, last_seen_at timestamp, sightings long"
+def track_last_seen(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """First and last sighting and number of sightings per address, kept as streaming state.
 
+    Each batch appends only the addresses it changed; ``last_seen`` reads the result.
+    """
+    at = F.col("ts").cast("timestamp")
+    state = stream.groupBy("organization_id", F.col("source_ip").alias("ip_address")).agg(
+        F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), F.count("*").alias("sightings"))
 
-def track_last_seen(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """First and last sighting and number of sightings per address, merged batch by batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        at = F.col("ts").cast("timestamp")
-        seen = batch.groupBy("organization_id", F.col("source_ip").alias("ip_address")).agg(
-            F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), F.count("*").alias("sightings"))
-        both = table.read(batch_id - 1).unionByName(seen)
-        table.write(both.groupBy("organization_id", "ip_address").agg(
-            F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
-            F.sum("sightings").alias("sightings")), batch_id)
-
-    return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (state.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def last_seen(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every address from the appended changes."""
+    return latest_per_key(spark.read.parquet(path), ["organization_id", "ip_address"], ["batch"]).drop("batch")
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the watermark has dropped so far, over the progress reports still kept."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

@@ -87,6 +87,16 @@ def test_grouped_fit_equals_separate_fits(spark, points):
     assert alone == [n for n in together if n[0] == "1"]
 
 
+def test_models_too_large_together_are_scored_in_chunks(spark, points, tmp_path):
+    forest, nodes = iso.fit_forest(points, ["id"], PARAMS, "org")
+    rows = points.union(spark.createDataFrame([(9999, None, 0.0, 0.0, 0.0), (9998, 7, 0.0, 0.0, 0.0)], points.schema))
+    want = sorted(iso.raw_score(rows, forest, "org").select("id", "raw_score").collect())
+    apart = iso.Forest.from_nodes(nodes, PARAMS, max_nodes=nodes.count() // 2)
+    assert not apart.trees and len(iso.model_chunks(nodes, apart.max_nodes)) > 1
+    assert sorted(iso.raw_score(rows, apart, "org").select("id", "raw_score").collect()) == want
+    assert [r[1] for r in want[-2:]] == [None, None]
+
+
 def test_too_few_rows(points):
     with pytest.raises(ValueError):
         iso.fit_forest(points, ["id"], iso.ForestParams(trees=5, columns=COLUMNS))

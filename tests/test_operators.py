@@ -304,6 +304,19 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_last_seen_over_two_runs(spark, tmp_path):
+    from test_features import EVENTS
+
+    for day in (3, 1):
+        rows = [(1, ip, "8.8.8.8", dt.datetime(2024, 1, day), 10.0, 6, False, 80, 1, False) for ip in ("a", f"b{day}")]
+        spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        jobs.track_last_seen(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = {r.ip_address: (r.first_seen_at.day, r.last_seen_at.day, r.sightings)
+           for r in jobs.last_seen(spark, str(tmp_path / "out")).collect()}
+    assert got == {"a": (1, 3, 2), "b3": (3, 3, 1), "b1": (1, 1, 1)}
+
+
 def test_schema_conformance(spark):
     df = conform(spark.createDataFrame([("CVE-1",)], "cve_id string"), THREATS)
     assert len(df.columns) == 21 and KEV_DOCUMENT and NVD_DOCUMENT
