@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, sharding
+from . import decontaminate, fingerprints, language, licenses, line_dedup, mixing, near_dedup, pages, secrets, sharding
 from .common import LOWER, UPPER, table
 
 N_SHARDS = 16
@@ -39,6 +39,15 @@ def op4_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.digest_columns(near_dedup.near_duplicates(docs, width=4))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                         table(spark, sf_dir, "benchmark"))
@@ -46,6 +55,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
+def op10_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.extract(rows, pages.fit(rows))
+
+
 OP1_SQL = r"""
 WITH s AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 p AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM s GROUP BY source),
@@ -78,11 +103,13 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_scan_licenses, op4_dedup_lines, op7_decontaminate)}
+    f.__name__: f for f in (op1_mix_sources, op2_shard, op3_scan_licenses, op4_dedup_lines, op5_near_dedup,
+                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages)}
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op3_scan_licenses": licenses.oracle_sql(),
     "op4_dedup_lines": OP4_SQL,
+    "op5_near_dedup": near_dedup.oracle_sql(),
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
