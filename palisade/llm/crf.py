@@ -1,4 +1,4 @@
-"""A linear-chain conditional random field over named features, fitted with numpy by AdaGrad.
+"""A linear-chain conditional random field over named features, fitted with numpy by Adam steps over all sequences.
 
 Fitting sees a bounded sample of sequences on the driver; decoding is Viterbi over one sequence at a time.
 """
@@ -41,7 +41,7 @@ class ChainCRF:
             self.start[a] = FORBIDDEN
 
     def fit(self, sequences: Sequence[Sequence[Sequence[str]]], labels: Sequence[Sequence[int]],
-            rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> ChainCRF:
+            rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> ChainCRF:
         """Maximise the likelihood of ``labels``; all sequences at once, padded to the longest."""
         pairs = [(s, y) for s, y in zip(sequences, labels) if len(s)]
         for s, _ in pairs:
@@ -72,8 +72,9 @@ class ChainCRF:
         steps = (mask[:, 1:] * 1.0)[..., None]
         gold_moves = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:] * steps)
         gold_start = hot[:, 0].sum(axis=0)
-        spent = [np.full_like(x, 1e-8) for x in (self.weights, self.moves, self.start)]
-        for _ in range(rounds):
+        values = (self.weights, self.moves, self.start)
+        mean, square = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
+        for step_number in range(1, rounds + 1):
             emit = np.zeros((n * longest, k))
             emit[token_at] = np.add.reduceat(self.weights[ids[by_token]], token_from)
             emit = emit.reshape(n, longest, k)
@@ -96,11 +97,12 @@ class ChainCRF:
             off = (hot - seen).reshape(-1, k)
             slope = np.zeros_like(self.weights)
             slope[feature_at] = np.add.reduceat(off[tokens[by_feature]], feature_from)
-            for value, gradient, sums in zip((self.weights, self.moves, self.start),
-                                             (slope / n - decay * self.weights, (gold_moves - pair) / n,
-                                              (gold_start - seen[:, 0].sum(axis=0)) / n), spent):
-                sums += gradient ** 2
-                value += rate * gradient / np.sqrt(sums)
+            gradients = (slope / n - decay * self.weights, (gold_moves - pair) / n,
+                         (gold_start - seen[:, 0].sum(axis=0)) / n)
+            for value, gradient, m, v in zip(values, gradients, mean, square):
+                m += 0.1 * (gradient - m)
+                v += 0.01 * (gradient ** 2 - v)
+                value += rate * (m / (1 - 0.9 ** step_number)) / (np.sqrt(v / (1 - 0.99 ** step_number)) + 1e-8)
             self._shut()
         return self
 

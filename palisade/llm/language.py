@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import fresh, stored, unit_draw
 
@@ -183,6 +184,6 @@ def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], [*batch.schema.names[:-2], name])
 
     both = docs.withColumn(text, F.col("text"))
-    schema = docs.schema.add(name, "string")
+    schema = StructType([*docs.schema.fields, StructField(name, StringType())])
     predicted = both.mapInArrow(run, schema).where(F.col(name) != UNKNOWN)
     return predicted.withColumn("lang", F.coalesce("lang", name)).select(*docs.columns)

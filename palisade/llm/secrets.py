@@ -37,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-SAMPLE = 400
+SAMPLE = 150
 BEGIN, INSIDE, OUTSIDE = 1, 2, 0
 _TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]")
 _KEYWORD = re.compile(r"(?i)passw|secret|token|api_?key|apikey|credential|auth|private|access_?key|^pwd$|^key$")
@@ -126,6 +126,24 @@ _ALPHABETS = (string.hexdigits[:16], string.ascii_letters + string.digits, strin
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "auth", "access_key")
 
 
+def _digits(draw: random.Random, *sizes: int) -> list[str]:
+    return ["".join(draw.choices(string.digits, k=n)) for n in sizes]
+
+
+#: Texts that look a little like secrets: telephone numbers, addresses, dates, amounts, names of files and people.
+_HARMLESS = (
+    lambda d: "+{} ({}) {}-{}".format(*_digits(d, 1, 3, 3, 4)),
+    lambda d: "{}-{}-{}".format(*_digits(d, 3, 3, 4)),
+    lambda d: "user{}@mail{}.example.com".format(*_digits(d, 3, 1)),
+    lambda d: "{}.{}.{}.{}".format(*_digits(d, 2, 3, 1, 2)),
+    lambda d: "20{}-{}-{} {}:{}".format(*_digits(d, 2, 2, 2, 2, 2)),
+    lambda d: "https://www.example.com/page/{}/index.html".format(*_digits(d, 4)),
+    lambda d: "total = {}.{}".format(*_digits(d, 6, 2)),
+    lambda d: "ReadMe_v{}.txt: SomeLongName".format(*_digits(d, 1)),
+    lambda d: "{}".format(*_digits(d, d.randint(6, 16))),
+)
+
+
 def training_material(text: str, margin: int = 400) -> tuple[list[str], list[str], list[str]]:
     """File features, pieces of at most three lines with a match, and two pieces of lines without."""
     draw = random.Random(hashlib.sha256(text.encode()).digest())
@@ -150,7 +168,7 @@ def training_lines(material: list[tuple[list[str], list[str], list[str]]]) -> tu
     def add(line: str, values: list[tuple[int, int]], whole: list[str], middle: int) -> None:
         spans = [m.span() for m in _TOKEN.finditer(line)]
         near = min(range(len(spans)), key=lambda i: abs(spans[i][0] - middle), default=0)
-        spans = spans[max(0, near - 15):near + 15]
+        spans = spans[max(0, near - 10):near + 10]
         if spans:
             sequences.append(line_features([line[a:b] for a, b in spans], whole))
             labels.append(_labels(spans, values))
@@ -171,9 +189,23 @@ def training_lines(material: list[tuple[list[str], list[str], list[str]]]) -> tu
             add(bare + value, [(len(bare), len(bare) + len(value))], whole, len(bare))
         for line in plain:
             add(line, [], whole, draw.randrange(len(line)))
-            word = draw.choice(line.split() or ["text"])
+            words = line.split() or ["text"]
+            word = draw.choice(words)
             about = f"{word} {draw.choice(_NAMES)} {draw.choice(('is', '=', ':', word))} {word}"
             add(about, [], whole, len(about) // 2)
+            cut = draw.randrange(len(words))
+            lead, quote = " ".join(words[max(0, cut - 12):cut]), draw.choice(("", '"', "'"))
+            harmless = draw.choice(_HARMLESS)(draw)
+            start = " ".join(words[max(0, cut - 12):cut])
+            add(f"{start} {harmless} {' '.join(words[cut:cut + 12])}", [], whole, len(start) + 1)
+            if draw.random() < 0.7:
+                lead += f" {draw.choice(_NAMES)}{draw.choice((' = ', '=', ': ', ' : '))}{quote}"
+                value = "".join(draw.choices(draw.choice(_ALPHABETS), k=draw.choice((draw.randint(8, 15), draw.randint(16, 44)))))
+            else:
+                lead += " "
+                value = draw.choice(("AKIA", "ghp_", "sk-", "xoxb-")) + "".join(draw.choices(_ALPHABETS[1], k=draw.randint(16, 40)))
+                quote = ""
+            add(f"{lead}{value}{quote} {' '.join(words[cut:cut + 12])}", [(len(lead), len(lead) + len(value))], whole, len(lead))
     return sequences, labels
 
 
