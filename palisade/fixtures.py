@@ -131,6 +131,8 @@ def oracle_text(body: str) -> str:
         return body
     ctes = ",\n".join(f"{v} AS ({_render(VIEWS[v], lambda t: t)})" for v in used)
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{stripped}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.operators.ranking import matching
+from palisade.operators.ranking import last_per_key, matching
 
 
 def list_anomalies(anomalies: DataFrame, kind=None, severity=None, acknowledged=None) -> DataFrame:
@@ -30,9 +30,9 @@ def hourly_timeline(anomalies: DataFrame) -> DataFrame:
         F.count("*").alias("detections"), F.avg("confidence_score").alias("avg_confidence"))
 
 
-def acknowledge(anomalies: DataFrame, commands: DataFrame, as_of: Column) -> DataFrame:
-    """``commands``: (detection_id, acknowledged_by, notes, is_false_positive), one per detection."""
-    c = commands.select(
+def acknowledge(anomalies: DataFrame, commands: DataFrame, as_of: Column, order: list[str] = ()) -> DataFrame:
+    """``commands``: (detection_id, acknowledged_by, notes, is_false_positive); the last per detection by ``order`` wins."""
+    c = last_per_key(commands, ["detection_id"], order).select(
         "detection_id", F.col("acknowledged_by").alias("__by"), F.col("notes").alias("__notes"),
         F.coalesce("is_false_positive", F.lit(False)).alias("__fp"))
     joined = anomalies.join(c, "detection_id", "left")

@@ -13,19 +13,19 @@ from palisade.operators.ranking import top_per_group
 AUDIT_PREFIX = "audit-trails"
 CAPTURE_PREFIX = "pcap-logs"
 ARCHIVE_AFTER_DAYS = 30
-ARCHIVE_ROWS = 10000
+ARCHIVE_ROWS = 10000  # what the parity query takes at once
 CAPTURE_DAYS = 365
 AUDIT_YEARS = 7
 
 
-def archive_batch(audit: DataFrame, as_of: Column, days: int = ARCHIVE_AFTER_DAYS, k: int = ARCHIVE_ROWS) -> DataFrame:
-    """The oldest unarchived rows per organisation, with the place each will have.
+def archive_batch(audit: DataFrame, as_of: Column, days: int = ARCHIVE_AFTER_DAYS, k: int | None = None) -> DataFrame:
+    """All due unarchived rows, or the oldest ``k`` per organisation, with the place each will have.
 
     ``audit``: audit_id, organization_id, created_at, archive_path and payload columns.
     """
     due = audit.filter((F.col("created_at") < as_of - F.make_interval(days=F.lit(days)))
                        & F.col("archive_path").isNull())
-    batch = top_per_group(due, ["organization_id"], [F.col("created_at"), F.col("audit_id")], k)
+    batch = due if k is None else top_per_group(due, ["organization_id"], [F.col("created_at"), F.col("audit_id")], k)
     return batch.withColumn("archive_path", audit_path(AUDIT_PREFIX, F.col("organization_id"), F.col("created_at")))
 
 
@@ -34,7 +34,7 @@ def write_archive(batch: DataFrame, path: str) -> None:
     at = F.col("created_at")
     (batch.withColumn("org", F.col("organization_id")).withColumn("y", F.date_format(at, "yyyy"))
      .withColumn("m", F.date_format(at, "MM")).withColumn("d", F.date_format(at, "dd"))
-     .repartition("org")  # a batch holds a bounded number of rows per organisation: few files, no hot task
+     .hint("rebalance", "org", "y", "m", "d")  # few files; Spark splits what one day of an organisation has too much
      .write.mode("append").partitionBy("org", "y", "m", "d").option("compression", "gzip").json(path))
 
 
@@ -68,7 +68,10 @@ def integrity_report(files: DataFrame, manifest: DataFrame, algorithm: str = "sh
 
 
 def file_policy(files: DataFrame, extensions: list[str], max_mb: float = 100) -> DataFrame:
-    """``files`` (path, length, content) with the cleaned name and every broken rule."""
+    """``files`` (path, length[, content]) with the cleaned name and every broken rule.
+
+    Only the rule on null bytes needs the content; without that column it is left out and no file is opened.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     safe = F.regexp_replace(name, r"(?U)[^\w\s.-]", "")
     suffix = F.lower(F.regexp_extract(safe, r"^.+(\.[^.]+)$", 1))
@@ -79,7 +82,7 @@ def file_policy(files: DataFrame, extensions: list[str], max_mb: float = 100) ->
         F.when(traversal, "path_traversal"),
         F.when(~suffix.isin(*extensions), "extension") if extensions else F.lit(None).cast("string"),
         F.when(F.col("length") > max_mb * 1024 * 1024, "too_large"),
-        F.when(F.contains(F.col("content"), F.lit(b"\x00")), "null_bytes")))
+        F.when(F.contains(F.col("content"), F.lit(b"\x00")), "null_bytes") if "content" in files.columns else F.lit(None).cast("string")))
     return files.select("path", safe.alias("safe_name"), "length", broken.alias("violations"))
 
 

@@ -130,17 +130,17 @@ def assemble(df: DataFrame) -> DataFrame:
 
 # --- features from events -------------------------------------------------------------------
 
-def _prepare(events: DataFrame, window_seconds: int) -> DataFrame:
+def prepare_events(events: DataFrame, window_seconds: int, keep: list[str] = ()) -> DataFrame:
     """Needed columns only, with defaults for the optional ones, and the window start as seconds."""
     def optional(name: str, default: Column) -> Column:
         return F.col(name) if name in events.columns else default
 
     ts = F.col("ts").cast("timestamp")
     return events.select(
-        *PAIR, F.unix_micros(ts).alias("at"), F.col("bytes").cast("double").alias("bytes"),
+        *PAIR, *keep, F.unix_micros(ts).alias("at"), F.col("bytes").cast("double").alias("bytes"),
         optional("payload_bytes", F.col("bytes")).cast("double").alias("payload"), "protocol", "failed",
         optional("syn", F.lit(False)).alias("syn"), F.col("dst_port").cast("int").alias("dst_port"),
-        optional("src_port", F.lit(None)).cast("int").alias("src_port"),
+        *([F.col("src_port").cast("int").alias("src_port")] if "src_port" in events.columns else []),
     ).withColumn("window_start", F.floor(F.col("at") / (window_seconds * 1000000)) * window_seconds)
 
 
@@ -154,16 +154,21 @@ def _slice_stats(rows: DataFrame, slice_micros: int) -> DataFrame:
     sliced = rows.withColumn("slice", F.floor(F.col("at") / slice_micros))
     order = Window.partitionBy(*keys).orderBy("at")
     gap = (F.col("at") - F.lag("at").over(order)).cast(MICROS)
-    standard = F.col("dst_port").isin(*SERVER_PORTS)
     return sliced.withColumn("gap", gap).groupBy(*keys).agg(
+        *slice_sums(), F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gap_sq"))
+
+
+def slice_sums() -> list[Column]:
+    """What a slice keeps of its events, but for the gaps between them."""
+    standard = F.col("dst_port").isin(*SERVER_PORTS)
+    return [
         F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("payload").alias("payload"),
         F.sum(F.col("bytes") * F.col("bytes")).alias("bytes_sq"),
         F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"),
         F.count_if(F.col("protocol") == 1).alias("icmp"), F.count_if("failed").alias("failed"),
         F.count_if("syn").alias("syn"), F.count_if(F.col("dst_port") > HIGH_PORT).alias("high"),
         F.max(F.when(standard, 0.0).otherwise(1.0)).alias("odd_port"),
-        F.min("at").alias("first_at"), F.max("at").alias("last_at"),
-        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).alias("gap_sq"))
+        F.min("at").alias("first_at"), F.max("at").alias("last_at")]
 
 
 def _window_stats(slices: DataFrame) -> DataFrame:
@@ -179,18 +184,23 @@ def _window_stats(slices: DataFrame) -> DataFrame:
         F.sum(F.col("gap_sq") + F.coalesce(F.col("jump") * F.col("jump"), F.lit(0))).alias("gap_sq"))
 
 
-def _variety(rows: DataFrame, ports: DataFrame | None) -> DataFrame:
-    """Distinct ports, payload entropy and refused destinations from one long-form count.
+def value_counts(rows: DataFrame, keys: list, names: list[str] | None = None) -> DataFrame:
+    """How often each port and payload value occurs: (keys, kind, value, m). Kinds that no row can have are left out."""
+    port = F.coalesce(F.col("dst_port"), F.lit(NO_PORT)).cast("double")
+    kinds = [("d", port), ("p", F.col("payload"))]
+    if "src_port" in rows.columns:
+        kinds.append(("s", F.col("src_port").cast("double")))
+    long = rows.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds])).alias("x")).select(*(names or keys), "x.*")
+    return long.filter(F.col("value").isNotNull()).groupBy(*(names or keys), "kind", "value").agg(F.count("*").alias("m"))
+
+
+def _variety(counts: DataFrame, ports: DataFrame | None) -> DataFrame:
+    """Distinct ports, payload entropy and refused destinations from long-form counts.
 
     The allowed ``ports`` meet the counts, not the events: one row per pair, window and port.
     """
     keys = PAIR + ["window_start"]
-    port = F.coalesce(F.col("dst_port"), F.lit(NO_PORT)).cast("double")
-    long = rows.select(*keys, F.explode(F.array(
-        F.struct(F.lit("d").alias("kind"), port.alias("value")),
-        F.struct(F.lit("s").alias("kind"), F.col("src_port").cast("double").alias("value")),
-        F.struct(F.lit("p").alias("kind"), F.col("payload").alias("value")))).alias("x")).select(*keys, "x.*")
-    counts = long.filter(F.col("value").isNotNull()).groupBy(*keys, "kind", "value").agg(F.count("*").alias("m"))
     refused = F.lit(False)
     if ports is not None:
         counts = counts.join(ports, ["organization_id", "destination_ip"], "left")
@@ -214,15 +224,24 @@ def window_features(events: DataFrame, rules: DataFrame | None = None, window_se
     allowlist rules; without them nothing counts as refused. Memory features are
     zero.
     """
-    rows = _prepare(events, window_seconds)
+    rows = prepare_events(events, window_seconds)
+    slices = _slice_stats(rows, int(slice_seconds * 1000000))
+    return combine_windows(slices, value_counts(rows, PAIR + ["window_start"]), rules, window_seconds)
+
+
+def combine_windows(slices: DataFrame, counts: DataFrame, rules: DataFrame | None, window_seconds: int) -> DataFrame:
+    """Slice sums and value counts, of a batch or written by a stream, to the features of the windows both have.
+
+    The destinations to check are those of the counts.
+    """
     ports = None
     if rules is not None:
-        ports = destination_ports(events.select("organization_id", "destination_ip").distinct(), rules)
+        ports = destination_ports(counts.filter("kind = 'd'").select("organization_id", "destination_ip").distinct(), rules)
     keys = PAIR + ["window_start"]
-    stats = _window_stats(_slice_stats(rows, int(slice_seconds * 1000000)))
+    stats = _window_stats(slices)
     back = stats.select("organization_id", F.col("destination_ip").alias("source_ip"),
                         F.col("source_ip").alias("destination_ip"), "window_start", F.col("n").alias("back"))
-    joined = stats.join(_variety(rows, ports), keys).join(back, keys, "left")
+    joined = stats.join(_variety(counts, ports), keys).join(back, keys, "left")
     n, seconds = F.col("n"), F.lit(float(window_seconds))
     rate = n / seconds
     span = (F.col("last_at") - F.col("first_at")) / 1e6

@@ -9,18 +9,19 @@ the scaler is kept with the model for reports. Values are single precision in
 trees and scores alike.
 
 Many models fit in one job: ``group`` names a column whose values each get
-their own forest.
+their own forest. Rows are scored next to the trees of their model: both meet
+in slices of a bounded number of rows, one pass for any number of models.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from palisade.functions.text import invert_score
@@ -31,7 +32,7 @@ from palisade.session import scratch_dir
 EULER = 0.5772156649
 GLOBAL = "global"
 HASH_RANGE = 1 << 31
-MAX_NODES = 16_000_000  # nodes broadcast at once
+SLICE_ROWS = 50_000  # rows that meet the trees of their model in one task
 SPREAD = 0x9E3779B97F4A7C15  # spreads tree numbers over the key bits
 NODE_SCHEMA = ("model_key string, tree_id int, node_id int, feature int, threshold double, "
                "left_id int, right_id int, depth int, size int")
@@ -156,18 +157,38 @@ def sample_into_trees(train: DataFrame, key: list[str], params: ForestParams, gr
     name = F.col(group).cast("string") if group else F.lit(GLOBAL)
     rows = train.select(name.alias("model_key"), F.xxhash64(*key).alias("row_key"),
                         *[F.col(c).cast("float").alias(c) for c in params.columns])
-    counts = rows.groupBy("model_key").agg(F.count("*").alias("n"))
     wanted = params.sample + 6 * math.sqrt(params.sample)
-    p = F.least(F.lit(1.0), F.lit(wanted) / F.col("n"))
-    q = F.least(F.lit(1.0), 4 * params.trees * p)
-    rated = counts.filter(F.col("n") >= params.min_rows).select(
-        "model_key", F.when(F.col("n") <= params.sample, 1.0).otherwise(p).alias("p"),
-        F.when(F.col("n") <= params.sample, 1.0).otherwise(q).alias("q"))
-    thin = (rows.join(rated, "model_key")
-            .filter(hash_share(params.seed, "row_key") < F.col("q")))
+    first = hash_share(params.seed, "row_key")
+    if group:
+        rated = _rates(rows.groupBy("model_key").agg(F.count("*").alias("n")), params, wanted)
+        # most rows go before they meet the rate of their group: no group keeps more than the largest share
+        most = rated.agg(F.max("q")).first()[0] or 0.0
+        thin = rows.filter(first < most).join(rated, "model_key").filter(first < F.col("q"))
+        share = F.col("p") / F.col("q")
+    else:
+        n = rows.count()
+        p = 1.0 if n <= params.sample else min(1.0, wanted / n)
+        q = 1.0 if n <= params.sample else min(1.0, 4 * params.trees * p)
+        thin = rows.filter(first < (q if n >= params.min_rows else 0.0))
+        share = F.lit(p / q)
     # the constant list of trees unfolds inside generated code; what fails its hash goes no further
     each = thin.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(params.trees - 1))))
-    return each.filter(hash_share(params.seed + 1, "row_key", "tree_id") < F.col("p") / F.col("q")).drop("p", "q")
+    return each.filter(hash_share(params.seed + 1, "row_key", "tree_id") < share).drop("p", "q")
+
+
+def _rates(counts: DataFrame, params: ForestParams, wanted: float) -> DataFrame:
+    """model_key, p, q of the groups that are large enough, stored: one row per group."""
+    p = F.least(F.lit(1.0), F.lit(wanted) / F.col("n"))
+    q = F.least(F.lit(1.0), 4 * params.trees * p)
+    whole = F.col("n") <= params.sample
+    return _stored(counts.filter(F.col("n") >= params.min_rows).select(
+        "model_key", F.when(whole, 1.0).otherwise(p).alias("p"), F.when(whole, 1.0).otherwise(q).alias("q")), "rates")
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _grower(params: ForestParams):
@@ -204,40 +225,31 @@ def grow_forests(train: DataFrame, key: list[str], params: ForestParams, group:
 
 @dataclass
 class Forest:
-    """Node arrays of the models, small by construction: trees x 2 x sample nodes each."""
+    """Tables of the models: node rows, and by model_key the offset, the scaler and why a group has no model."""
 
     params: ForestParams
-    trees: dict[str, list[dict[str, np.ndarray]]] = field(default_factory=dict)
-    offsets: dict[str, float] = field(default_factory=dict)
-    scaler: dict[str, dict] = field(default_factory=dict)
-    nodes: DataFrame | None = None
-    max_nodes: int = MAX_NODES
-
-    @staticmethod
-    def from_nodes(nodes: DataFrame, params: ForestParams, max_nodes: int = MAX_NODES) -> Forest:
-        """Load all models, or, where together they are too large to broadcast, leave them in their table.
-
-        The table is then read in chunks of models when rows are scored.
-        """
-        if nodes.count() > max_nodes:
-            return Forest(params, nodes=nodes, max_nodes=max_nodes)
-        table = nodes.toPandas().sort_values(["model_key", "tree_id", "node_id"])
-        trees: dict[str, list] = {}
-        for (model, _), part in table.groupby(["model_key", "tree_id"], sort=True):
-            inner = part["feature"].to_numpy() >= 0
-            self_id = part["node_id"].to_numpy()
-            depth = part["depth"].to_numpy()
-            trees.setdefault(model, []).append({
-                # a leaf sends every row back to itself, so a fixed number of steps needs no masks
-                "feature": np.where(inner, part["feature"], 0).astype(np.int32),
-                "threshold": np.where(inner, part["threshold"], np.inf),
-                "children": np.stack([np.where(inner, part["left_id"], self_id),
-                                      np.where(inner, part["right_id"], self_id)], 1).astype(np.int32).ravel(),
-                "path": depth + average_path(part["size"].to_numpy()),
-                "steps": int(depth.max()),
-                "rows": int(part["size"].iloc[0]),
-            })
-        return Forest(params, trees)
+    nodes: DataFrame
+    offsets: DataFrame | None = None
+    scaler: DataFrame | None = None
+    rejected: DataFrame | None = None
+
+
+def one_offset(spark: SparkSession, offset: float, model: str = GLOBAL) -> DataFrame:
+    return spark.createDataFrame([(model, float(offset))], "model_key string, offset double")
+
+
+def _arrays(part: dict[str, np.ndarray]) -> dict:
+    """Node columns of one tree, ordered by node, for walking rows down."""
+    inner = part["feature"] >= 0
+    own = np.arange(len(inner))
+    return {
+        # a leaf sends every row back to itself, so a fixed number of steps needs no masks
+        "feature": np.where(inner, part["feature"], 0).astype(np.int32),
+        "threshold": np.where(inner, part["threshold"], np.inf),
+        "children": np.stack([np.where(inner, part["left_id"], own), np.where(inner, part["right_id"], own)],
+                             1).astype(np.int32).ravel(),
+        "path": part["depth"] + average_path(part["size"]), "steps": int(part["depth"].max()), "rows": int(part["size"][0]),
+    }
 
 
 def mean_path(x: np.ndarray, trees: list[dict]) -> np.ndarray:
@@ -260,59 +272,66 @@ def negative_score(x: np.ndarray, trees: list[dict]) -> np.ndarray:
     return -np.power(2.0, -mean_path(x, trees) / max(norm, 1e-12))
 
 
-def model_chunks(nodes: DataFrame, max_nodes: int) -> list[list[str]]:
-    """Models packed into chunks within the node limit; one model is bounded by its parameters."""
-    chunks, room = [], 0
-    for key, n in nodes.groupBy("model_key").count().orderBy("model_key").collect():
-        if n > room or not chunks:
-            chunks.append([])
-            room = max_nodes
-        chunks[-1].append(key)
-        room -= n
-    return chunks
+def _scorer(columns: list[str], fields: list[str]):
+    def score(key, trees: pa.Table, rows: pa.Table) -> pa.Table:
+        out = np.full(rows.num_rows, np.nan)
+        if trees.num_rows and rows.num_rows:
+            order = np.argsort(trees.column("tree_id").to_numpy(), kind="stable")
+            packed = trees.column("nodes").combine_chunks()
+            walked = []
+            for i in order:
+                nodes = packed[int(i)].values
+                walked.append(_arrays({n: nodes.field(n).to_numpy(zero_copy_only=False) for n in NODE_FIELDS}))
+            x = np.column_stack([rows.column(c).to_numpy() for c in columns])
+            out = negative_score(np.nan_to_num(x), walked)
+        kept = rows.select(fields)
+        return kept.append_column("__score", pa.array(out, pa.float64(), mask=np.isnan(out)))
 
+    return score
 
-def _score_in_chunks(df: DataFrame, forest: Forest, group: str | None, name: str) -> DataFrame:
-    key = F.col(group).cast("string") if group else F.lit(GLOBAL)
-    chunks = model_chunks(forest.nodes, forest.max_nodes)
-    known = F.coalesce(key.isin([k for c in chunks for k in c]), F.lit(False))
-    out = df.filter(~known).withColumn(name, F.lit(None).cast("double"))
-    for keys in chunks:
-        part = Forest.from_nodes(forest.nodes.filter(F.col("model_key").isin(keys)), forest.params, 2 * forest.max_nodes)
-        out = out.unionByName(raw_score(df.filter(key.isin(keys)), part, group, name))
-    return out
+
+NODE_FIELDS = ("feature", "threshold", "left_id", "right_id", "depth", "size")
 
 
 def raw_score(df: DataFrame, forest: Forest, group: str | None = None, name: str = "raw_score") -> DataFrame:
-    """Add the negative score; null where a row's group has no model."""
-    if forest.nodes is not None:
-        return _score_in_chunks(df, forest, group, name)
-    models = df.sparkSession.sparkContext.broadcast(forest.trees)
-    key = F.col(group).cast("string") if group else F.lit(GLOBAL)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for keys, *columns in batches:
-            x = np.nan_to_num(np.column_stack([c.to_numpy(dtype=np.float32) for c in columns]))
-            out = np.full(len(x), np.nan)
-            names = keys.to_numpy()
-            for model in pd.unique(names):
-                if model in models.value:
-                    mine = names == model
-                    out[mine] = negative_score(x[mine], models.value[model])
-            yield pd.Series(out)
-
-    return df.withColumn(name, score(key, *[F.col(c).cast("float") for c in forest.params.columns]))
+    """Add the negative score; null where a row's group has no model.
+
+    A model's rows are dealt evenly into slices of about ``SLICE_ROWS``, each of which gets the model's trees.
+    """
+    return _scored(df, forest, group, name).drop("__model_key")
+
+
+def _scored(df: DataFrame, forest: Forest, group: str | None, name: str) -> DataFrame:
+    columns = [f"__x{i}" for i in range(len(forest.params.columns))]
+    model = F.col(group).cast("string") if group else F.lit(GLOBAL)
+    rows = df.withColumns({"__model_key": model, "__deal": F.monotonically_increasing_id()} | {
+        x: F.col(c).cast("float") for x, c in zip(columns, forest.params.columns)})
+    packed = (forest.nodes.groupBy("model_key", "tree_id")
+              .agg(F.array_sort(F.collect_list(F.struct("node_id", *NODE_FIELDS))).alias("nodes")))
+    if group:
+        sizes = _stored(df.groupBy(model.alias("__sized_key")).agg(
+            F.ceil(F.count("*") / F.lit(SLICE_ROWS)).cast("int").alias("__slices")), "score-sizes")
+        rows = rows.join(sizes, F.col("__model_key").eqNullSafe(F.col("__sized_key")))
+        packed = packed.join(sizes, F.col("model_key") == F.col("__sized_key"))
+    else:  # one model: its number of slices is one number, so nothing is joined
+        slices = F.lit(max(1, -(-df.count() // SLICE_ROWS)))
+        rows, packed = rows.withColumn("__slices", slices), packed.withColumn("__slices", slices)
+    rows = rows.withColumn("__slice", F.pmod("__deal", "__slices").cast("int")).select(*df.columns, "__model_key", "__slice", *columns)
+    packed = packed.select("model_key", "tree_id", "nodes", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)).alias("__slice"))
+    fields = [*df.columns, "__model_key"]
+    schema = T.StructType([*df.schema.fields, T.StructField("__model_key", T.StringType()), T.StructField("__score", T.DoubleType())])
+    scored = (packed.groupBy("model_key", "__slice").cogroup(rows.groupBy("__model_key", "__slice"))
+              .applyInArrow(_scorer(columns, fields), schema))
+    return scored.withColumnRenamed("__score", name)
 
 
 def apply_forest(df: DataFrame, forest: Forest, group: str | None = None) -> DataFrame:
     """Add ``distance``, ``is_anomaly`` and ``anomaly_score`` (0..1, higher is worse)."""
-    key = F.col(group).cast("string") if group else F.lit(GLOBAL)
-    table = F.create_map(*[F.lit(v) for kv in forest.offsets.items() for v in kv]).cast("map<string,double>")
-    distance = F.col("raw_score") - F.try_element_at(table, key)
-    return (raw_score(df, forest, group).withColumn("distance", distance)
+    offsets = forest.offsets.select(F.col("model_key").alias("__model_key"), F.col("offset").alias("__offset"))
+    distance = F.col("raw_score") - F.col("__offset")
+    return (_scored(df, forest, group, "raw_score").join(offsets, "__model_key", "left").withColumn("distance", distance)
             .withColumn("is_anomaly", F.coalesce(F.col("distance") < 0, F.lit(False)))
-            .withColumn("anomaly_score", invert_score(F.col("distance"))).drop("raw_score"))
+            .withColumn("anomaly_score", invert_score(F.col("distance"))).drop("raw_score", "__offset", "__model_key"))
 
 
 # --- fitting --------------------------------------------------------------------------------
@@ -321,29 +340,25 @@ def fit_forest(train: DataFrame, key: list[str], params: ForestParams = ForestPa
                group: str | None = None) -> tuple[Forest, DataFrame]:
     """Fit, then set each model's offset so that the contamination share of its training rows is anomalous.
 
-    Returns the forest and its node table, which lies in the shared scratch folder.
+    Returns the forest and its node table, which lies in the shared scratch folder. Groups with fewer than
+    ``min_rows`` rows get no model and a row in ``rejected``; without a group they are an error.
     """
     spark = train.sparkSession
-    by = [group] if group else []
-    scaler = {str(r[group]) if group else GLOBAL: r.asDict()
-              for r in fit_scaler(train, params.columns, by).collect()}
-    if not group and scaler.get(GLOBAL, {"rows": 0})["rows"] < params.min_rows:
-        raise ValueError(f"training needs {params.min_rows} rows")
-    path = scratch_dir(spark, "forest")
-    grow_forests(train, key, params, group).write.parquet(path)
-    nodes = spark.read.schema(NODE_SCHEMA).parquet(path)
-    forest = Forest.from_nodes(nodes, params)
-    forest.scaler = {m: s for m, s in scaler.items() if s["rows"] >= params.min_rows}
-    scores_path = scratch_dir(spark, "scores")
     name = F.col(group).cast("string") if group else F.lit(GLOBAL)
-    raw_score(train, forest, group).select(name.alias("model_key"), "raw_score").write.parquet(scores_path)
-    scores = spark.read.parquet(scores_path)
+    stats = _stored(fit_scaler(train.withColumn("model_key", name), params.columns, ["model_key"]), "scaler")
+    small = F.col("rows") < params.min_rows
+    if not group and not stats.filter(~small).count():
+        raise ValueError(f"training needs {params.min_rows} rows")
+    nodes = _stored(grow_forests(train, key, params, group), "forest")
+    forest = Forest(params, nodes, scaler=stats.filter(~small), rejected=stats.filter(small).select(
+        "model_key", "rows", F.format_string(f"%d rows, needs {params.min_rows}", "rows").alias("reason")))
+    scores = _stored(_scored(train, forest, group, "raw_score").select(
+        F.col("__model_key").alias("model_key"), "raw_score").filter("raw_score IS NOT NULL"), "scores")
     if group:
-        cut = F.percentile_approx("raw_score", params.contamination, 100000)
-        forest.offsets = {r[0]: r[1] for r in scores.filter(F.col("raw_score").isNotNull())
-                          .groupBy("model_key").agg(cut).collect()}
+        forest.offsets = _stored(scores.groupBy("model_key").agg(
+            F.percentile_approx("raw_score", params.contamination, 100000).alias("offset")), "offsets")
     else:
-        forest.offsets = {GLOBAL: quantile(scores, "raw_score", params.contamination)}
+        forest.offsets = one_offset(spark, quantile(scores, "raw_score", params.contamination))
     return forest, nodes
 
 
@@ -356,27 +371,19 @@ def validation_share(scored: DataFrame) -> DataFrame:
 # --- storing --------------------------------------------------------------------------------
 
 def save_model(forest: Forest, nodes: DataFrame, path: str, metrics: dict | None = None) -> None:
-    """Nodes and scaler as parquet, the rest as JSON text beside them."""
-    spark = nodes.sparkSession
+    """Nodes, offsets and scaler as parquet, the parameters as JSON text beside them."""
     nodes.write.parquet(f"{path}/nodes")
-    rows = [(m, c, float(s[f"{c}__mean"]), float(s[f"{c}__std"]), int(s["rows"]))
-            for m, s in forest.scaler.items() for c in forest.params.columns]
-    spark.createDataFrame(rows, "model_key string, feature string, mean double, std double, rows bigint").write.parquet(
-        f"{path}/scaler")
-    meta = {"params": forest.params.__dict__ | {"columns": list(forest.params.columns)}, "offsets": forest.offsets,
-            "metrics": metrics or {}}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    forest.offsets.write.parquet(f"{path}/offsets")
+    forest.scaler.write.parquet(f"{path}/scaler")
+    meta = {"params": forest.params.__dict__ | {"columns": list(forest.params.columns)}, "metrics": metrics or {}}
+    nodes.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/metadata")
 
 
 def load_model(spark: SparkSession, path: str) -> Forest:
     meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     params = ForestParams(**(meta["params"] | {"columns": tuple(meta["params"]["columns"])}))
-    forest = Forest.from_nodes(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), params)
-    forest.offsets = meta["offsets"]
-    for r in spark.read.parquet(f"{path}/scaler").collect():
-        entry = forest.scaler.setdefault(r["model_key"], {"rows": r["rows"]})
-        entry[f"{r['feature']}__mean"], entry[f"{r['feature']}__std"] = r["mean"], r["std"]
-    return forest
+    return Forest(params, spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"),
+                  spark.read.parquet(f"{path}/offsets"), spark.read.parquet(f"{path}/scaler"))
 
 
 def round_trip_equal(sample: DataFrame, forest: Forest, path: str) -> DataFrame:

@@ -22,12 +22,12 @@ def list_assets(assets: DataFrame, status: str | None = None, critical: bool | N
 def exposure_counts(assets: DataFrame, vulns: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Assets with their open vulnerabilities and unacknowledged anomalies.
 
-    Each side is counted per asset before the join, so nothing fans out.
+    Each side is counted per asset before the join, so nothing fans out; its id is its key.
     """
     open_vulns = (vulns.filter(F.col("status") == "open").groupBy("asset_id")
-                  .agg(F.count_distinct("vulnerability_id").alias("vulnerability_count")))
+                  .agg(F.count("vulnerability_id").alias("vulnerability_count")))
     pending = (anomalies.filter(~F.col("is_acknowledged")).groupBy("asset_id")
-               .agg(F.count_distinct("detection_id").alias("anomaly_count")))
+               .agg(F.count("detection_id").alias("anomaly_count")))
     return (assets.join(open_vulns, "asset_id", "left").join(pending, "asset_id", "left")
             .fillna(0, ["vulnerability_count", "anomaly_count"]))
 
@@ -63,10 +63,10 @@ def quarantine(assets: DataFrame, commands: DataFrame, as_of: Column) -> DataFra
             .withColumn("updated_at", F.when(hit, as_of).otherwise(F.col("updated_at"))).drop("__hit"))
 
 
-def upsert_assets(assets: DataFrame, findings: DataFrame, as_of: Column) -> DataFrame:
-    """Fold one finding per (org, ip) into the inventory; adds ``action``.
+def upsert_assets(assets: DataFrame, findings: DataFrame, as_of: Column, order: list[str] = ()) -> DataFrame:
+    """Fold findings into the inventory, one row per (org, ip); adds ``action``.
 
-    Null identity fields in a finding keep the known value; everything a scan
+    A host found more than once counts as last found by ``order`` (the end of the scan, say). Null identity fields in a finding keep the known value; everything a scan
     observes directly is replaced.
     """
     keep = ["mac_address", "hostname", "os_family", "os_version"]
@@ -77,7 +77,7 @@ def upsert_assets(assets: DataFrame, findings: DataFrame, as_of: Column) -> Data
                 "last_seen_at": lambda o, n: as_of, "updated_at": lambda o, n: as_of}
     inserted = {c: None for c in keep + replace + ["discovery_method"]}
     inserted |= {"status": F.lit("active"), "first_seen_at": as_of, "last_seen_at": as_of, "updated_at": as_of}
-    return merge_rows(assets, findings, ["organization_id", "ip_address"], matched, inserted)
+    return merge_rows(assets, findings, ["organization_id", "ip_address"], matched, inserted, order, keep)
 
 
 def resolve_assets(df: DataFrame, assets: DataFrame, ip_column: str = "source_ip") -> DataFrame:

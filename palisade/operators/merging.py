@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.operators.ranking import last_per_key
+
 Rule = Callable[[Column, Column], Column]
 
 
@@ -15,14 +17,18 @@ def merge_rows(
     keys: list[str],
     matched: dict[str, Rule],
     inserted: dict[str, Column | None],
+    order: list[str] = (),
+    keep: list[str] = (),
 ) -> DataFrame:
     """The merged table plus ``action``: ``kept``, ``updated`` or ``new``.
 
-    ``new`` must hold one row per key. ``matched`` gives the value of a column
+    Of several new rows with one key the last by ``order`` counts; columns in
+    ``keep`` take their last value that is not null. ``matched`` gives the value of a column
     when both sides exist, from (old, new); columns not listed keep the old
     value. ``inserted`` lists the columns an added row fills, ``None`` meaning
     the column of the new row.
     """
+    new = last_per_key(new, keys, order, keep)
     o = old.select(F.struct(*old.columns).alias("o"), *keys)
     n = new.select(F.struct(*new.columns).alias("n"), *keys)
     joined = o.join(n, keys, "full_outer")
@@ -52,13 +58,14 @@ def action_counts(merged: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.count_if(F.col("action") == "updated").alias("updated_count"))
 
 
-def insert_missing(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose key is new, one per key."""
-    return batch.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def insert_missing(batch: DataFrame, existing: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    """Rows of ``batch`` whose key is new, the last per key by ``order``."""
+    return last_per_key(batch, keys, order).join(existing.select(*keys), keys, "left_anti")
 
 
-def set_where_listed(rows: DataFrame, listed: DataFrame, key: str, column: str) -> DataFrame:
-    """Overwrite ``column`` for the keys in ``listed`` with the value listed there."""
-    chosen = listed.select(key, F.col(column).alias("__value"))
+def set_where_listed(rows: DataFrame, listed: DataFrame, key: str, column: str, order: list[str] = ()) -> DataFrame:
+    """Overwrite ``column`` for the keys in ``listed`` with the value listed there, the last by ``order``."""
+    chosen = last_per_key(listed.select(*dict.fromkeys([key, column, *order])), [key], order).select(
+        key, F.col(column).alias("__value"))
     return (rows.join(chosen, key, "left")
             .withColumn(column, F.coalesce("__value", column)).drop("__value"))

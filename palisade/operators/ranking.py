@@ -38,6 +38,22 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, s
             .filter(F.col(RANK) <= k).drop(SALT, RANK))
 
 
+def last_per_key(df: DataFrame, keys: list[str], order: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, equal orders by a hash of the row, so that any order is total.
+
+    Columns in ``keep`` hold their last value that is not null. A maximum, so it combines before the shuffle.
+    """
+    plain = [f.name for f in df.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    place = F.struct(*order, F.xxhash64(*plain))
+    rest = [c for c in df.columns if c not in keys and c not in keep]
+    parts = [F.max_by(F.struct(*rest), place).alias("__row")] if rest else []
+    parts += [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__{c}") for c in keep]
+    if not parts:
+        return df.select(*keys).distinct()
+    values = [F.col(c) if c in keys else F.col(f"__{c}" if c in keep else f"__row.{c}").alias(c) for c in df.columns]
+    return df.groupBy(*keys).agg(*parts).select(*values)
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row of every key; a maximum, so it combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

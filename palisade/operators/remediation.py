@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.functions.text import render_template
-from palisade.operators.ranking import top_per_group
+from palisade.operators.ranking import last_per_key, top_per_group
 
 PREVIEW = 500
 PENDING_HOURS = 24
@@ -126,9 +126,9 @@ def rejected_commands(tasks: DataFrame, commands: DataFrame, required: str) -> D
     return (rows.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull()).drop("__status"))
 
 
-def apply_results(tasks: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Execution results onto approved tasks; ``results`` has one row per task."""
-    r = results.select("task_id", *[F.col(c).alias(f"__{c}") for c in
+def apply_results(tasks: DataFrame, results: DataFrame, as_of: Column, order: list[str] = ("completed_at",)) -> DataFrame:
+    """Execution results onto approved tasks; the last per task by ``order`` counts."""
+    r = last_per_key(results, ["task_id"], order).select("task_id", *[F.col(c).alias(f"__{c}") for c in
                                     ("exit_code", "stdout", "stderr", "started_at", "completed_at")])
     joined = tasks.join(r, "task_id", "left")
     hit = F.col("__exit_code").isNotNull() & (F.col("status") == "approved")
@@ -147,9 +147,10 @@ def apply_results(tasks: DataFrame, results: DataFrame, as_of: Column) -> DataFr
     return joined.select(*kept, *[put(c, v) for c, v in changed.items()])
 
 
-def apply_rollbacks(tasks: DataFrame, rollbacks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Mark tasks rolled back; commands on missing tasks or without a rollback script are rejected."""
-    c = rollbacks.select("task_id", F.col("rolled_back_by").alias("__by"), F.col("reason").alias("__why"))
+def apply_rollbacks(tasks: DataFrame, rollbacks: DataFrame, as_of: Column,
+                    order: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Mark tasks rolled back by the last command of each by ``order``; commands on missing tasks or without a rollback script are rejected."""
+    c = last_per_key(rollbacks, ["task_id"], order).select("task_id", F.col("rolled_back_by").alias("__by"), F.col("reason").alias("__why"))
     joined = tasks.join(c, "task_id", "left")
     hit = F.col("__by").isNotNull() & (F.length("rollback_script") > 0)
     changed = {"status": F.lit("rolled_back"), "rolled_back_at": as_of, "rolled_back_by": F.col("__by"),

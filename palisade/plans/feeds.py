@@ -91,8 +91,8 @@ def kev_feed(t) -> DataFrame:
     ).alias("record"))
 
 
-def nvd_records(t) -> DataFrame:
-    return feeds.read_nvd(t.spark, land_pages(t, nvd_feed(t), "threat_id", "nvd"))
+def nvd_records(t, max_cpes: int | None = None, max_references: int | None = None) -> DataFrame:
+    return feeds.read_nvd(t.spark, land_pages(t, nvd_feed(t), "threat_id", "nvd"), max_cpes, max_references)
 
 
 def kev_records(t) -> DataFrame:
@@ -109,14 +109,27 @@ NVD_SQL = f"""nvd AS (SELECT cve_id, threat_id, p_size, CASE WHEN threat_id % 5
   FROM known_threats JOIN part ON p_partkey = threat_id)"""
 
 
-@query("src1_nvd_records", f"""
+def _nvd_sql(cpes: str, references: str) -> str:
+    return f"""
 WITH {NVD_SQL}
 SELECT cve_id, description, cvss_v3_score, cvss_v2_score, {SEVERITY_SQL} AS severity,
-       least(100, (p_size * 5 + 1) // 2) AS cpes, 'cpe:2.3:a:v:item1' AS first_cpe,
-       least(20, p_size - p_size // 3) AS exploit_refs, published_at, last_modified_at
-FROM nvd""")
+       {cpes} AS cpes, 'cpe:2.3:a:v:item1' AS first_cpe,
+       {references} AS exploit_refs, published_at, last_modified_at
+FROM nvd"""
+
+
+@query("src1_nvd_records", _nvd_sql("least(100, (p_size * 5 + 1) // 2)", "least(20, p_size - p_size // 3)"))
+def _(t):
+    return _nvd_columns(nvd_records(t, 100, 20))
+
+
+@query("src1_nvd_records_all", _nvd_sql("(p_size * 5 + 1) // 2", "p_size - p_size // 3"))
 def _(t):
-    return nvd_records(t).select(
+    return _nvd_columns(nvd_records(t))
+
+
+def _nvd_columns(records: DataFrame) -> DataFrame:
+    return records.select(
         "cve_id", "description", "cvss_v3_score", "cvss_v2_score", "severity", F.size("cpe_matches").alias("cpes"),
         F.col("cpe_matches")[0].alias("first_cpe"), F.size("exploit_references").alias("exploit_refs"),
         F.col("published_at").cast("timestamp_ntz").alias("published_at"),
@@ -364,7 +377,8 @@ def _(t):
         "service_id", is_outdated(F.col("product"), F.col("version")).alias("outdated"))
 
 
-@query("jn6_service_correlation", f"""
+def _correlation_sql(limit: str) -> str:
+    return f"""
 WITH {SERVICES_SQL},
 pairs AS (SELECT p.product_key, w.threat_id, w.cve_id, row_number() OVER (PARTITION BY p.product_key
             ORDER BY w.cvss_v3_score DESC NULLS LAST, w.cve_id, w.threat_id) AS rn
@@ -372,12 +386,20 @@ pairs AS (SELECT p.product_key, w.threat_id, w.cve_id, row_number() OVER (PARTIT
     ON contains(lower(w.description), p.product_key) OR w.cpe_product = p.product_key)
 SELECT o.asset_id, o.service_id, o.product_key AS affected_component, o.version AS installed_version,
        p.threat_id, p.cve_id
-FROM outdated o JOIN pairs p ON p.product_key = o.product_key AND p.rn <= 10""")
-def correlated(t):
-    return vuln.correlate(installed_services(t), worded_threats(t)).select(
+FROM outdated o JOIN pairs p ON p.product_key = o.product_key{limit}"""
+
+
+@query("jn6_service_correlation", _correlation_sql(" AND p.rn <= 10"))
+def correlated(t, k: int | None = 10):
+    return vuln.correlate(installed_services(t), worded_threats(t), k).select(
         "asset_id", "service_id", "affected_component", "installed_version", "threat_id", "cve_id")
 
 
+@query("jn6_service_correlation_all", _correlation_sql(""))
+def _(t):
+    return correlated(t, None)
+
+
 ASSOCIATIONS_SQL = f"""{SERVICES_SQL},
 pairs AS (SELECT p.product_key, w.threat_id, row_number() OVER (PARTITION BY p.product_key
             ORDER BY w.cvss_v3_score DESC NULLS LAST, w.cve_id, w.threat_id) AS rn
@@ -392,7 +414,7 @@ SELECT (SELECT count(*) FROM found) AS attempted, count(*) AS inserted FROM (
   SELECT DISTINCT asset_id, threat_id FROM found f WHERE NOT EXISTS (
     SELECT 1 FROM asset_vulnerabilities v WHERE v.asset_id = f.asset_id AND v.threat_id = f.threat_id))""")
 def _(t):
-    _, counts = vuln.associate(vuln.correlate(installed_services(t), worded_threats(t)), t.asset_vulnerabilities)
+    _, counts = vuln.associate(vuln.correlate(installed_services(t), worded_threats(t), k=10), t.asset_vulnerabilities)
     return counts
 
 

@@ -81,7 +81,7 @@ SELECT w.organization_id, w.source_ip, w.destination_ip, make_timestamp(w.ws * 1
 FROM w JOIN e USING (organization_id, source_ip, destination_ip, ws)"""
 
 
-def _window_output(df: DataFrame) -> DataFrame:
+def window_output(df: DataFrame) -> DataFrame:
     keep = ["organization_id", "source_ip", "destination_ip",
             F.col("window_start").cast("timestamp_ntz").alias("window_start")]
     return rounded(df, NETWORK_FEATURES, keep)
@@ -89,12 +89,12 @@ def _window_output(df: DataFrame) -> DataFrame:
 
 @query("fe2_window_features_300s", window_sql(300))
 def _(t):
-    return _window_output(event_features(t, 300))
+    return window_output(event_features(t, 300))
 
 
 @query("fe2_window_features_30d", window_sql(WIDE))
 def _(t):
-    return _window_output(event_features(t, WIDE))
+    return window_output(event_features(t, WIDE))
 
 
 # --- datasets -------------------------------------------------------------------------------
@@ -460,12 +460,72 @@ SELECT l_orderkey, l_linenumber, distance < 0 AS is_anomaly,
        round(1 - greatest(0, least(1, distance + 0.5)), 6) AS anomaly_score FROM scored""")
 def _(t):
     params = iso.ForestParams(trees=3, sample=256, columns=TRIO)
-    forest = iso.Forest.from_nodes(t.spark.createDataFrame(HAND_FOREST, iso.NODE_SCHEMA), params)
-    forest.offsets = {iso.GLOBAL: HAND_OFFSET}
+    forest = iso.Forest(params, t.spark.createDataFrame(HAND_FOREST, iso.NODE_SCHEMA), iso.one_offset(t.spark, HAND_OFFSET))
     return iso.apply_forest(numeric_rows(t), forest).select(
         "l_orderkey", "l_linenumber", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
+# A small hand-made forest over window features: packets_per_second, payload_entropy, packet_interval_std.
+EVENT_COLUMNS = ("packets_per_second", "avg_packet_size", "failed_connection_ratio")
+EVENT_FOREST = [
+    ("global", 0, 0, 0, 0.005, 1, 2, 0, 256), ("global", 0, 1, 1, 500.0, 3, 4, 1, 200), ("global", 0, 2, -1, 0.0, -1, -1, 1, 56),
+    ("global", 0, 3, -1, 0.0, -1, -1, 2, 190), ("global", 0, 4, -1, 0.0, -1, -1, 2, 10),
+    ("global", 1, 0, 2, 0.4, 1, 2, 0, 256), ("global", 1, 1, 1, 250.0, 3, 4, 1, 240), ("global", 1, 2, -1, 0.0, -1, -1, 1, 16),
+    ("global", 1, 3, -1, 0.0, -1, -1, 2, 120), ("global", 1, 4, -1, 0.0, -1, -1, 2, 120),
+]
+
+
+def event_forest(t) -> iso.Forest:
+    params = iso.ForestParams(trees=2, sample=256, columns=EVENT_COLUMNS)
+    return iso.Forest(params, t.spark.createDataFrame(EVENT_FOREST, iso.NODE_SCHEMA), iso.one_offset(t.spark, HAND_OFFSET))
+
+
+def scored_sql(source: str) -> str:
+    """Common table expressions from window features (``source``) to forest distances, rules and verdicts."""
+    values = ", ".join(f"({n[1]}, {n[2]}, {n[3]}, {n[4]}::DOUBLE, {n[5]}, {n[6]}, {n[7]}, {n[8]})" for n in EVENT_FOREST)
+    x = [f"CAST({c} AS FLOAT)" for c in EVENT_COLUMNS]
+    return f"""WITH RECURSIVE nodes(tree, node, feature, threshold, l, r, depth, size) AS (VALUES {values}),
+f AS (SELECT row_number() OVER () AS id, * FROM ({source})),
+walk AS (SELECT id, {x[0]} AS a, {x[1]} AS b, {x[2]} AS c, tree, 0 AS node FROM f, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL
+  SELECT w.id, w.a, w.b, w.c, w.tree, CASE WHEN (CASE n.feature WHEN 0 THEN w.a WHEN 1 THEN w.b ELSE w.c END) <= n.threshold
+    THEN n.l ELSE n.r END FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature >= 0),
+path AS (SELECT w.id, avg(n.depth + {LEAF}) AS h FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node
+         WHERE n.feature < 0 GROUP BY w.id),
+distances AS (SELECT f.*, -pow(2, -h / (2 * (ln(255) + 0.5772156649) - 2 * 255 / 256)) - {HAND_OFFSET} AS distance FROM f JOIN path USING (id)),
+base AS (SELECT *, distance < 0 AS is_anomaly, 1 - greatest(0, least(1, distance + 0.5)) AS anomaly_score FROM distances),
+pts AS (SELECT *, least(10, CASE WHEN packets_per_second > 1000 THEN 4 ELSE 0 END
+      + CASE WHEN header_repetition_score > 0.7 THEN 3 ELSE 0 END + CASE WHEN packet_interval_std < 0.001 THEN 2 ELSE 0 END
+      + CASE WHEN syn_flood_score > 0.5 THEN 3 ELSE 0 END
+      + CASE WHEN connection_count > 100 AND failed_connection_ratio > 0.8 THEN 2 ELSE 0 END) AS fp,
+    least(10, CASE WHEN is_outbound <> 0 AND is_non_allowlisted <> 0 THEN 4 ELSE 0 END
+      + CASE WHEN uses_non_standard_port <> 0 THEN 2 ELSE 0 END
+      + CASE WHEN packet_interval_std > 0.01 AND packet_interval_std < 0.1 THEN 2 ELSE 0 END
+      + CASE WHEN payload_entropy < 3 THEN 1 ELSE 0 END + CASE WHEN high_port_ratio > 0.8 THEN 1 ELSE 0 END) AS bp FROM base),
+verdict AS (SELECT *, CASE WHEN fp > 5 AND fp > bp THEN 'dos_loop' WHEN bp > 4 {{tie}} THEN 'backdoor_connection'
+    WHEN is_anomaly THEN 'general' ELSE 'normal' END AS anomaly_type FROM pts),
+rated AS (SELECT *, CASE anomaly_type WHEN 'dos_loop' THEN fp / 10 WHEN 'backdoor_connection' THEN bp / 10
+    WHEN 'general' THEN anomaly_score ELSE 1 - anomaly_score END AS confidence FROM verdict),
+graded AS (SELECT *, CASE WHEN g >= 0.9 THEN 'critical' WHEN g >= 0.75 THEN 'high' WHEN g >= 0.5 THEN 'medium'
+    WHEN g >= 0.3 THEN 'low' ELSE 'informational' END AS severity FROM (
+  SELECT *, CASE anomaly_type WHEN 'dos_loop' THEN least(1.0::DOUBLE, confidence * 1.2::DOUBLE)
+    WHEN 'backdoor_connection' THEN least(1.0::DOUBLE, confidence * 1.3::DOUBLE) ELSE confidence END AS g FROM rated))"""
+
+
+def detections_sql(source: str, tie: str) -> str:
+    return scored_sql(source).format(tie=tie) + """
+SELECT g.organization_id, a.asset_id, g.anomaly_type, g.severity, round(g.confidence, 6) AS confidence_score, g.source_ip,
+  g.destination_ip, g.window_start AS detected_at, CAST(floor(g.packets_per_second * g.flow_duration) AS BIGINT) AS packet_count
+FROM graded g LEFT JOIN assets a ON a.organization_id = g.organization_id AND a.ip_address = g.source_ip
+WHERE g.anomaly_type <> 'normal'"""
+
+
+def detection_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "organization_id", "asset_id", "anomaly_type", "severity", F.round("confidence_score", 6).alias("confidence_score"),
+        "source_ip", "destination_ip", F.col("detected_at").cast("timestamp_ntz").alias("detected_at"), "packet_count")
+
+
 KEY = ["organization_id", "source_ip", "destination_ip", "window_start"]
 SMALL = iso.ForestParams(trees=100, sample=256, min_rows=100)
 WINDOWS_SQL = """w AS (SELECT DISTINCT organization_id, source_ip, destination_ip, epoch_us(ts) // 300000000 AS ws
@@ -508,10 +568,16 @@ def _(t):
         F.avg(F.when(~part, flagged)).between(0.01, 0.25).alias("validation_share_plausible"))
 
 
-@query("ml14_score_distribution")
+@query("ml14_score_distribution", scored_sql(window_sql(300)).format(tie="") + """
+SELECT count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalies, round(avg(CAST(is_anomaly AS INT)), 6) AS false_positive_rate,
+  round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(min(distance), 6) AS low, round(max(distance), 6) AS high,
+  CASE WHEN avg(CAST(is_anomaly AS INT)) <= 0.10 THEN 'excellent' WHEN avg(CAST(is_anomaly AS INT)) <= 0.15 THEN 'good'
+       WHEN avg(CAST(is_anomaly AS INT)) <= 0.25 THEN 'acceptable' ELSE 'high' END AS grade
+FROM base""")
 def _(t):
-    rows, _, val, forest, _ = trained(t)
-    return feat.score_distribution(iso.apply_forest(val, forest))
+    rows = feat.score_distribution(iso.apply_forest(window_output(event_features(t)), event_forest(t)))
+    return rows.select("total", "anomalies", "grade", *[
+        F.round(c, 6).alias(c) for c in ("false_positive_rate", "mean", "std", "low", "high")])
 
 
 @query("ml15_snk4_model_round_trip", f"WITH {WINDOWS_SQL} SELECT count(*) AS rows, 0::BIGINT AS different FROM w")
@@ -522,12 +588,12 @@ def _(t):
     return iso.round_trip_equal(rows, forest, path)
 
 
-@query("ml5_ml9_event_detections")
-def detections(t):
+@query("ml5_ml9_event_detections", detections_sql(window_sql(300), ""))
+def _(t):
     """Event windows through rules, forest and fusion to detection rows."""
-    rows, _, _, forest, _ = trained(t)
-    fused = detectors.fuse(detectors.apply_rules(iso.apply_forest(rows, forest)))
-    return detectors.detection_rows(fused, t.assets, F.lit("v1"))
+    rows = window_output(event_features(t))
+    fused = detectors.fuse(detectors.apply_rules(iso.apply_forest(rows, event_forest(t))))
+    return detection_columns(detectors.detection_rows(fused, t.assets, F.lit("v1")))
 
 
 # --- registry -------------------------------------------------------------------------------

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from palisade.fixtures import VIEWS
 from palisade.operators.features import PAIR
 from palisade.operators.quantiles import order_statistic
+from palisade.operators.allowlist import usable_rules
 from palisade.plans.feeds import NVD_SQL, land_pages, nvd_feed, stored_threats
+from palisade.plans.learning import detection_columns, detections_sql, event_forest, window_output, window_sql
 from palisade.plans.reads import SEVERITY_SQL
 from palisade.plans.registry import query
 from palisade.session import scratch_dir
@@ -43,18 +45,19 @@ def ntz(df: DataFrame, *columns: str) -> DataFrame:
 CLOSED = "(SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)"
 
 
-@query("st1_stream_window_features", f"""
-SELECT organization_id, source_ip, destination_ip, make_timestamp(ws * 1000000) AS window_start,
-  count(*) AS connections, round(sum(bytes), 4) AS bytes, round(1 - stddev_pop(bytes) / (avg(bytes) + 1), 6) AS repetition,
-  round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) AS flow_duration
-FROM (SELECT *, epoch_us(ts) // 300000000 * 300 AS ws FROM flow_events)
-WHERE (ws + 300) * 1000000 <= {CLOSED} GROUP BY ALL""")
+def closed_sql(seconds: int) -> str:
+    return f"SELECT * FROM ({window_sql(seconds)}) WHERE epoch_us(window_start) + {seconds * 1000000} <= {CLOSED}"
+
+
+def stream_features(t, seconds: int = 300) -> DataFrame:
+    """All features of the closed windows of the event stream, destinations checked against the rules."""
+    rules = usable_rules(t.network_allowlists, None, "outbound")
+    return window_output(jobs.window_features(flow_stream(t), seconds, scratch_dir(t.spark, "stream"), rules))
+
+
+@query("st1_stream_window_features", closed_sql(300))
 def _(t):
-    df = finish(t, jobs.window_features(flow_stream(t)), "st1")
-    return ntz(df, "window_start").select(
-        *PAIR, "window_start", F.col("connection_count").cast("bigint").alias("connections"),
-        F.round(F.col("bytes_per_second") * 300, 4).alias("bytes"),
-        F.round("header_repetition_score", 6).alias("repetition"), F.round("flow_duration", 6).alias("flow_duration"))
+    return stream_features(t)
 
 
 @query("st1_stream_interval_deviation", f"""
@@ -84,18 +87,29 @@ def _(t):
     return ntz(finish(t, alerts, "st2"), "window_start").select(*PAIR, "window_start", "flood_score")
 
 
-@query("st3_stream_scoring", None)
+@query("st2_stream_flood_watch_10s", f"""
+WITH w AS (SELECT *, unnest([epoch_us(ts) // 5000000 * 5, epoch_us(ts) // 5000000 * 5 - 5]) AS ws FROM flow_events),
+m AS (SELECT organization_id, source_ip, destination_ip, ws, count(*) AS n, avg(CAST(failed AS INT)) AS bad,
+        1 - stddev_pop(bytes) / (avg(bytes) + 1) AS rep, count(*) FILTER (WHERE protocol = 6) / (count(*) / 10.0 + 1) AS syn
+      FROM w WHERE (ws + 10) * 1000000 <= {CLOSED} + 540000000 GROUP BY ALL)
+SELECT organization_id, source_ip, destination_ip, make_timestamp(ws * 1000000) AS window_start,
+  (CASE WHEN rep > 0.7 THEN 3 ELSE 0 END + CASE WHEN syn > 0.5 THEN 3 ELSE 0 END) / 10::DOUBLE AS flood_score
+FROM m WHERE rep > 0.7 AND syn > 0.5""")
 def _(t):
-    from palisade.plans.learning import stored_features, trained
+    """The ten-second watch, every five seconds; each TCP flow is taken to open with a SYN here."""
+    alerts = jobs.flood_alerts(flow_stream(t).withColumn("syn", F.col("protocol") == 6))
+    return ntz(finish(t, alerts, "st2"), "window_start").select(*PAIR, "window_start", "flood_score")
+
 
-    _, _, _, forest, _ = trained(t)
-    rows = stored_features(t)
-    folder = scratch_dir(t.spark, "st3-in")
+@query("st3_stream_scoring", detections_sql(closed_sql(300), "AND bp > fp"))
+def _(t):
+    """Event stream to features to detections: the closed windows are scored as a stream of their own."""
+    folder, path = scratch_dir(t.spark, "st3-in"), scratch_dir(t.spark, "st3")
+    rows = stream_features(t)
     rows.write.parquet(folder)
-    path = scratch_dir(t.spark, "st3")
-    jobs.score_stream(jobs.read_events(t.spark, folder, rows.schema), forest, t.assets, path,
+    jobs.score_stream(jobs.read_events(t.spark, folder, rows.schema), event_forest(t), t.assets, path,
                       scratch_dir(t.spark, "st3-log")).awaitTermination()
-    return t.spark.read.parquet(path)
+    return detection_columns(t.spark.read.parquet(path))
 
 
 @query("st4_stream_feed_ingest", f"""
@@ -131,19 +145,25 @@ def _(t):
     return ntz(jobs.last_seen(t.spark, path), "first_seen_at", "last_seen_at")
 
 
-@query("st7_stream_late_rows")
+@query("st7_stream_late_rows", f"""
+WITH e AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 300000000 * 300 AS ws FROM flow_events),
+mid AS (SELECT list_sort(list(us))[count(*) // 2 + 1] AS us FROM e),
+closed AS (SELECT e.*, e.us >= mid.us AS later FROM e, mid WHERE (ws + 300) * 1000000 <= {CLOSED})
+SELECT (SELECT count(*) FROM (SELECT DISTINCT organization_id, source_ip, destination_ip, ws FROM closed WHERE later)) AS windows,
+  (SELECT count(*) FROM closed WHERE later) AS connections,
+  (SELECT count(*) FROM (SELECT DISTINCT organization_id, source_ip, destination_ip, ws, us // 1000000 FROM closed WHERE NOT later))
+    AS late_groups""")
 def _(t):
-    """The later half of the events first, then the earlier half: what the watermark refuses is counted."""
+    """The later half of the events first, then the earlier half: what the watermark refuses is counted, by slice."""
     folder, out, log = (scratch_dir(t.spark, f"st7-{x}") for x in ("in", "out", "log"))
     middle = order_statistic(t.events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), "at",
                              t.events.count() // 2)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    dropped = 0
+    at, late = F.unix_micros(F.col("ts").cast("timestamp")), jobs.LateRows()
     for part in (at >= middle, at < middle):
         t.flow_events.filter(part).write.mode("append").parquet(folder)
-        q = jobs.run_to_table(jobs.window_features(jobs.read_events(t.spark, folder, t.flow_events.schema)), out, log)
+        q = jobs.run_to_table(jobs.event_slices(jobs.read_events(t.spark, folder, t.flow_events.schema)), out, log)
         q.awaitTermination()
-        dropped += jobs.late_rows(q)
-    windows = t.spark.read.parquet(out)
-    return windows.agg(F.count("*").alias("windows"), F.sum("connection_count").alias("connections")).withColumn(
-        "late_groups", F.lit(dropped))
+        late.look(q)
+    slices = t.spark.read.parquet(out)
+    return slices.agg(F.count_distinct(*PAIR, "window_start").alias("windows"), F.sum("n").alias("connections")).withColumn(
+        "late_groups", F.lit(sum(late.by_batch.values())).cast("bigint"))

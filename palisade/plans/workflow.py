@@ -238,17 +238,20 @@ def audit_log(t) -> DataFrame:
         F.when(F.col("event_id") % 10 == 0, "audit-trails/old").alias("archive_path"))
 
 
-@query("snk2_audit_archive", f"""
+def _archive_sql(taken: str) -> str:
+    return f"""
 WITH due AS (SELECT event_id, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS rn
   FROM events WHERE ts < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS AND event_id % 10 <> 0)
-SELECT e.event_id AS audit_id, CASE WHEN e.event_id % 10 = 0 THEN 'audit-trails/old' WHEN d.rn <= 10000 THEN
+SELECT e.event_id AS audit_id, CASE WHEN e.event_id % 10 = 0 THEN 'audit-trails/old' WHEN {taken} THEN
    'audit-trails/' || CAST(e.user_id % 25 AS VARCHAR) || '/' || strftime(e.ts, '%Y/%m/%d') END AS archive_path,
-   coalesce(d.rn <= 10000, FALSE) AS in_archive
-FROM events e LEFT JOIN due d ON d.event_id = e.event_id""")
-def _(t):
+   coalesce({taken}, FALSE) AS in_archive
+FROM events e LEFT JOIN due d ON d.event_id = e.event_id"""
+
+
+def _archived(t, k: int | None) -> DataFrame:
     clock = F.to_timestamp_ntz(F.lit("2024-02-15 00:00:00"))
     audit = audit_log(t)
-    batch = archive.archive_batch(audit, clock)
+    batch = archive.archive_batch(audit, clock, k=k)
     path = scratch_dir(t.spark, "archive")
     archive.write_archive(batch, path)
     written = t.spark.read.schema("audit_id bigint, archive_path string").json(path)
@@ -257,6 +260,16 @@ def _(t):
         "audit_id", "archive_path", F.coalesce("w", F.lit(False)).alias("in_archive"))
 
 
+@query("snk2_audit_archive", _archive_sql(f"d.rn <= {archive.ARCHIVE_ROWS}"))
+def _(t):
+    return _archived(t, archive.ARCHIVE_ROWS)
+
+
+@query("snk2_audit_archive_all", _archive_sql("d.rn IS NOT NULL"))
+def _(t):
+    return _archived(t, None)
+
+
 def captures(t) -> DataFrame:
     """Documents as captured payloads."""
     k = F.col("doc_id")

@@ -8,22 +8,22 @@ from palisade.functions.parsing import parse_date, parse_timestamp
 from palisade.functions.severity import severity_from_scores
 from palisade.schemas import KEV_DOCUMENT, NVD_DOCUMENT
 
-# List limits, reference tags, and record sources.
-MAX_CPES = 100
-MAX_REFERENCES = 20
+# Reference tags and record sources.
 REFERENCE_TAGS = ("Exploit", "Third Party Advisory")
 NVD_DETAIL = "https://nvd.nist.gov/vuln/detail/"
 KEV_CATALOGUE = "https://www.cisa.gov/known-exploited-vulnerabilities-catalog"
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per file: a feed page is a single JSON document."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """One row per file, with its name: a feed page is a single JSON document."""
+    return spark.read.schema(schema).json(path, multiLine=True).withColumn("page", F.input_file_name())
 
 
 def _records(documents: DataFrame) -> DataFrame:
-    """One row per record, with its place in the page to break ties."""
-    return documents.select(F.posexplode("vulnerabilities").alias("ordinal", "v"))
+    """One row per record, with its page and place in it to break ties."""
+    page = F.col("page") if "page" in documents.columns else F.lit("")
+    return documents.select(page.alias("page"), F.posexplode("vulnerabilities").alias("place", "v")).select(
+        F.struct("page", "place").alias("ordinal"), "v")
 
 
 def _first_score(metrics: Column, names, field: str) -> Column:
@@ -36,7 +36,12 @@ def _first_score(metrics: Column, names, field: str) -> Column:
     return pick
 
 
-def parse_nvd(documents: DataFrame) -> DataFrame:
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def parse_nvd(documents: DataFrame, max_cpes: int | None = None, max_references: int | None = None) -> DataFrame:
+    """Records of the advisory feed, with all their product criteria and references unless a limit is given."""
     cve, metrics = F.col("v.cve"), F.col("v.cve.metrics")
     texts = cve["descriptions"]
     english = F.try_element_at(F.filter(texts, lambda d: d["lang"] == "en"), F.lit(1))["value"]
@@ -60,8 +65,8 @@ def parse_nvd(documents: DataFrame) -> DataFrame:
         _first_score(metrics, v3, "baseScore").alias("cvss_v3_score"),
         _first_score(metrics, v3, "vectorString").alias("cvss_v3_vector"),
         _first_score(metrics, ("cvssMetricV2",), "baseScore").alias("cvss_v2_score"),
-        F.slice(F.coalesce(cpes, none), 1, MAX_CPES).alias("cpe_matches"),
-        F.slice(F.coalesce(urls, none), 1, MAX_REFERENCES).alias("exploit_references"),
+        _first(F.coalesce(cpes, none), max_cpes).alias("cpe_matches"),
+        _first(F.coalesce(urls, none), max_references).alias("exploit_references"),
         F.lit(False).alias("is_exploited_in_wild"),
         F.lit("nist_nvd").alias("source"),
         F.concat(F.lit(NVD_DETAIL), F.coalesce(cve["id"], F.lit(""))).alias("source_url"),
@@ -92,8 +97,8 @@ def parse_kev(documents: DataFrame) -> DataFrame:
         F.to_json("v").alias("raw_data"))
 
 
-def read_nvd(spark: SparkSession, path: str) -> DataFrame:
-    return parse_nvd(read_documents(spark, path, NVD_DOCUMENT))
+def read_nvd(spark: SparkSession, path: str, max_cpes: int | None = None, max_references: int | None = None) -> DataFrame:
+    return parse_nvd(read_documents(spark, path, NVD_DOCUMENT), max_cpes, max_references)
 
 
 def read_kev(spark: SparkSession, path: str) -> DataFrame:

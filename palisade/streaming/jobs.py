@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from palisade.functions.net import is_site_local_v4
-from palisade.functions.software import SERVER_PORTS
-from palisade.operators import detectors, threats as thr
-from palisade.operators.features import HIGH_PORT, PAIR
+from palisade.operators import detectors, features, threats as thr
+from palisade.operators.features import PAIR
 from palisade.operators.forest import Forest, apply_forest
 from palisade.operators.ranking import latest_per_key
-from palisade.schemas import FEATURES, NVD_DOCUMENT, THREATS, struct_of
+from palisade.schemas import NVD_DOCUMENT, THREATS, struct_of
 from palisade.sources.feeds import parse_nvd
 
 
@@ -29,48 +27,68 @@ def _timed(stream: DataFrame, watermark: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def _traffic_measures(seconds: Column) -> dict[str, Column]:
-    """Features that one streaming aggregate can give; distinct ports are estimates."""
-    n = F.count("*")
-    size = F.col("bytes").cast("double")
-    rate = n / seconds
-    span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
-    ratio = lambda c: F.count_if(c) / n
-    return {
-        "packets_per_second": rate, "bytes_per_second": F.sum(size) / seconds, "avg_packet_size": F.avg(size),
-        "tcp_ratio": ratio(F.col("protocol") == 6), "udp_ratio": ratio(F.col("protocol") == 17),
-        "icmp_ratio": ratio(F.col("protocol") == 1), "unique_dst_ports": F.approx_count_distinct("dst_port", 0.02),
-        "high_port_ratio": ratio(F.col("dst_port") > HIGH_PORT), "connection_count": n,
-        "failed_connection_ratio": ratio(F.col("failed")), "flow_duration": span,
-        "flow_idle_time": F.when(n > 1, span / (n - 1)).otherwise(0.0), "avg_payload_size": F.avg(size),
-        "header_repetition_score": 1 - F.stddev_pop(size) / (F.avg(size) + 1),
-        "uses_non_standard_port": F.max(F.when(F.col("dst_port").isin(*SERVER_PORTS), 0.0).otherwise(1.0)),
-    }
-
-
-def window_features(stream: DataFrame, size_seconds: int = 300, watermark: str = "10 minutes",
-                    slide_seconds: int | None = None) -> DataFrame:
-    """Features of tumbling (or sliding) windows, emitted once the watermark has passed them.
-
-    Interval deviation needs the order of events and comes from ``gap_slices``.
+def _prepared(stream: DataFrame, seconds: int, watermark: str) -> DataFrame:
+    return features.prepare_events(_timed(stream, watermark), seconds, keep=["ts"])
+
+
+def event_slices(stream: DataFrame, window_seconds: int = 300, slice_seconds: int = 1, watermark: str = "10 minutes",
+                 ) -> DataFrame:
+    """The slice sums of the batch features, emitted once the watermark has passed their window.
+
+    The state of a slice holds its distinct timestamps, so arrival order does not matter; equal timestamps add
+    gaps of zero. Slices close with their window, so that they and ``event_counts`` refuse the same late events.
     """
-    window = F.window("ts", f"{size_seconds} seconds", f"{slide_seconds or size_seconds} seconds")
-    made = _traffic_measures(F.lit(float(size_seconds)))
-    rows = _timed(stream, watermark).groupBy(window, *PAIR).agg(*[v.cast("double").alias(k) for k, v in made.items()])
-    outbound = is_site_local_v4(F.col("source_ip")) & ~is_site_local_v4(F.col("destination_ip"))
-    made["is_outbound"] = F.when(outbound, 1.0).otherwise(0.0)
-    return rows.select(
-        *PAIR, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        *[made[f].alias(f) if f == "is_outbound" else
-          F.col(f) if f in made else F.lit(0.0).alias(f) for f in FEATURES])
+    rows = _prepared(stream, window_seconds, watermark).withColumn(
+        "slice", F.floor(F.col("at") / (slice_seconds * 1000000)))
+    slices = rows.groupBy(F.window("ts", f"{window_seconds} seconds"), *PAIR, "window_start", "slice").agg(
+        *features.slice_sums(), F.sort_array(F.collect_set("at")).alias("times"))
+    exact = "decimal(27,0)"
+    gap_sq = F.expr(f"""aggregate(transform(sequence(1, size(times)), i -> if(i = 1, 0L, times[i - 1] - times[i - 2])),
+        CAST(0 AS {exact}), (s, g) -> CAST(s + CAST(g AS {features.MICROS}) * CAST(g AS {features.MICROS}) AS {exact}))""")
+    return slices.withColumn("gap_sq", gap_sq).drop("window", "times")
+
+
+def event_counts(stream: DataFrame, window_seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+    """Port and payload counts in long form, emitted once the watermark has passed a window."""
+    rows = _prepared(stream, window_seconds, watermark)
+    counts = features.value_counts(rows, [F.window("ts", f"{window_seconds} seconds").alias("window"), *PAIR, "window_start"],
+                                   PAIR + ["window_start", "window"])
+    return counts.drop("window")
+
+
+def window_features(stream: DataFrame, window_seconds: int, folder: str, rules: DataFrame | None = None,
+                    watermark: str = "10 minutes") -> DataFrame:
+    """All batch features of the windows that the watermark has closed, from the events available now.
+
+    Two queries append slice sums and value counts below ``folder`` and keep their checkpoints there; calling this
+    again goes on where they stopped. The features are then one batch combination of both tables.
+    """
+    parts = {"slices": event_slices(stream, window_seconds, 1, watermark), "counts": event_counts(stream, window_seconds, watermark)}
+    for name, part in parts.items():
+        run_to_table(part, f"{folder}/{name}", f"{folder}/{name}-log").awaitTermination()
+    read = stream.sparkSession.read
+    return features.combine_windows(*[read.schema(part.schema).parquet(f"{folder}/{name}") for name, part in parts.items()],
+                                    rules, window_seconds)
 
 
 def flood_alerts(stream: DataFrame, size_seconds: int = 10, slide_seconds: int = 5, watermark: str = "1 minute",
                  rate: float = detectors.FLOOD_RATE) -> DataFrame:
-    """Sliding windows whose traffic breaks the flood rules; unknown intervals give no points."""
-    rows = window_features(stream, size_seconds, watermark, slide_seconds).withColumn("packet_interval_std", F.lit(1.0))
+    """Sliding windows whose traffic breaks the flood rules, in one streaming aggregate.
+
+    Interval deviation needs the order of events, which one aggregate does not have: it is null and gives no points.
+    """
+    window = F.window("ts", f"{size_seconds} seconds", f"{slide_seconds} seconds")
+    size, n = F.col("bytes").cast("double"), F.count("*")
+    packets = n / F.lit(float(size_seconds))
+    syn = F.count_if("syn") if "syn" in stream.columns else F.lit(0)
+    rows = _timed(stream, watermark).groupBy(window, *PAIR).agg(
+        packets.alias("packets_per_second"), n.cast("double").alias("connection_count"),
+        (1 - F.stddev_pop(size) / (F.avg(size) + 1)).alias("header_repetition_score"),
+        (syn / (packets + 1)).alias("syn_flood_score"), (F.count_if("failed") / n).alias("failed_connection_ratio"))
+    rows = rows.withColumn("packet_interval_std", F.lit(None).cast("double"))
     return detectors.flood_rules(rows, rate).filter("is_flood").select(
-        *PAIR, "window_start", "window_end", "packets_per_second", "header_repetition_score", "flood_score")
+        *PAIR, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+        "packets_per_second", "header_repetition_score", "flood_score")
 
 
 def gap_slices(stream: DataFrame, slice_seconds: int = 1, watermark: str = "10 minutes") -> DataFrame:
@@ -113,7 +131,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def score_stream(features: DataFrame, forest: Forest, assets: DataFrame, path: str, checkpoint: str,
+def score_stream(windows: DataFrame, forest: Forest, assets: DataFrame, path: str, checkpoint: str,
                  version: str = "stream", tie_rule: str = "single") -> StreamingQuery:
     """Score feature rows as they come and append what is not normal."""
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -121,7 +139,7 @@ def score_stream(features: DataFrame, forest: Forest, assets: DataFrame, path: s
         detectors.detection_rows(fused, assets, F.lit(version)).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}")
 
-    return (features.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (windows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -148,7 +166,8 @@ def ingest_feed(spark: SparkSession, folder: str, table: VersionedTable, checkpo
                 files_per_batch: int = 1000) -> StreamingQuery:
     """New feed pages in a folder are folded into the threat table; the checkpoint is the bookmark."""
     pages = (spark.readStream.schema(NVD_DOCUMENT).option("multiLine", True)
-             .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).json(folder))
+             .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).json(folder)
+             .withColumn("page", F.input_file_name()))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         merged = thr.apply_nvd(table.read(batch_id - 1), thr.last_in_batch(parse_nvd(batch)), as_of)
@@ -186,9 +205,26 @@ def last_seen(spark: SparkSession, path: str) -> DataFrame:
     return latest_per_key(spark.read.parquet(path), ["organization_id", "ip_address"], ["batch"]).drop("batch")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has dropped so far, over the progress reports still kept."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows:
+    """Rows that the watermark has dropped, by batch.
+
+    A query keeps its last progress reports only, so a long-running caller looks at it now and then; batches seen
+    before are counted once, and ``complete`` tells whether a batch was missed between two looks.
+    """
+
+    def __init__(self):
+        self.by_batch: dict[int, int] = {}
+        self.complete = True
+
+    def look(self, query: StreamingQuery) -> int:
+        found: dict[int, int] = {}
+        for p in query.recentProgress:
+            found[p.batchId] = found.get(p.batchId, 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        if found and self.by_batch and min(found) > max(self.by_batch) + 1:
+            self.complete = False
+        for batch, n in found.items():
+            self.by_batch[batch] = max(n, self.by_batch.get(batch, 0))
+        return sum(self.by_batch.values())
 
 
 def empty_threats(spark: SparkSession) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import detectors, features as feat, forest as iso
-from palisade.operators.quantiles import order_statistic, quantile
+from palisade.operators.quantiles import order_statistic, order_statistics, quantile
 
 COLUMNS = ("a", "b", "c")
 PARAMS = iso.ForestParams(trees=20, sample=64, min_rows=50, columns=COLUMNS)
@@ -77,7 +77,7 @@ def test_stored_model_scores_alike(spark, points, tmp_path):
     iso.save_model(forest, nodes, str(tmp_path / "m"), {"n": 1})
     row = iso.round_trip_equal(points, forest, str(tmp_path / "m")).first()
     assert (row.rows, row.different) == (1503, 0)
-    assert iso.load_model(spark, str(tmp_path / "m")).offsets == forest.offsets
+    assert iso.load_model(spark, str(tmp_path / "m")).offsets.collect() == forest.offsets.collect()
 
 
 def test_grouped_fit_equals_separate_fits(spark, points):
@@ -87,14 +87,43 @@ def test_grouped_fit_equals_separate_fits(spark, points):
     assert alone == [n for n in together if n[0] == "1"]
 
 
-def test_models_too_large_together_are_scored_in_chunks(spark, points, tmp_path):
+def test_many_models_score_in_one_pass(spark, points, monkeypatch):
     forest, nodes = iso.fit_forest(points, ["id"], PARAMS, "org")
     rows = points.union(spark.createDataFrame([(9999, None, 0.0, 0.0, 0.0), (9998, 7, 0.0, 0.0, 0.0)], points.schema))
     want = sorted(iso.raw_score(rows, forest, "org").select("id", "raw_score").collect())
-    apart = iso.Forest.from_nodes(nodes, PARAMS, max_nodes=nodes.count() // 2)
-    assert not apart.trees and len(iso.model_chunks(nodes, apart.max_nodes)) > 1
-    assert sorted(iso.raw_score(rows, apart, "org").select("id", "raw_score").collect()) == want
-    assert [r[1] for r in want[-2:]] == [None, None]
+    monkeypatch.setattr(iso, "SLICE_ROWS", 100)
+    assert sorted(iso.raw_score(rows.repartition(7), forest, "org").select("id", "raw_score").collect()) == want
+    assert [r[1] for r in want[-2:]] == [None, None] and len(want) == 1505
+    one = iso.Forest(PARAMS, nodes.filter("model_key = '1'").withColumn("model_key", F.lit(iso.GLOBAL)))
+    alone = {r.id: r.raw_score for r in iso.raw_score(points.filter("org = 1"), one).collect()}
+    assert alone == {k: v for k, v in want if k in alone} and len(alone) == 500
+
+
+def test_small_groups_are_listed(spark, points):
+    forest, _ = iso.fit_forest(points.unionByName(spark.createDataFrame([(5000, 9, 0.0, 0.0, 0.0)], points.schema)), ["id"],
+                               PARAMS, "org")
+    assert [(r.model_key, r.rows, r.reason) for r in forest.rejected.collect()] == [("9", 1, "1 rows, needs 50")]
+
+
+@pytest.mark.parametrize("group", [None, "org"])
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_sampling_and_scoring_join_by_equality(spark, points, group, limit):
+    import io
+    from contextlib import redirect_stdout
+
+    nodes = spark.createDataFrame([("global", 0, 0, -1, 0.0, -1, -1, 0, 9)], iso.NODE_SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        out = io.StringIO()
+        with redirect_stdout(out):
+            iso.sample_into_trees(points, ["id"], PARAMS, group).explain()
+            iso.apply_forest(points, iso.Forest(PARAMS, nodes, iso.one_offset(spark, -0.5)), group).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = out.getvalue()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    if group is None:
+        assert "Join" not in plan.split("== Physical Plan ==")[1]
 
 
 def test_too_few_rows(points):
@@ -114,6 +143,17 @@ def test_exact_quantiles_with_a_heavy_value(spark):
         order_statistic(df, "x", 60000)
 
 
+def test_order_statistics_with_nan_infinities_and_wide_spread(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.exp(rng.normal(size=30000) * 200), -np.exp(rng.normal(size=20000) * 200), np.zeros(500),
+                             [np.inf, np.inf, -np.inf, np.nan, np.nan, np.nan, 5e-324, -5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    ordered = np.sort(values)  # NaN last
+    ranks = [0, 1, 17000, 20001, 20300, 33333, 50500, len(values) - 5, len(values) - 4, len(values) - 1]
+    got = order_statistics(df, "x", ranks)
+    assert all(got[r] == ordered[r] or (math.isnan(got[r]) and math.isnan(ordered[r])) for r in ranks)
+
+
 BASE = dict(packets_per_second=0.0, header_repetition_score=0.0, packet_interval_std=1.0, syn_flood_score=0.0,
             connection_count=0.0, failed_connection_ratio=0.0, is_outbound=0.0, is_non_allowlisted=0.0,
             uses_non_standard_port=0.0, payload_entropy=5.0, high_port_ratio=0.0)

@@ -130,7 +130,9 @@ NVD = {"vulnerabilities": [
 
 def test_nvd_parsing_edges(spark, tmp_path):
     (tmp_path / "p1.json").write_text(json.dumps(NVD, indent=1))
-    r = {x.cve_id: x for x in feeds.read_nvd(spark, str(tmp_path)).collect()}
+    r = {x.cve_id: x for x in feeds.read_nvd(spark, str(tmp_path), 100, 20).collect()}
+    every = {x.cve_id: x for x in feeds.read_nvd(spark, str(tmp_path)).collect()}["CVE-1"]
+    assert (len(every.cpe_matches), len(every.exploit_references)) == (150, 30)
     one = r["CVE-1"]
     assert (one.description, one.cvss_v3_score, one.cvss_v3_vector, one.severity) == ("e", 0.0, "v31", "medium")
     assert one.last_modified_at is None and one.published_at is not None
@@ -289,19 +291,22 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
 
     def run():
         stream = jobs.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-        q = jobs.run_to_table(jobs.window_features(stream), str(tmp_path / "out"), str(tmp_path / "log"))
+        q = jobs.run_to_table(jobs.event_slices(stream), str(tmp_path / "out"), str(tmp_path / "log"))
         q.awaitTermination()
-        return jobs.late_rows(q)
+        before = sum(late.by_batch.values())
+        return late.look(q) - before
+
+    late = jobs.LateRows()
 
     batch("a", 0, 1, 50)
     run()
     batch("b", 2, 55)
     assert run() == 1
     done = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [r.connection_count for r in done] == [2.0]
+    assert sorted(r.n for r in done) == [1, 1] and late.complete
     # a restart without new files adds nothing
     run()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
 def test_last_seen_over_two_runs(spark, tmp_path):
@@ -320,3 +325,60 @@ def test_last_seen_over_two_runs(spark, tmp_path):
 def test_schema_conformance(spark):
     df = conform(spark.createDataFrame([("CVE-1",)], "cve_id string"), THREATS)
     assert len(df.columns) == 21 and KEV_DOCUMENT and NVD_DOCUMENT
+
+
+def test_repeated_keys_in_one_batch_count_once_and_the_last_wins(spark):
+    """Every upsert and command takes several rows of one key; the later by the given order holds."""
+    from palisade.operators import anomalies, merging, remediation
+
+    assets = spark.createDataFrame([(1, "10.0.0.1", None, "h", None, None, True, [1], "s", "x", "active")],
+                                   "organization_id long, ip_address string, mac_address string, hostname string, os_family string,"
+                                   "os_version string, is_server boolean, open_ports array<int>, services string,"
+                                   "discovery_method string, status string")
+    stamps = ("first_seen_at", "last_seen_at", "updated_at")
+    assets = assets.withColumns({c: now() for c in stamps})
+    found = [(1, "10.0.0.1", "m1", None, "Linux", "1", True, [22], "a", "scan", 1), (1, "10.0.0.1", None, "h2", None, "2", False, [80], "b", "scan", 2),
+             (1, "10.0.0.2", None, "n1", None, None, True, [1], "c", "scan", 2), (1, "10.0.0.2", None, None, None, None, False, [2], "d", "scan", 3)]
+    findings = spark.createDataFrame(found, "organization_id long, ip_address string, mac_address string, hostname string, os_family string,"
+                                     "os_version string, is_server boolean, open_ports array<int>, services string,"
+                                     "discovery_method string, ended int")
+    out = {r.ip_address: r for r in inventory.upsert_assets(assets, findings, now(), ["ended"]).collect()}
+    assert len(out) == 2 and [out[f"10.0.0.{i}"].action for i in (1, 2)] == ["updated", "new"]
+    one, two = out["10.0.0.1"], out["10.0.0.2"]
+    assert (one.mac_address, one.hostname, one.os_family, one.os_version, one.open_ports, one.services) == ("m1", "h2", "Linux", "2", [80], "b")
+    assert (two.hostname, two.is_server, two.open_ports) == ("n1", False, [2])
+
+    ids = spark.createDataFrame([(1, None), (2, "old")], "id long, pointer string")
+    listed = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "id long, pointer string, at int")
+    assert sorted(map(tuple, merging.set_where_listed(ids, listed, "id", "pointer", ["at"]).collect())) == [(1, "b"), (2, "old")]
+    assert [tuple(r) for r in merging.insert_missing(listed, ids.filter("id = 2"), ["id"], ["at"]).collect()] == [(1, "b", 2)]
+
+    vulns = spark.createDataFrame([(1, "open"), (2, "open")], "vulnerability_id long, status string")
+    commands = spark.createDataFrame([(1, "ann", "x", 1), (1, "bo", "y", 2)], "vulnerability_id long, accepted_by string, justification string, at int")
+    done = {r.vulnerability_id: r.accepted_by for r in vuln.accept_risk(vulns, commands, now(), order=["at"]).collect()}
+    assert done == {1: "bo", 2: None}
+
+    rows = spark.createDataFrame([(1, False), (2, False)], "detection_id long, is_acknowledged boolean")
+    acks = spark.createDataFrame([(1, "ann", "x", None, 1), (1, "bo", "y", True, 2)],
+                                 "detection_id long, acknowledged_by string, notes string, is_false_positive boolean, at int")
+    got = {r.detection_id: (r.acknowledged_by, r.is_false_positive) for r in anomalies.acknowledge(rows, acks, now(), ["at"]).collect()}
+    assert got == {1: ("bo", True), 2: (None, None)}
+
+    tasks = spark.createDataFrame([(1, "approved", "undo"), (2, "approved", None)], "task_id long, status string, rollback_script string")
+    results = spark.createDataFrame([(1, 1, "o1", "e", 1, 5), (1, 0, "o2", None, 6, 9)],
+                                    "task_id long, exit_code int, stdout string, stderr string, started_at int, completed_at int")
+    got = {r.task_id: (r.status, r.execution_output) for r in remediation.apply_results(tasks, results, now()).collect()}
+    assert got == {1: ("completed", "o2"), 2: ("approved", None)}
+    undo = spark.createDataFrame([(1, "ann", "x", 1), (1, "bo", "y", 2)], "task_id long, rolled_back_by string, reason string, at int")
+    done, _ = remediation.apply_rollbacks(tasks, undo, now(), ["at"])
+    assert sorted((r.task_id, r.status, r.rolled_back_by) for r in done.collect()) == [(1, "rolled_back", "bo"), (2, "approved", None)]
+
+
+def test_broken_training_files_are_listed(spark, tmp_path):
+    from palisade.sources import datasets
+
+    spark.range(5).selectExpr("cast(id as double) packets_per_second").coalesce(1).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_bytes(b"PAR1 this is no parquet PAR1")
+    assert datasets.read_training_files(spark, str(tmp_path)).count() == 5
+    assert [(r.path.rsplit("/", 1)[1], r.size) for r in datasets.silent_training_files(spark, str(tmp_path)).collect()] == [("x.parquet", 28)]
