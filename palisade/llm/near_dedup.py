@@ -6,11 +6,12 @@
    probability. ``ROWS`` bins make one of ``BANDS`` keys.
 2. Equal sets are one node, whatever their number.
 3. Candidates. In each bucket of a band key the least node is the hub and every other node gets one edge to it,
-   so a bucket of n nodes gives n - 1 edges.
-4. Confirmation. Hub and members meet in slices of at most ``SLICE`` members; the texts are cut into shingles
-   again and a link needs ``100 x intersection >= similarity x union`` on the full sets.
-5. Components by alternating stars. A bucket whose nodes then lie in more than one component may still hide a
-   link between two members: such pairs, of different components only, are confirmed as well.
+   so a bucket of n nodes gives n - 1 edges, and all buckets of a hub make one star.
+4. Confirmation. The members of a star meet in tiles of two slices of about ``SLICE`` nodes. A tile cuts the texts into
+   shingles again and counts all intersections of full sets as one product of 0/1 matrices; a link needs
+   ``100 x intersection >= similarity x union``. Members are compared with each other as well as with the hub, so no
+   link is lost behind a hub that has none. A tile gives at most one link per node: to the least node it reaches there.
+5. Components by alternating stars.
 
 A pair of similarity 0.8 misses all 75 bands of 9 rows with a probability of 2 in 100,000, one of 0.85 with 3 in a
 billion; one of 0.3, as documents with a common passage may have, meets in a band with 1.5 in a thousand.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, fresh, id_key, stored
@@ -35,7 +36,9 @@ from .components import component_labels
 
 BANDS, ROWS = 75, 9
 BINS = BANDS * ROWS
-SLICE = 64
+SLICE = 512
+#: Columns of the matrices that a tile multiplies.
+_COLUMNS = 8192
 #: Words whose hash a task keeps at hand.
 WORD_CACHE = 500_000
 _PICKS, _FIRST_PICKS = 512, 16
@@ -136,85 +139,103 @@ def _sketches(width: int):
     return run
 
 
+def tile_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the least position that it reaches over links among ``sets``; all pairs are compared exactly."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    shared = count[column] > 1  # a shingle of one set is in no intersection
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.diag(sizes - np.bincount(owner, minlength=n)).astype(np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        low, high = np.searchsorted(column, (start, start + _COLUMNS))
+        block = np.zeros((n, int(column[high - 1]) + 1 - start), np.float32)
+        block[owner[low:high], column[low:high] - start] = 1
+        common += block @ block.T
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    reached = np.arange(n)
+    while True:
+        least = np.where(linked, reached[None, :], n).min(axis=1)
+        least = least[least]
+        if (least == reached).all():
+            return reached
+        reached = least
+
+
 def _confirm(width: int, percent: int):
-    """Rows sorted by (hub, slice, is_member): a hub's text, then its members'. Links leave."""
+    """Rows sorted by tile; the links of each tile leave when its last row has come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hub, own = WordHashes(), None, None
+        hashes, tile, nodes, sets = WordHashes(), None, [], []
+
+        def links():
+            if len(sets) < 2:
+                return [], []
+            order = np.argsort(nodes)
+            names = np.array(nodes)[order]
+            least = tile_links([sets[i] for i in order], percent)
+            far = np.flatnonzero(least != np.arange(len(least)))
+            return names[far].tolist(), names[least[far]].tolist()
+
         for batch in batches:
             u, v = [], []
-            for key, piece, member, digest, text in zip(
-                    batch.column("hub").to_pylist(), batch.column("slice").to_pylist(),
-                    batch.column("member").to_pylist(), batch.column("digest").to_pylist(), _bytes(batch.column("text"))):
-                if member is None and (key, piece) == hub:
-                    continue
+            columns = [batch.column(c).to_pylist() for c in ("hub", "i", "j", "member", "digest")]
+            for hub, i, j, member, digest, text in zip(*columns, _bytes(batch.column("text"))):
+                if (hub, i, j) != tile:
+                    for all_of, some in zip((u, v), links()):
+                        all_of += some
+                    tile, nodes, sets = (hub, i, j), [], []
                 values = shingles(text, width, hashes)
-                if xxhash.xxh3_128_digest(values.tobytes()) != digest:
-                    continue  # another row that has the same doc_id
-                if member is None:
-                    hub, own = (key, piece), values
-                elif (key, piece) == hub:
-                    both = len(np.intersect1d(own, values, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(values) - both):
-                        u.append(key)
-                        v.append(member)
+                # another row may have the same doc_id, and the same row may come twice
+                if xxhash.xxh3_128_digest(values.tobytes()) == digest and member not in nodes[-1:]:
+                    nodes.append(member)
+                    sets.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        u, v = links()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
-    """u, v: the pairs of ``edges`` (hub, member) whose full sets are similar enough."""
-    edges = stored(edges, "near-edges")
-    degree = edges.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(SLICE)).alias("slices"))
-    wanted = edges.select(F.col("hub").alias("node")).unionByName(edges.select(F.col("member").alias("node"))).distinct()
-    wanted = stored(wanted.join(nodes.select("node", "first_id", "digest"), "node"), "near-wanted")
+def _tiles() -> Column:
+    """The tiles of a member: its slice with each other slice, or the only one."""
+    return F.expr("""IF(slices = 1, array(struct(0 AS i, 0 AS j)), transform(filter(sequence(0, slices - 1), x -> x <> slice),
+        x -> struct(least(x, slice) AS i, greatest(x, slice) AS j)))""")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, percent: int) -> DataFrame:
+    """u, v: links among the nodes of each star (hub, member) that join all that are similar enough over links."""
+    hubs = stars.select("hub").distinct().select("hub", F.col("hub").alias("member"))
+    edges = stored(stars.unionByName(hubs), "near-edges")
+    degree = edges.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
+    wanted = stored(edges.select(F.col("member").alias("node")).distinct()
+                    .join(nodes.select("node", "first_id", "digest"), "node"), "near-wanted")
     # the ids alone are small enough to be sent to the scan for longer; beyond that Spark shuffles, or filters by Bloom
     ids = stored(wanted.select("first_id").distinct(), "near-ids")
     texts = (docs.select(id_key().alias("first_id"), "text").join(ids, "first_id", "left_semi")
              .join(wanted, "first_id").select("node", "digest", "text"))
-    texts = stored(texts, "near-texts")
-    members = (edges.join(degree, "hub").join(texts, F.col("member") == F.col("node"))
-               .select("hub", F.pmod(F.xxhash64("member"), "slices").alias("slice"), "member", "digest", "text"))
-    hubs = (degree.join(texts, F.col("hub") == F.col("node"))
-            .select("hub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-                    F.lit(None).cast("long").alias("member"), "digest", "text"))
+    placed = (edges.join(degree, "hub")
+              .withColumn("slice", F.pmod(F.xxhash64("member"), "slices").cast("int"))
+              .select("hub", "member", F.inline(_tiles())))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = (hubs.unionByName(members).repartition(parts, "hub", "slice")
-           .sortWithinPartitions("hub", "slice", F.col("member").asc_nulls_first()))
+    met = (placed.join(texts, F.col("member") == F.col("node")).select("hub", "i", "j", "member", "digest", "text")
+           .repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member"))
     return met.mapInArrow(_confirm(width, percent), "u long, v long")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """key, node, n_shingles, hub: the nodes of the buckets that have at least two."""
-    filed = nodes.select("node", "n_shingles", F.explode("keys").alias("key"))
+def candidate_stars(nodes: DataFrame) -> DataFrame:
+    """hub, member: one edge from the least node of each bucket of at least two to every other, each once."""
+    filed = nodes.select("node", F.explode("keys").alias("key"))
     several = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    return filed.join(several.select("key", "hub"), "key")
+    return (filed.join(several.select("key", "hub"), "key").where("node <> hub")
+            .select("hub", F.col("node").alias("member")).distinct())
 
 
 def link_labels(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label of the nodes that have links."""
-    buckets = stored(_buckets(nodes), "near-buckets")
-    stars = buckets.where("node <> hub").select("hub", F.col("node").alias("member")).distinct()
-    links = stored(confirmed(docs, nodes, stars, width, percent), "near-links")
-    labels = stored(component_labels(links), "near-labels")
-
-    # what the stars left open: members of one bucket that still lie in different components
-    at = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    at = stored(at, "near-labelled")
-    mixed = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    at = stored(at.join(mixed.select("key"), "key", "left_semi"), "near-mixed")
-    other = at.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "n_shingles", "label")])
-    # set sizes further apart than the similarity allows cannot be linked
-    small, large = F.least("n_shingles", "other_n_shingles"), F.greatest("n_shingles", "other_n_shingles")
-    pairs = (at.join(other, "key").where((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label"))
-                                         & (F.col("node") != F.col("hub")) & (100 * small >= percent * large))
-             .select(F.col("node").alias("hub"), F.col("other_node").alias("member")).distinct())
-    pairs = stored(pairs.join(stars, ["hub", "member"], "left_anti"), "near-pairs")
-    if pairs.isEmpty():
-        return labels
-    more = stored(confirmed(docs, nodes, pairs, width, percent), "near-links")
-    return component_labels(links.unionByName(more))
+    return component_labels(confirmed(docs, nodes, candidate_stars(nodes), width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -159,3 +159,21 @@ def test_all_near_fingerprints_are_found(spark, radius):
     want = {(a, b, d) for i, a in enumerate(texts) for b in texts[i + 1:]
             if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
     assert got == want
+
+
+def test_tiles_compare_all_pairs():
+    draw, hashes = random.Random(9), near_dedup.WordHashes()
+    texts = [t for _, t in copies(7)] + ["one two three four five"] * 2
+    sets = [near_dedup.shingles(t.lower().encode(), 3, hashes) for t in texts]
+    got = near_dedup.tile_links(sets, 80)
+    want = [least for _, least in brute.components(list(enumerate(texts)), 3)]
+    assert got.tolist() == want and draw
+
+
+def test_stars_over_several_slices(spark, monkeypatch):
+    rows = copies(11)
+    monkeypatch.setattr(near_dedup, "SLICE", 2)
+    monkeypatch.setattr(near_dedup, "_COLUMNS", 16)
+    got = {r.doc_id: r.component_id for r in near_dedup.digest_columns(near_dedup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), 4)).collect()}
+    assert got == {doc: x[1] for (doc, _), x in zip(rows, brute.components(rows, 4))}
