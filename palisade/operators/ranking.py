@@ -7,6 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.session import scratch_dir
+
+#: Up to here Spark cuts a ranked group on the map side (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 SALT = "__salt"
 RANK = "__rank"
 
@@ -27,8 +31,11 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, s
 
     Groups are first cut to ``k`` inside ``salts`` random-looking slices, so no
     task ever sorts a whole hot group; the second cut sees at most ``k * salts``
-    rows of a group. ``order`` must be total.
+    rows of a group. A ``k`` that Spark does not cut on the map side goes by
+    ranges of the order instead. ``order`` must be total.
     """
+    if k > GROUP_LIMIT:
+        return first_by_ranges(df, keys, order, k)
     slices = Window.partitionBy(*keys, SALT).orderBy(*order)
     groups = Window.partitionBy(*keys).orderBy(*order)
     plain = [f.name for f in df.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
@@ -38,6 +45,31 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, s
             .filter(F.col(RANK) <= k).drop(SALT, RANK))
 
 
+def first_by_ranges(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every group, for any ``k``.
+
+    Rows are range-partitioned by (group, order) and stored, so a hot group is many ranges. How many rows of a group
+    lie in earlier ranges is counted; ranges that begin behind the ``k``-th row are dropped whole, and a rank inside
+    one range is all that is left to do.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_dir(spark, "ranges")
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(SALT, F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    before = Window.partitionBy(*keys).orderBy(SALT).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (ranged.groupBy(*keys, SALT).agg(F.count("*").alias("__n"))
+              .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__before") < k)
+              .select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)], F.col(SALT).alias("__part"), "__before"))
+    same = F.col(SALT) == F.col("__part")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__key{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, SALT).orderBy(*order))
+    return (ranged.join(counts, same).withColumn(RANK, place + F.col("__before")).filter(F.col(RANK) <= k)
+            .select(*df.columns))
+
+
 def last_per_key(df: DataFrame, keys: list[str], order: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """One row per key: the last by ``order``, equal orders by a hash of the row, so that any order is total.
 

@@ -157,12 +157,13 @@ SELECT row_id, packets_per_second, bytes_per_second, avg_packet_size, tcp_ratio,
   unique_dst_ports, unique_src_ports, high_port_ratio, connection_count,
   round(failed_connection_ratio, 6) AS failed_connection_ratio, round(syn_flood_score, 6) AS syn_flood_score,
   flow_duration, round(flow_idle_time, 6) AS flow_idle_time, round(bidirectional_ratio, 6) AS bidirectional_ratio,
-  avg_payload_size, round(header_repetition_score, 6) AS header_repetition_score, packet_interval_std
+  avg_payload_size, round(header_repetition_score, 6) AS header_repetition_score, packet_interval_std,
+  round(payload_entropy, 6) AS payload_entropy
 FROM ({FULL_SQL}) WHERE l_returnflag IN ('R', 'A')""")
 def _(t):
     df = feat.map_traffic_full(traffic_csv(t), keep=["row_id"])
-    names = [c for c in NETWORK_FEATURES[:19] if c != "payload_entropy"]
-    rough = ("failed_connection_ratio", "syn_flood_score", "flow_idle_time", "bidirectional_ratio",
+    names = NETWORK_FEATURES[:19]
+    rough = ("payload_entropy", "failed_connection_ratio", "syn_flood_score", "flow_idle_time", "bidirectional_ratio",
              "header_repetition_score")
     return df.select(F.col("row_id").cast("bigint").alias("row_id"), *[
         F.round(c, 6).alias(c) if c in rough else F.col(c) for c in names])
@@ -254,25 +255,24 @@ def _(t):
                      F.col("features")[6].alias("seventh"), F.col("features")[26].alias("last_value"))
 
 
-PROFILED = ("tcp_ratio", "connection_count", "bytes_per_second", "failed_connection_ratio", "icmp_ratio", "is_outbound")
-
-
 def _profile_sql() -> str:
     one = """SELECT '{c}' AS feature, count(*) FILTER (WHERE x IS NULL) AS nulls,
       count(*) FILTER (WHERE isinf(x)) AS infinities, count(*) FILTER (WHERE NOT isinf(x) AND x <> 0) AS non_zero,
       count(*) FILTER (WHERE NOT isinf(x)) AS n, round(avg(x) FILTER (WHERE NOT isinf(x)), 4) AS mean,
-      min(x) FILTER (WHERE NOT isinf(x)) AS low, max(x) FILTER (WHERE NOT isinf(x)) AS high,
+      round(stddev_samp(x) FILTER (WHERE NOT isinf(x)), 4) AS std,
+      round(min(x) FILTER (WHERE NOT isinf(x)), 9) AS low, round(max(x) FILTER (WHERE NOT isinf(x)), 9) AS high,
       coalesce(var_samp(x) FILTER (WHERE NOT isinf(x)) < 0.001, FALSE) AS low_variance FROM (SELECT {x} AS x FROM base)"""
-    body = " UNION ALL ".join(one.format(c=c, x="0.0::DOUBLE" if c == "is_outbound" else c) for c in PROFILED)
+    made = set(NETWORK_FEATURES[:19])
+    body = " UNION ALL ".join(one.format(c=c, x=c if c in made else "0.0::DOUBLE") for c in FEATURES)
     return f"WITH base AS ({FULL_SQL}) {body}"
 
 
 @query("ml13_feature_profile", _profile_sql())
 def _(t):
-    df = feat.map_traffic_full(traffic_rows(t).drop("Label"))
-    p = feat.profile(df).filter(F.col("feature").isin(*PROFILED))
+    p = feat.profile(feat.map_traffic_full(traffic_rows(t).drop("Label")))
     return p.select("feature", "nulls", "infinities", "non_zero", F.col("values").alias("n"),
-                    F.round("mean", 4).alias("mean"), "low", "high", "low_variance")
+                    F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("low", 9).alias("low"),
+                    F.round("high", 9).alias("high"), "low_variance")
 
 
 @query("ml14_non_zero_features", f"""

@@ -414,10 +414,25 @@ def _(t):
     return quality.injection_counts(hits).select("family", "pattern", "rows")
 
 
-@query("dq2_injection_scan_documents", _scan_sql("documents", "text", ALL_PATTERNS))
+# one text for each pattern, put behind a part of the documents
+SNIPPETS = ("x OR a=1=1", "Union  Select 1", "drop table t", "delete  from t", "INSERT INTO t", "update t set a", "a -- b", "a /* b */ c",
+            "a; drop b", "XP_CMDSHELL", "<script a>b</script>", "JavaScript:b", "onclick = b", "<IFRAME b", "<object b", "<embed b", "")
+SNIPPET_LIST = "[" + ", ".join(f"'{x}'" for x in SNIPPETS) + "]"
+
+
+@query("dq2_injection_scan_documents", _scan_sql(
+    f"(SELECT text || chr(10) || {SNIPPET_LIST}[doc_id % {len(SNIPPETS)} + 1] AS text FROM documents)", "text", ALL_PATTERNS))
 def _(t):
-    hits = quality.injection_hits(t.documents, "doc_id", ["text"])
-    return quality.injection_counts(hits).select("family", "pattern", "rows")
+    snippet = F.element_at(F.array(*[F.lit(x) for x in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS) + 1).cast("int"))
+    docs = t.documents.select("doc_id", F.concat("text", F.lit("\n"), snippet).alias("text"))
+    return quality.injection_counts(quality.injection_hits(docs, "doc_id", ["text"])).select("family", "pattern", "rows")
+
+
+@query("dq3_text_normalise_whole", """
+SELECT doc_id, CAST(NULL AS VARCHAR) AS error, length(trim(text)) AS chars, md5(trim(text)) AS digest FROM documents""")
+def _(t):
+    return quality.normalise_text(t.documents.select("doc_id", "text"), "text").select(
+        "doc_id", F.col("error").cast("string").alias("error"), F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 # the given texts are already in compatibility form and free of NULs; unit tests cover both

@@ -382,3 +382,14 @@ def test_broken_training_files_are_listed(spark, tmp_path):
     (tmp_path / "bad" / "x.parquet").write_bytes(b"PAR1 this is no parquet PAR1")
     assert datasets.read_training_files(spark, str(tmp_path)).count() == 5
     assert [(r.path.rsplit("/", 1)[1], r.size) for r in datasets.silent_training_files(spark, str(tmp_path)).collect()] == [("x.parquet", 28)]
+
+
+def test_large_k_goes_by_ranges(spark):
+    """A hot group, a null group and small ones, with more rows wanted than Spark cuts on the map side."""
+    rows = [(0 if i % 5 else i % 7, (i * 7919) % 10007, i) for i in range(9000)] + [(None, i, 9000 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "g int, v int, id long")
+    want = set()
+    for g in {r[0] for r in rows}:
+        want |= {r[2] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:1500]}
+    got = ranking.top_per_group(df.repartition(5), ["g"], [F.desc("v"), F.col("id")], 1500).select("id").collect()
+    assert len(got) == len(want) and {r.id for r in got} == want
