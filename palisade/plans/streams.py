@@ -118,7 +118,7 @@ SELECT k.cve_id, k.cve_id AS title, g.description, g.severity, k.source
 FROM known_threats k JOIN graded g ON g.cve_id = k.cve_id""")
 def _(t):
     folder = land_pages(t, nvd_feed(t), "threat_id", "st4-in")
-    table = jobs.VersionedTable(t.spark, scratch_dir(t.spark, "st4"), jobs.THREATS)
+    table = jobs.ChangeTable(t.spark, scratch_dir(t.spark, "st4"), jobs.THREATS, "cve_id")
     table.create(stored_threats(t))
     q = jobs.ingest_feed(t.spark, folder, table, scratch_dir(t.spark, "st4-log"),
                          F.to_timestamp(F.lit("2024-01-31 00:00:00")))

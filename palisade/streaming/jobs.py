@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palisade.operators import detectors, features, threats as thr
 from palisade.operators.features import PAIR
@@ -143,35 +144,50 @@ def score_stream(windows: DataFrame, forest: Forest, assets: DataFrame, path: st
             .trigger(availableNow=True).start())
 
 
-class VersionedTable:
-    """A table rewritten per batch: version ``v`` holds the state after batch ``v``."""
+class ChangeTable:
+    """A keyed table as appended changes: folder ``batch=n`` holds the rows that batch ``n`` changed, -1 the first rows.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, struct_of(schema)
+    A batch that is run again replaces its own folder. ``compact`` writes the rows as they are after a batch to a new
+    table, so that changes need not be kept for ever.
+    """
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version}"
+    def __init__(self, spark: SparkSession, root: str, schema: str | StructType, key: str):
+        self.spark, self.root, self.key = spark, root, key
+        self.schema = struct_of(schema) if isinstance(schema, str) else schema
 
     def create(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self.path(-1))
+        self.write(rows, -1)
+
+    def read(self, batch: int) -> DataFrame:
+        """The newest row of every key after ``batch``."""
+        names = self.schema.fieldNames()
+        kept = StructType([*self.schema.fields, StructField("batch", LongType())])
+        changes = self.spark.read.schema(kept).parquet(self.root)
+        return latest_per_key(changes.filter(F.col("batch") <= batch), [self.key], ["batch"]).select(*names)
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path(version))
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(self.path(version))
+    def compact(self, batch: int, root: str) -> ChangeTable:
+        fresh = ChangeTable(self.spark, root, self.schema, self.key)
+        fresh.create(self.read(batch))
+        return fresh
 
 
-def ingest_feed(spark: SparkSession, folder: str, table: VersionedTable, checkpoint: str, as_of: Column,
+def ingest_feed(spark: SparkSession, folder: str, table: ChangeTable, checkpoint: str, as_of: Column,
                 files_per_batch: int = 1000) -> StreamingQuery:
-    """New feed pages in a folder are folded into the threat table; the checkpoint is the bookmark."""
+    """New feed pages in a folder are folded into the threat table; the checkpoint is the bookmark.
+
+    A batch reads the rows of its own keys and appends what it changed.
+    """
     pages = (spark.readStream.schema(NVD_DOCUMENT).option("multiLine", True)
              .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).json(folder)
              .withColumn("page", F.input_file_name()))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        merged = thr.apply_nvd(table.read(batch_id - 1), thr.last_in_batch(parse_nvd(batch)), as_of)
-        table.write(merged.drop("action"), batch_id)
+        fresh = thr.last_in_batch(parse_nvd(batch))
+        known = table.read(batch_id - 1).join(fresh.select("cve_id"), "cve_id", "left_semi")
+        table.write(thr.apply_nvd(known, fresh, as_of).drop("action"), batch_id)
 
     return (pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -184,14 +200,22 @@ def insert_once(stream: DataFrame, existing: DataFrame, watermark: str = "1 hour
             .join(existing.select(*keys), keys, "left_anti"))
 
 
-def track_last_seen(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def track_last_seen(stream: DataFrame, path: str, checkpoint: str, forget_after: str | None = None) -> StreamingQuery:
     """First and last sighting and number of sightings per address, kept as streaming state.
 
-    Each batch appends only the addresses it changed; ``last_seen`` reads the result.
+    Each batch appends only the addresses it changed; ``last_seen`` reads the result. With ``forget_after`` (say
+    "30 days") the state is kept by period of that length and dropped when the watermark has passed it, so it does
+    not grow for ever; ``last_seen`` adds the periods up.
     """
     at = F.col("ts").cast("timestamp")
-    state = stream.groupBy("organization_id", F.col("source_ip").alias("ip_address")).agg(
+    period = F.lit(0).cast("timestamp")
+    if forget_after:
+        stream = _timed(stream, forget_after)
+        period = F.window("ts", forget_after)
+    state = stream.groupBy("organization_id", F.col("source_ip").alias("ip_address"), period.alias("period")).agg(
         F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), F.count("*").alias("sightings"))
+    if forget_after:
+        state = state.withColumn("period", F.col("period.start"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -201,8 +225,11 @@ def track_last_seen(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def last_seen(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of every address from the appended changes."""
-    return latest_per_key(spark.read.parquet(path), ["organization_id", "ip_address"], ["batch"]).drop("batch")
+    """The sightings of every address: its newest appended row in each period, added up."""
+    keys = ["organization_id", "ip_address"]
+    newest = latest_per_key(spark.read.parquet(path), [*keys, "period"], ["batch"])
+    return newest.groupBy(*keys).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+                                     F.sum("sightings").alias("sightings"))
 
 
 class LateRows:

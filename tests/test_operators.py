@@ -3,6 +3,7 @@ import ipaddress
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import allowlist, archive, inventory, merging, models, quality, ranking, redaction
@@ -309,14 +310,15 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_last_seen_over_two_runs(spark, tmp_path):
+@pytest.mark.parametrize("forget_after", [None, "36 hours"])
+def test_last_seen_over_two_runs(spark, tmp_path, forget_after):
     from test_features import EVENTS
 
-    for day in (3, 1):
+    for day in (3, 1) if forget_after is None else (1, 3):
         rows = [(1, ip, "8.8.8.8", dt.datetime(2024, 1, day), 10.0, 6, False, 80, 1, False) for ip in ("a", f"b{day}")]
         spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(str(tmp_path / "in"))
         stream = jobs.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-        jobs.track_last_seen(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+        jobs.track_last_seen(stream, str(tmp_path / "out"), str(tmp_path / "log"), forget_after).awaitTermination()
     got = {r.ip_address: (r.first_seen_at.day, r.last_seen_at.day, r.sightings)
            for r in jobs.last_seen(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": (1, 3, 2), "b3": (3, 3, 1), "b1": (1, 1, 1)}
@@ -393,3 +395,14 @@ def test_large_k_goes_by_ranges(spark):
         want |= {r[2] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:1500]}
     got = ranking.top_per_group(df.repartition(5), ["g"], [F.desc("v"), F.col("id")], 1500).select("id").collect()
     assert len(got) == len(want) and {r.id for r in got} == want
+
+
+def test_change_table_reads_and_compacts(spark, tmp_path):
+    table = jobs.ChangeTable(spark, str(tmp_path / "t"), "id long, v string", "id")
+    for batch, rows in ((-1, [(1, "a"), (2, "b")]), (0, [(2, "c"), (3, "d")]), (1, [(1, "e")])):
+        table.write(spark.createDataFrame(rows, "id long, v string"), batch)
+    table.write(spark.createDataFrame([(1, "f")], "id long, v string"), 1)  # a batch that is run again
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(table.read(0)) == [(1, "a"), (2, "c"), (3, "d")] and rows(table.read(-1)) == [(1, "a"), (2, "b")]
+    small = table.compact(1, str(tmp_path / "u"))
+    assert rows(small.read(-1)) == rows(table.read(1)) == [(1, "f"), (2, "c"), (3, "d")]
