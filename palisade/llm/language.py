@@ -34,7 +34,7 @@ SAMPLE = 1000
 MAX_WORDS = 60_000
 LONGEST_GRAM = 4
 #: Unknown words whose scores a task keeps at hand.
-CACHE = 300_000
+CACHE = 600_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,7 +72,12 @@ class Scorer(dict):
     """Row of each word in a table of scores; unknown words are added when first met."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
+        super().__init__()
+        self.fill(model)
+
+    def fill(self, model: LanguageModel) -> None:
+        self.clear()
+        self.update(model.words)
         self.model, self.scores, self.used = model, model.word_scores.copy(), len(model.word_scores)
 
     def __missing__(self, word: str) -> int:
@@ -88,7 +93,7 @@ class Scorer(dict):
         if not self.model.languages or not has_letter(words):
             return UNKNOWN, 0.0
         if len(self) > len(self.model.words) + CACHE:
-            self.__init__(self.model)
+            self.fill(self.model)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = self.scores[at].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())

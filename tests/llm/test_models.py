@@ -67,6 +67,15 @@ def test_words_known_first_then_shorter_pieces(tongues):
     assert predict("漢字")[0] in tongues.languages
 
 
+def test_full_cache_is_emptied(tongues, docs, monkeypatch):
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    want = [language.Scorer(tongues).predict(t) for t in texts]
+    monkeypatch.setattr(language, "CACHE", 20)
+    scorer = language.Scorer(tongues)
+    got = [scorer.predict(t + f" q{i}zzv") for i, t in enumerate(texts)]
+    assert [g[0] for g in got] == [w[0] for w in want] and len(scorer) < len(tongues.words) + 5000
+
+
 def test_language_of_odd_rows(odd, odd_rows, empty, tongues):
     got = Counter((r.doc_id, r.lang_pred == "und") for r in language.predict(odd, tongues).collect())
     letters = lambda t: bool(t) and any(c.isalpha() for c in t)
