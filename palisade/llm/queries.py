@@ -90,6 +90,22 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM u"""
 
+# CRC-32 by its byte table; scores as in sharding.rendezvous
+OP2_SQL = f"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+                         ORDER BY n) AS steps FROM (SELECT unnest(range(256)) AS n)),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes,
+             list_transform(range({N_SHARDS + 1}), lambda s: -1.0::DOUBLE / ln(CAST('0x' || substr(md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), 'null')
+                 || ':' || s), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE + 1 / 9007199254740992.0::DOUBLE)) AS scores FROM documents),
+r AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                 lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32,
+             list_position(scores[:{N_SHARDS}], list_max(scores[:{N_SHARDS}])) - 1 AS shard,
+             list_position(scores, list_max(scores)) - 1 AS grown_shard FROM d, crc)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard
+FROM r"""
+
 OP4_SQL = rf"""
 WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                              '{UPPER}', '{LOWER}') AS k
@@ -108,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
+    "op2_shard": OP2_SQL,
     "op3_scan_licenses": licenses.oracle_sql(),
     "op4_dedup_lines": OP4_SQL,
     "op5_near_dedup": near_dedup.oracle_sql(),
