@@ -5,9 +5,9 @@ Patterns run over the whole text. For the CRF a line is one sequence of tokens (
 features of the file. Labels are decoded by Viterbi.
 
 The CRF is fitted on lines with pattern matches from about ``sample`` documents, chosen by a hash of the text, on
-copies of them with secrets of other forms, and on lines without any. Most lines hold no token that could be part
-of a secret: when no token of a line can gain over *outside* even with the best neighbours, file and transitions,
-all *outside* is the best path, so only the other lines are decoded. The result is that of decoding all.
+copies of them with secrets of other forms, and on lines without any. The scores of all tokens of a text are table
+look-ups. Most lines have no token whose scores, with the best transitions on either side, favour a secret: there all
+*outside* is the best path, so only the other lines are decoded. The result is that of decoding all.
 
 Defined cases: a null text is empty and has no spans; rows that repeat a doc_id are scanned each for itself; spans
 are in code points, end exclusive; an empty table gives no rows.
@@ -40,7 +40,9 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE = 150
 BEGIN, INSIDE, OUTSIDE = 1, 2, 0
 _TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]")
+_TOKEN_OR_END = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]|\n")
 _KEYWORD = re.compile(r"(?i)passw|secret|token|api_?key|apikey|credential|auth|private|access_?key|^pwd$|^key$")
+_HEX_ONLY = re.compile(r"[0-9a-f]+")
 _KNOWN = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_|pk_|xox[abp]-|eyJ|AIza|glpat-|hf_|npm_|SG\.)")
 REACH = (-4, -3, -2, -1, 1, 2)
 _CACHE = 500_000
@@ -79,13 +81,16 @@ def shape(token: str) -> list[str]:
     kind = kind_of(token)
     names = ["bias", f"kind={kind}", f"length={min(n.bit_length(), 8)}"]
     if n >= 6 and kind in ("mixed", "word", "digits"):
-        digits = sum(c.isdigit() for c in token)
-        upper, lower = any(c.isupper() for c in token), any(c.islower() for c in token)
+        low = token.lower()
+        upper, lower = token != low, token != token.upper()
+        digits = 0 if token.isalpha() else sum(map(str.isdigit, token))
+        if not digits and token[1:] == low[1:]:
+            turns = int(upper)
+        else:
+            turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(token, token[1:]))
         names += [f"digits={min(4, 8 * digits // n)}", f"cases={upper:d}{lower:d}{digits > 0:d}",
-                  f"variety={min(4, int(5 * len(set(token)) / min(n, 20)))}"]
-        turns = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(token, token[1:]))
-        names.append(f"turns={min(4, 8 * turns // n)}")
-        if re.fullmatch(r"[0-9a-f]+", token) and digits:
+                  f"variety={min(4, int(5 * len(set(token)) / min(n, 20)))}", f"turns={min(4, 8 * turns // n)}"]
+        if digits and _HEX_ONLY.fullmatch(token):
             names.append("hex")
         if not token.isascii():
             names.append("foreign")
@@ -209,26 +214,24 @@ def training_lines(material: list[tuple[list[str], list[str], list[str]]]) -> tu
     return sequences, labels
 
 
+#: The kinds of tokens; the first stands for whatever lies beyond a line's ends.
+TOKEN_KINDS = ("edge", "eq", "colon", "quote", "mark", "keyword", "digits", "word", "mixed")
+_KIND_NUMBER = {kind: i for i, kind in enumerate(TOKEN_KINDS)}
+
+
 @dataclass
 class SecretModel:
     crf: ChainCRF
 
     def __post_init__(self):
-        self.around = {d: {} for d in REACH}
-        zero = np.zeros(3)
-        for d in REACH:
-            for kind in ("eq", "colon", "quote", "mark", "keyword", "digits", "word", "mixed", "edge"):
-                self.around[d][kind] = self.crf.vector([f"at{d}={kind}"]) if self.crf.features else zero
-        if not self.crf.features:
-            self.gain = -math.inf
+        self.taught = bool(self.crf.features)
+        if not self.taught:
             return
-        gain = lambda v: max(v[BEGIN], v[INSIDE]) - v[OUTSIDE]
-        files = [[max((gain(self.crf.vector([f"{name}={i}"])) for i in range(5)))] for name in ("marks", "keys")]
+        self.around = {d: np.array([self.crf.vector([f"at{d}={kind}"]) for kind in TOKEN_KINDS]) for d in REACH}
         # a run of m tokens in a secret changes m + 1 transitions, at most two for each token
-        step = max(0.0, max(float(self.crf.moves[a, b]) for a in range(3) for b in range(3) if (a, b) != (0, 0))
-                   - float(self.crf.moves[0, 0]), float(max(self.crf.start[1:]) - self.crf.start[0]))
-        self.gain = (sum(max(gain(v) for v in self.around[d].values()) for d in REACH) + sum(f[0] for f in files)
-                     + 2 * step)
+        moves = self.crf.moves
+        best = max(float(moves[a, b]) for a in range(3) for b in range(3) if (a, b) != (OUTSIDE, OUTSIDE))
+        self.step = 2 * max(0.0, best - float(moves[OUTSIDE, OUTSIDE]), float(max(self.crf.start[1:]) - self.crf.start[OUTSIDE]))
 
 
 def _material(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,58 +260,80 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> SecretModel:
     return SecretModel(crf.fit(sequences, labels))
 
 
-class Scanner:
-    """Decodes texts with a model, keeping the scores of the tokens it has met."""
+class Scanner(dict):
+    """Row of each token in tables of scores and kinds; tokens are added when first met."""
 
     def __init__(self, model: SecretModel):
-        self.model, self.open, self.shapes = model, {}, {}
-
-    def may_gain(self, piece: str) -> bool:
-        """Whether a token of this white-space separated piece could be in a secret, in the best of surroundings."""
-        known = self.open.get(piece)
-        if known is None:
-            if len(self.open) >= _CACHE:
-                self.open.clear()
-            known = self.open[piece] = any(
-                max(v[BEGIN], v[INSIDE]) - v[OUTSIDE] + self.model.gain > 0
-                for v in (self.own(t) for t in _TOKEN.findall(piece)))
-        return known
-
-    def own(self, token: str) -> np.ndarray:
-        v = self.shapes.get(token)
-        if v is None:
-            if len(self.shapes) >= _CACHE:
-                self.shapes.clear()
-            v = self.shapes[token] = self.model.crf.vector(shape(token))
-        return v
+        super().__init__()
+        self.model = model
+        self.scores, self.kinds = np.zeros((1024, 3)), np.zeros(1024, np.int64)
+        self.shapes: dict[tuple[str, ...], np.ndarray] = {}  # few: features have few values
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self["\n"] = 0  # of kind "edge"
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == len(self.scores):
+            self.scores, self.kinds = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.kinds))
+        names = tuple(shape(token))
+        vector = self.shapes.get(names)
+        if vector is None:
+            vector = self.shapes[names] = self.model.crf.vector(names)
+        self.scores[at], self.kinds[at] = vector, _KIND_NUMBER[names[1][5:]]
+        self[token] = at
+        return at
+
+    def emissions(self, tokens: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each token's labels, and the line it is in; an end of a line begins the next."""
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        kinds = self.kinds[at]
+        line = np.cumsum(kinds == 0)
+        emit = self.scores[at] + whole
+        for d in REACH:
+            near = np.zeros(len(kinds), np.int64)
+            to, of = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            near[to] = np.where(line[to] == line[of], kinds[of], 0)
+            emit += self.model.around[d][near]
+        return emit, line
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the tagged secrets."""
-        if self.model.gain == -math.inf or not any(map(self.may_gain, set(text.split()))):
+        if not self.model.taught:
+            return []
+        if len(self) > _CACHE:
+            self.restart()
+        tokens = _TOKEN_OR_END.findall(text)
+        if not tokens:
             return []
-        whole = self.model.crf.vector(file_features(text))
-        found, offset = [], 0
-        for line in text.split("\n"):
-            if any(map(self.may_gain, line.split())):
-                found += [(offset + a, 3, offset + b) for a, b in self._line(line, whole)]
-            offset += len(line) + 1
+        emit, line = self.emissions(tokens, self.model.crf.vector(file_features(text)))
+        gain = np.maximum(emit[:, BEGIN], emit[:, INSIDE]) - emit[:, OUTSIDE] + self.model.step
+        open_lines = np.unique(line[gain > 0])
+        if not len(open_lines):
+            return []
+        places, found = [m.span() for m in _TOKEN_OR_END.finditer(text)], []
+        for number in open_lines:
+            low, high = np.searchsorted(line, (number, number + 1))
+            low += tokens[low] == "\n"
+            if low < high:
+                found += self._decode(emit[low:high], places[low:high])
         return found
 
-    def _line(self, line: str, whole: np.ndarray) -> list[tuple[int, int]]:
-        spans = [m.span() for m in _TOKEN.finditer(line)]
-        tokens = [line[a:b] for a, b in spans]
-        kinds = [kind_of(t) for t in tokens]
-        emit = np.array([self.own(t) for t in tokens]) + whole
-        for d in REACH:
-            table = self.model.around[d]
-            emit += np.array([table[kinds[i + d] if 0 <= i + d < len(kinds) else "edge"] for i in range(len(kinds))])
+    def _decode(self, emit: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         out: list[list[int]] = []
-        for (start, end), y in zip(spans, self.model.crf.viterbi(emit)):
+        for (start, end), y in zip(places, self.model.crf.viterbi(emit)):
             if y == BEGIN or (y == INSIDE and not out):
-                out.append([start, end])
+                out.append([start, 3, end])
             elif y == INSIDE:
-                out[-1][1] = end
-        return [(a, b) for a, b in out]
+                out[-1][2] = end
+        return [tuple(x) for x in out]
+
+    def decode_line(self, line: str, whole: np.ndarray) -> list[tuple[int, int, int]]:
+        """One line decoded without a look at what it could gain."""
+        places = [m.span() for m in _TOKEN.finditer(line)]
+        return self._decode(self.emissions([line[a:b] for a, b in places], whole)[0], places) if places else []
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
