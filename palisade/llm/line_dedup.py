@@ -1,9 +1,9 @@
-"""Drop repeated lines across documents with two Bloom filters and an exact confirmation.
+"""Drop repeated lines across documents with a Bloom filter and an exact confirmation.
 
 1. Each task hashes the keys of its lines; a hash leaves the task once, marked when the task met it twice.
-2. Hashes meet by value. Each reducer streams them through a *once* filter and a *twice* filter: a hash that the
-   once filter already knows is a suspect, and the twice filter keeps it from being reported again. The filters
-   have a fixed number of bits, so memory is bounded; a crowded filter only adds suspects.
+2. Hashes meet by value. Each reducer streams them through a *once* filter: a hash that the filter already knows is
+   a suspect, each time it comes again. A second filter must not silence those repeats, as its false positives would
+   take suspects away. The filter has a fixed number of bits, so memory is bounded; a crowded one only adds suspects.
 3. Lines with a suspected hash are confirmed by the SHA-256 of their whole key: first and last document per key,
    combined before the shuffle, so a line that every document holds costs one row per task.
 4. Documents take up the keys that they lose.
@@ -94,23 +94,20 @@ class Bloom:
 
 def _suspects(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = Bloom(bits), Bloom(bits)
+        once = Bloom(bits)
         for batch in batches:
             values, first, count = np.unique(batch.column("hash").to_numpy(), return_inverse=True, return_counts=True)
             again = np.zeros(len(values), bool)
             np.logical_or.at(again, first, batch.column("again").to_numpy(zero_copy_only=False))
             repeated = again | (count > 1) | once.holds(values)
             once.add(values)
-            found = values[repeated]
-            found = found[~twice.holds(found)]
-            twice.add(found)
-            yield pa.RecordBatch.from_arrays([pa.array(found)], ["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[repeated])], ["hash"])
 
     return run
 
 
 def suspected_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
-    """hash of every line key that may stand in more than one document; no repeated key is missing."""
+    """hash, perhaps several times, of every line key that may stand in more than one document; no repeated key is missing."""
     seen = docs.select("text").mapInArrow(_seen_in_task(min_chars), "hash long, again boolean")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return seen.repartition(parts, "hash").mapInArrow(_suspects(bits), "hash long")

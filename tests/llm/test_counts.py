@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,14 @@ def test_crowded_filters_only_add_suspects(odd, odd_rows):
     assert got == Counter(brute.line_dedup([r[:2] for r in odd_rows]))
 
 
+def test_crowded_filters_report_every_repeat():
+    hashes = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 20_000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(part), pa.array([False] * len(part))], ["hash", "again"])
+               for _ in range(2) for part in np.split(hashes, 20)]
+    found = [h for b in line_dedup._suspects(1 << 16)(iter(batches)) for h in b.column("hash").to_pylist()]
+    assert set(found) == set(hashes.tolist())
+
+
 def test_filters_know_what_they_saw():
     import numpy as np
 
