@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words, or a whole shorter item, of the benchmark go."""
+    """Rows that hold ten consecutive words, or a whole shorter item, of the benchmark go."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -37,6 +37,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` stored with a number of its own for each row, and the name of that column."""
+    row = fresh(df, "row_number")
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), label), row
+
+
 def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, RAW_WORD, UPPER, ascii_lower, stored
+from .common import LOWER, RAW_WORD, UPPER, ascii_lower, numbered, stored
 
 WINDOW = 10
 #: The term of each document's end, which holds its number of words as the position.
@@ -154,11 +154,12 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a window; rows that share such a document's id go with it."""
-    hit = contamination(docs.select("doc_id", "text"), items, width).where("contaminated").select(
-        F.col("doc_id").alias("hit_doc_id")).distinct()
-    hit = stored(hit, "contaminated-ids")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_doc_id"]), "left_anti")
+    """``docs`` without the rows that hold a window; other rows of the same doc_id, or without one, stay."""
+    rows, row = numbered(docs, "contamination-rows")
+    hit = contamination(rows.select(F.col(row).alias("doc_id"), "text"), items, width).where("contaminated").select(
+        F.col("doc_id").alias("hit_row"))
+    hit = stored(hit, "contaminated-rows")
+    return rows.join(hit, rows[row] == hit["hit_row"], "left_anti").drop(row)
 
 
 ORACLE_SQL = f"""

@@ -150,6 +150,14 @@ def test_contamination(spark, odd, odd_rows, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if d not in hit_ids)
 
 
+def test_clean_rows_stay_beside_contaminated_rows_of_their_id(spark):
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    rows = [(None, "zero one two three"), (None, "clean"), (7, "One, two, three"), (7, "also clean"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.without_contaminated(docs, items).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, "clean"), (7, "also clean"), (8, None)])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha b c d beta e f g h i j k alpha x beta"), (2, "alpha " + "z " * 9 + "beta")],
                                  "doc_id long, text string")
