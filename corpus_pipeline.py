@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id."""
+    """One document of each group of near-duplicates stays, the one with the least id; rows that repeat that id stay too."""
     return near_dedup.without_near_duplicates(docs)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, fresh, id_key, stored
+from .common import NO_ID, id_key, numbered, stored
 from .components import component_labels
 
 BANDS, ROWS = 75, 9
@@ -133,8 +133,8 @@ def _sketches(width: int):
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                 keys.append(band_keys(values) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "digest", "keys"])
+                [batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "n_shingles", "digest", "keys"])
 
     return run
 
@@ -181,17 +181,14 @@ def _confirm(width: int, percent: int):
 
         for batch in batches:
             u, v = [], []
-            columns = [batch.column(c).to_pylist() for c in ("hub", "i", "j", "member", "digest")]
-            for hub, i, j, member, digest, text in zip(*columns, _bytes(batch.column("text"))):
+            columns = [batch.column(c).to_pylist() for c in ("hub", "i", "j", "member")]
+            for hub, i, j, member, text in zip(*columns, _bytes(batch.column("text"))):
                 if (hub, i, j) != tile:
                     for all_of, some in zip((u, v), links()):
                         all_of += some
                     tile, nodes, sets = (hub, i, j), [], []
-                values = shingles(text, width, hashes)
-                # another row may have the same doc_id, and the same row may come twice
-                if xxhash.xxh3_128_digest(values.tobytes()) == digest and member not in nodes[-1:]:
-                    nodes.append(member)
-                    sets.append(values)
+                nodes.append(member)
+                sets.append(shingles(text, width, hashes))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
         u, v = links()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -206,21 +203,24 @@ def _tiles() -> Column:
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, percent: int) -> DataFrame:
-    """u, v: links among the nodes of each star (hub, member) that join all that are similar enough over links."""
+    """u, v: links among the nodes of each star (hub, member) that join all that are similar enough over links.
+
+    ``docs`` (row, text) has the text of each node at its ``first_row``.
+    """
     hubs = stars.select("hub").distinct().select("hub", F.col("hub").alias("member"))
     edges = stored(stars.unionByName(hubs), "near-edges")
     degree = edges.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
     wanted = stored(edges.select(F.col("member").alias("node")).distinct()
-                    .join(nodes.select("node", "first_id", "digest"), "node"), "near-wanted")
-    # the ids alone are small enough to be sent to the scan for longer; beyond that Spark shuffles, or filters by Bloom
-    ids = stored(wanted.select("first_id").distinct(), "near-ids")
-    texts = (docs.select(id_key().alias("first_id"), "text").join(ids, "first_id", "left_semi")
-             .join(wanted, "first_id").select("node", "digest", "text"))
+                    .join(nodes.select("node", "first_row"), "node"), "near-wanted")
+    # the rows alone are small enough to be sent to the scan for longer; beyond that Spark shuffles, or filters by Bloom
+    rows = stored(wanted.select("first_row"), "near-rows")
+    texts = (docs.select(F.col("row").alias("first_row"), "text").join(rows, "first_row", "left_semi")
+             .join(wanted, "first_row").select("node", "text"))
     placed = (edges.join(degree, "hub")
               .withColumn("slice", F.pmod(F.xxhash64("member"), "slices").cast("int"))
               .select("hub", "member", F.inline(_tiles())))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = (placed.join(texts, F.col("member") == F.col("node")).select("hub", "i", "j", "member", "digest", "text")
+    met = (placed.join(texts, F.col("member") == F.col("node")).select("hub", "i", "j", "member", "text")
            .repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "member"))
     return met.mapInArrow(_confirm(width, percent), "u long, v long")
 
@@ -244,22 +244,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id: the least doc_id that can be reached over links. keeper: the one row of its group that stays,
     the row with that id. Rows without id carry the id NO_ID.
     """
-    docs = docs.select("doc_id", "text")
-    cut = stored(docs.select(id_key().alias("id"), "text").mapInArrow(
-        _sketches(width), "id long, n_shingles long, digest binary, keys array<long>")
-        .withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    rows, row = numbered(docs.select("doc_id", "text"), "near-docs")
+    return _grouped(rows.select(F.col(row).alias("row"), id_key().alias("id"), "text"), width, percent)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of stored rows (row, id, text)."""
+    cut = stored(docs.mapInArrow(
+        _sketches(width), "row long, id long, n_shingles long, digest binary, keys array<long>"), "near-sketches")
     nodes = stored(cut.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+        F.min("id").alias("first_id"), F.min("row").alias("first_row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
         .withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     labels = link_labels(docs, nodes, width, percent)
     placed = stored(nodes.join(labels, "node", "left").select(
         "digest", "first_id", F.coalesce("label", "node").alias("label")), "near-placed")
     least = placed.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    ids = stored(placed.join(least, "label").select("digest", "component_id"), "near-components")
+    ids = stored(placed.join(least, "label").select("digest", "label", "component_id"), "near-components")
     whole = cut.select("row", "id", "n_shingles", "digest").join(ids, "digest", "left").withColumn(
         "component_id", F.coalesce("component_id", "id"))
     own = (F.col("id") == F.col("component_id")) & (F.col("n_shingles") > 0)
-    first = whole.where(own).groupBy("component_id").agg(F.min("row").alias("row")).select(
+    # by label: groups without any id, or of other texts under the same id, share a component_id
+    first = whole.where(own).groupBy("label").agg(F.min("row").alias("row")).select(
         "row", F.lit(True).alias("first_row"))
     return whole.join(first, "row", "left").select(
         "row", "id", "n_shingles", "component_id",
@@ -274,16 +279,16 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least doc_id.
+    """``docs`` with one document of each group: the one with the least doc_id, or one row if none has a doc_id.
 
-    Rows that repeat an id stay or go together, as rows are told apart by their id here; documents without words
-    and rows without id stay.
+    Rows are dropped by a stored number, so another text under the doc_id of a dropped copy stays. Rows of a group
+    that repeat its least doc_id all stay. Documents without words stay.
     """
-    found = near_duplicates(docs, width, percent)
-    gone = found.where((F.col("id") != F.col("component_id")) & (F.col("id") != NO_ID)).select(
-        F.col("id").alias("gone_id")).distinct()
-    gone = stored(gone, "near-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    rows, row = numbered(docs, "near-docs")
+    found = _grouped(rows.select(F.col(row).alias("row"), id_key().alias("id"), "text"), width, percent)
+    repeat = (F.col("id") == F.col("component_id")) & (F.col("id") != NO_ID)
+    gone = stored(found.where(~F.col("keeper") & ~repeat).select(F.col("row").alias("gone_row")), "near-gone")
+    return rows.join(gone, rows[row] == gone["gone_row"], "left_anti").drop(row)
 
 
 def oracle_sql(width: int = 4, percent: int = 80) -> str:

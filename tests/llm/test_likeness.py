@@ -53,6 +53,14 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     assert near_dedup.without_near_duplicates(empty).count() == 0
 
 
+def test_copies_go_by_row(spark):
+    copy, other = "one two three four five six seven", "quite another text under the same number as a copy"
+    rows = [(1, copy), (5, copy), (5, other), (None, copy), (None, "only here without a number at all"),
+            (None, "said twice without any number at all"), (None, "said twice without any number at all"), (None, None)]
+    kept = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[0], rows[2], rows[4], rows[5], rows[7]])
+
+
 def test_links_hidden_behind_a_hub_are_found(spark):
     """A bucket's hub is linked with none of two members that are linked with each other."""
     base = [f"a{i}" for i in range(100)]
