@@ -6,7 +6,8 @@ frequencies. A text's language is the one with the highest sum; its score is tha
 posterior.
 
 The model is fitted on about ``sample`` labelled documents of each language, chosen by a hash of their id, and
-holds at most ``max_words`` words, the most frequent; so it is of bounded size and is sent to all tasks.
+holds the ``max_words`` most frequent words of each language and the n-grams of all words of the sample; so its size
+is bounded by the sample and it is sent to all tasks.
 Prediction reads every text whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; documents without language or id
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -112,6 +113,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
 
+def grams_of(word: str) -> list[str]:
+    framed = f"<{word}>"
+    return [framed[i:i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(framed) - n + 1)]
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: Counter = Counter()
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+            for gram in grams_of(word):
+                found[lang, gram] += n
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+             pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> LanguageModel:
     """Learn from ``docs`` (doc_id, text, lang); rows that are held out, or lack a language, text or id, teach nothing."""
     labelled = docs.select("doc_id", "text", "lang").where(
@@ -123,31 +141,32 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> La
     counts = (chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     counts = stored(counts, "language-words")
-    totals = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(max_words)
-    kept = counts.join(totals, "word").select("lang", "word", "n").collect()  # at most max_words words
-    return build(kept)
-
-
-def build(rows: list[tuple[str, str, int]]) -> LanguageModel:
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    words = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_words).select("word").distinct()
+    kept = counts.join(words, "word").select("lang", "word", "n").collect()  # at most max_words words of each language
+    grams = (counts.mapInArrow(_count_grams, "lang string, gram string, n long")
+             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect())
+    return build(kept, grams)
+
+
+def _table(rows: list[tuple[str, str, int]], number: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
+    place: dict[str, int] = {}
+    for _, name, _ in rows:
+        place.setdefault(name, len(place))
+    counts = np.zeros((len(place), len(number)))
+    for lang, name, n in rows:
+        counts[place[name], number[lang]] += n
+    return place, counts
+
+
+def build(rows: list[tuple[str, str, int]], gram_rows: list[tuple[str, str, int]] | None = None) -> LanguageModel:
+    """The model of (lang, word, n) and (lang, gram, n), by default the n-grams of the same words."""
+    if gram_rows is None:
+        gram_rows = [(lang, gram, n) for lang, word, n in rows for gram in grams_of(word)]
     languages = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(languages)}
-    words: dict[str, int] = {}
-    for _, word, _ in rows:
-        words.setdefault(word, len(words))
-    counts = np.zeros((len(words), len(languages)))
-    for lang, word, n in rows:
-        counts[words[word], number[lang]] += n
-    grams: dict[str, int] = {}
-    at, who = [], []
-    for word, row in words.items():
-        framed = f"<{word}>"
-        for n in range(1, LONGEST_GRAM + 1):
-            for i in range(len(framed) - n + 1):
-                at.append(grams.setdefault(framed[i:i + n], len(grams)))
-                who.append(row)
-    gram_counts = np.zeros((len(grams), len(languages)))
-    for i in range(len(languages)):
-        gram_counts[:, i] = np.bincount(np.array(at, np.int64), counts[np.array(who, np.int64), i], len(grams)) if at else 0
+    words, counts = _table(rows, number)
+    grams, gram_counts = _table(gram_rows, number)
     length = np.array([len(g) for g in grams], np.int64)
     gram_scores = np.zeros_like(gram_counts)
     for n in range(1, LONGEST_GRAM + 1):
