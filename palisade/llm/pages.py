@@ -4,9 +4,10 @@ A page is cut into leaf blocks: runs of text between the starts and ends of bloc
 features of its ancestors (tags, words of their classes and ids) and of its text (length, share of links,
 punctuation). A CRF with the labels *other* and *main* is decoded by Viterbi.
 
-It is fitted on labelled pages: about ``sample`` pages of the input that mark their article as such (``article`` or
+It is fitted on labelled pages: about ``sample`` of all pages of the input that mark their article as such (``article`` or
 ``main``; what a menu, header, footer, sidebar, form or comment list holds inside is *other*), and on the same
-blocks laid out anew by a set of labelled layouts, so that classes and ids count as well as tags.
+blocks laid out anew by a set of labelled layouts, so that classes and ids count as well as tags. Without such
+pages it is fitted on those layouts with texts of any pages.
 
 Defined cases: null or empty html has an empty text; text of scripts, styles and templates is markup; an unclosed
 element ends with its parent, a paragraph at the next block; rows that repeat a page_id are read each for itself;
@@ -259,13 +260,49 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["draw", "names", "labels"])
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE) -> ChainCRF:
-    """Fit on about ``sample`` pages (html), taken by a hash of their html."""
+def _sampled_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and labels of layouts with the longer texts of any pages."""
+    for batch in batches:
+        keys, names, labels = [], [], []
+        for key, html in zip(batch.column("draw").to_pylist(), batch.column("html").to_pylist()):
+            texts = [b.text for b in blocks_of(html)]
+            texts = [t for t in texts if len(t.split()) >= 10] or texts
+            if not texts:
+                continue
+            draw = random.Random(key)
+            for b, y in (laid_out(texts, draw), laid_out(texts, draw)):
+                keys.append(key)
+                names.append(["\n".join(f) for f in features(b)[:60]])
+                labels.append(y[:60])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))],
+            ["draw", "names", "labels"])
+
+
+def _drawn(pages: DataFrame, sampled, sample: int) -> DataFrame:
+    """The rows that ``sampled`` makes of a share of the pages, which grows until they are enough or all are read."""
+    pages = pages.withColumn("draw", F.xxhash64("html"))
     share = min(1.0, sample / max(pages.count(), 1))
-    limit = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    drawn = (pages.select("html").where("html IS NOT NULL").withColumn("draw", F.xxhash64("html"))
-             .where(F.col("draw") <= limit).mapInArrow(_sampled, "draw long, names array<string>, labels array<int>"))
-    rows = stored(drawn, "page-sample").orderBy("draw", "names", "labels").limit(3 * sample).collect()
+    while True:
+        limit = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+        rows = stored(pages.where(F.col("draw") <= limit).mapInArrow(
+            sampled, "draw long, names array<string>, labels array<int>"), "page-sample")
+        found = rows.count()
+        if share >= 1 or found >= sample:
+            return rows
+        share = min(1.0, share * max(2.0, min(64.0, 3 * sample / max(found, 1))))
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE) -> ChainCRF:
+    """Fit on about ``sample`` marked pages (html) of the whole table, taken by a hash of their html.
+
+    Without a marked page the layouts are fitted with texts of any pages.
+    """
+    pages = pages.select("html").where("html IS NOT NULL")
+    rows = _drawn(pages.where(F.col("html").rlike("(?i)<(article|main)")), _sampled, sample)
+    if rows.isEmpty():
+        rows = _drawn(pages, _sampled_texts, sample)
+    rows = rows.orderBy("draw", "names", "labels").limit(3 * sample).collect()
     crf = ChainCRF(2)
     return crf.fit([[f.split("\n") for f in r.names] for r in rows], [r.labels for r in rows])
 

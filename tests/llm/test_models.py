@@ -226,6 +226,16 @@ def test_odd_pages(spark, reader):
     assert {r.text for r in pages.extract(df, pages.fit(df.limit(0))).collect()} == {""}
 
 
+def test_rare_or_no_marked_pages_still_teach(spark):
+    prose = "The harbour was quiet in the morning, and the boats lay still beside the long stone pier. "
+    frame = "<body><nav class='main-menu'><ul><li><a href='/'>Home</a></li></ul></nav><{0}><p>{1}</p></{0}><footer>© us</footer></body>"
+    plain = [frame.format("div", f"{prose * 3} Number {i}.") for i in range(600)]
+    marked = [frame.format("article", f"{prose * 2} Number {i}.") for i in range(3)]
+    for html in (plain + marked, plain):
+        df = spark.createDataFrame([(h,) for h in html], "html string")
+        assert pages.fit(df, sample=10).features
+
+
 def test_pipeline_equals_plain_form(spark, docs, odd, tmp_path):
     more = docs.where("doc_id < 90").unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000).where("text IS NULL OR doc_id <> 1006"))
     more.write.parquet(f"{tmp_path}/documents.parquet")
