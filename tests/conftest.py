@@ -6,9 +6,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from palisade.session import build_session  # noqa: E402
+from settings import SF_DIR  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
+from palisade.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB text at the smallest scale."""
 
 import pytest
-from conftest import SF_DIR
+from settings import SF_DIR
 from parity import compare, connect
 
 from palisade.plans.catalog import CATALOG

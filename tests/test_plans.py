@@ -4,7 +4,7 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
-from conftest import SF_DIR
+from settings import SF_DIR
 from pyspark.sql import functions as F
 
 from palisade.operators import inventory, ranking
