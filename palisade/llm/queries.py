@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, licenses, line_dedup, mixing, near_dedup, pages, secrets, sharding
+from . import (decontaminate, fingerprints, language, licenses, line_dedup, mixing, near_dedup, pages, resampling,
+               secrets, sharding)
 from .common import LOWER, UPPER, table
 
 N_SHARDS = 16
@@ -71,6 +72,11 @@ def op10_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(rows, pages.fit(rows))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP1_SQL = r"""
 WITH s AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 p AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM s GROUP BY source),
@@ -120,7 +126,7 @@ FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_shard, op3_scan_licenses, op4_dedup_lines, op5_near_dedup,
-                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages)}
+                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages, op11_resample)}
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
@@ -129,4 +135,5 @@ ORACLES: dict[str, str] = {
     "op4_dedup_lines": OP4_SQL,
     "op5_near_dedup": near_dedup.oracle_sql(),
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_resample": resampling.ORACLE_SQL,
 }
