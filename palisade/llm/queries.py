@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (decontaminate, fingerprints, language, licenses, line_dedup, mixing, near_dedup, pages, resampling,
-               secrets, sharding)
+               runs, secrets, sharding)
 from .common import LOWER, UPPER, table
 
 N_SHARDS = 16
@@ -77,6 +78,22 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def periodic_edit(doc_id: int | None, words: list) -> list:
+    """A tenth of the documents, by the CRC-32 of their id, repeats a stretch of its words up to its end."""
+    h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    unit = words[a:a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * ((n - a) // len(unit) + 1))[:n - a]
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digest_columns(runs.scan_runs(docs, edit=periodic_edit))
+
+
 OP1_SQL = r"""
 WITH s AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 p AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM s GROUP BY source),
@@ -126,7 +143,7 @@ FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_shard, op3_scan_licenses, op4_dedup_lines, op5_near_dedup,
-                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages, op11_resample)}
+                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages, op11_resample, op13_runs)}
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
