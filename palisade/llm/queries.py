@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, fingerprints, language, licenses, line_dedup, mixing, near_dedup, pages, resampling,
+from . import (decontaminate, fingerprints, hmm, language, licenses, line_dedup, mixing, near_dedup, pages, resampling,
                runs, secrets, sharding)
 from .common import LOWER, UPPER, table
 
@@ -78,6 +78,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def periodic_edit(doc_id: int | None, words: list) -> list:
     """A tenth of the documents, by the CRC-32 of their id, repeats a stretch of its words up to its end."""
     h = 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -143,7 +147,8 @@ FROM m GROUP BY doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_shard, op3_scan_licenses, op4_dedup_lines, op5_near_dedup,
-                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages, op11_resample, op13_runs)}
+                                op6_fingerprint, op7_decontaminate, op8_language, op9_scan_secrets, op10_extract_pages, op11_resample, op12_language_model,
+                                op13_runs)}
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
