@@ -230,18 +230,19 @@ def window_features(events: DataFrame, rules: DataFrame | None = None, window_se
 
 
 def combine_windows(slices: DataFrame, counts: DataFrame, rules: DataFrame | None, window_seconds: int) -> DataFrame:
-    """Slice sums and value counts, of a batch or written by a stream, to the features of the windows both have.
-
-    The destinations to check are those of the counts.
-    """
+    """Slice sums and value counts to the features of the windows both have. The destinations to check are those of the counts."""
     ports = None
     if rules is not None:
         ports = destination_ports(counts.filter("kind = 'd'").select("organization_id", "destination_ip").distinct(), rules)
+    return finish_windows(_window_stats(slices).join(_variety(counts, ports), PAIR + ["window_start"]), window_seconds)
+
+
+def finish_windows(windows: DataFrame, window_seconds: int) -> DataFrame:
+    """Features of windows from their sums and variety, all windows of a time being among the rows."""
     keys = PAIR + ["window_start"]
-    stats = _window_stats(slices)
-    back = stats.select("organization_id", F.col("destination_ip").alias("source_ip"),
-                        F.col("source_ip").alias("destination_ip"), "window_start", F.col("n").alias("back"))
-    joined = stats.join(_variety(counts, ports), keys).join(back, keys, "left")
+    back = windows.select("organization_id", F.col("destination_ip").alias("source_ip"),
+                          F.col("source_ip").alias("destination_ip"), "window_start", F.col("n").alias("back"))
+    joined = windows.join(back, keys, "left")
     n, seconds = F.col("n"), F.lit(float(window_seconds))
     rate = n / seconds
     span = (F.col("last_at") - F.col("first_at")) / 1e6

@@ -27,9 +27,9 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
         for f in struct_of(ddl)])
 
 
-def land_pages(t, records: DataFrame, key: str, label: str) -> str:
+def land_pages(t, records: DataFrame, key: str, label: str, path: str | None = None) -> str:
     """Write records as feed pages, one JSON document of at most 2000 records per file."""
-    path = scratch_dir(t.spark, label)
+    path = path or scratch_dir(t.spark, label)
     pages = (records.withColumn("page", F.floor(F.col(key) / PAGE_ROWS)).groupBy("page")
              .agg(F.collect_list("record").alias("vulnerabilities")))
     body = pages.select("page", F.to_json(F.struct("vulnerabilities")).alias("value"))

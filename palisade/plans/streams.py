@@ -13,7 +13,8 @@ from palisade.plans.learning import detection_columns, detections_sql, event_for
 from palisade.plans.reads import SEVERITY_SQL
 from palisade.plans.registry import query
 from palisade.session import scratch_dir
-from palisade.streaming import jobs
+from palisade.streaming import jobs, sightings, windows
+from palisade.streaming.tables import BucketTable
 
 
 def table_stream(t, name: str) -> DataFrame:
@@ -49,15 +50,28 @@ def closed_sql(seconds: int) -> str:
     return f"SELECT * FROM ({window_sql(seconds)}) WHERE epoch_us(window_start) + {seconds * 1000000} <= {CLOSED}"
 
 
-def stream_features(t, seconds: int = 300) -> DataFrame:
-    """All features of the closed windows of the event stream, destinations checked against the rules."""
+def in_parts(t, rows: DataFrame, label: str, step) -> None:
+    """Land ``rows`` in a folder in three parts, the earliest first, and run ``step`` on the folder's stream after each."""
+    folder = scratch_dir(t.spark, label)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(2), F.floor(3 * (at - low) / max(1, (high or 0) - (low or 0))))
+    for i in range(3):
+        rows.filter(part == i).write.mode("append").parquet(folder)
+        step(jobs.read_events(t.spark, folder, rows.schema)).awaitTermination()
+
+
+def emitted(t, **options) -> DataFrame:
+    """What the closed windows of the event stream give, over three runs that go on from one another."""
+    path, log = scratch_dir(t.spark, "windows"), scratch_dir(t.spark, "windows-log")
     rules = usable_rules(t.network_allowlists, None, "outbound")
-    return window_output(jobs.window_features(flow_stream(t), seconds, scratch_dir(t.spark, "stream"), rules))
+    in_parts(t, t.flow_events, "windows-in", lambda stream: windows.emit_windows(stream, path, log, rules, **options))
+    return t.spark.read.parquet(path).drop("batch")
 
 
 @query("st1_stream_window_features", closed_sql(300))
 def _(t):
-    return stream_features(t)
+    return window_output(emitted(t))
 
 
 @query("st1_stream_interval_deviation", f"""
@@ -74,42 +88,62 @@ def _(t):
     return ntz(rows, "window_start").withColumn("packet_interval_std", F.round("packet_interval_std", 3))
 
 
-@query("st2_stream_flood_alerts", f"""
-WITH w AS (SELECT *, unnest([epoch_us(ts) // 10800000000 * 10800, epoch_us(ts) // 10800000000 * 10800 - 10800]) AS ws
-           FROM flow_events),
-m AS (SELECT organization_id, source_ip, destination_ip, ws, count(*) AS n, 1 - stddev_pop(bytes) / (avg(bytes) + 1) AS rep
-      FROM w WHERE (ws + 21600) * 1000000 <= {CLOSED} GROUP BY ALL)
+def flood_sql(size: int, slide: int, late: int, rate: float, syn: str, more: str = "") -> str:
+    """The flood rules on all sliding windows that the stream has closed."""
+    starts = ", ".join(f"epoch_us(ts) // {slide}000000 * {slide} - {i * slide}" for i in range(size // slide))
+    return f"""
+WITH f AS (SELECT organization_id, source_ip, destination_ip, ts, protocol, failed, bytes FROM flow_events{more}),
+w AS (SELECT *, unnest([{starts}]) AS ws FROM f),
+g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY organization_id, source_ip, destination_ip, ws ORDER BY ts))
+        / 1e6 AS gap FROM w),
+m AS (SELECT organization_id, source_ip, destination_ip, ws, count(*) AS n, avg(CAST(failed AS INT)) AS bad,
+        1 - stddev_pop(bytes) / (avg(bytes) + 1) AS rep, count(*) FILTER ({syn}) / (count(*) / {size}.0 + 1) AS syn,
+        coalesce(stddev_pop(gap), 0) AS dev
+      FROM g WHERE (ws + {size}) * 1000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM f) - {late}000000 GROUP BY ALL),
+s AS (SELECT *, CASE WHEN n / {size}.0 > {rate} THEN 4 ELSE 0 END + CASE WHEN rep > 0.7 THEN 3 ELSE 0 END
+        + CASE WHEN dev < 0.001 THEN 2 ELSE 0 END + CASE WHEN syn > 0.5 THEN 3 ELSE 0 END
+        + CASE WHEN n > 100 AND bad > 0.8 THEN 2 ELSE 0 END AS tenths FROM m)
 SELECT organization_id, source_ip, destination_ip, make_timestamp(ws * 1000000) AS window_start,
-  CASE WHEN n >= 2 AND rep > 0.7 THEN 0.7 ELSE 0 END::DOUBLE AS flood_score
-FROM m WHERE n >= 2 AND rep > 0.7""")
+  least(10, tenths) / 10::DOUBLE AS flood_score, n::DOUBLE / {size} AS packets_per_second, round(dev, 4) AS packet_interval_std
+FROM s WHERE tenths > 5"""
+
+
+def flood_output(t, alerts: DataFrame) -> DataFrame:
+    return ntz(finish(t, alerts, "st2"), "window_start").select(
+        *PAIR, "window_start", "flood_score", "packets_per_second", F.round("packet_interval_std", 4).alias("packet_interval_std"))
+
+
+@query("st2_stream_flood_alerts", flood_sql(21600, 10800, 600, 1.5 / 21600, "FALSE"))
 def _(t):
-    alerts = jobs.flood_alerts(flow_stream(t), 21600, 10800, "10 minutes", rate=1.5 / 21600)
-    return ntz(finish(t, alerts, "st2"), "window_start").select(*PAIR, "window_start", "flood_score")
+    return flood_output(t, windows.flood_alerts(flow_stream(t), 21600, 10800, "10 minutes", 1.5 / 21600, pane_seconds=60))
 
 
-@query("st2_stream_flood_watch_10s", f"""
-WITH w AS (SELECT *, unnest([epoch_us(ts) // 5000000 * 5, epoch_us(ts) // 5000000 * 5 - 5]) AS ws FROM flow_events),
-m AS (SELECT organization_id, source_ip, destination_ip, ws, count(*) AS n, avg(CAST(failed AS INT)) AS bad,
-        1 - stddev_pop(bytes) / (avg(bytes) + 1) AS rep, count(*) FILTER (WHERE protocol = 6) / (count(*) / 10.0 + 1) AS syn
-      FROM w WHERE (ws + 10) * 1000000 <= {CLOSED} + 540000000 GROUP BY ALL)
-SELECT organization_id, source_ip, destination_ip, make_timestamp(ws * 1000000) AS window_start,
-  (CASE WHEN rep > 0.7 THEN 3 ELSE 0 END + CASE WHEN syn > 0.5 THEN 3 ELSE 0 END) / 10::DOUBLE AS flood_score
-FROM m WHERE rep > 0.7 AND syn > 0.5""")
+@query("st2_stream_flood_watch_10s", flood_sql(10, 5, 60, 1000, "protocol = 6"))
 def _(t):
     """The ten-second watch, every five seconds; each TCP flow is taken to open with a SYN here."""
-    alerts = jobs.flood_alerts(flow_stream(t).withColumn("syn", F.col("protocol") == 6))
-    return ntz(finish(t, alerts, "st2"), "window_start").select(*PAIR, "window_start", "flood_score")
+    return flood_output(t, windows.flood_alerts(flow_stream(t).withColumn("syn", F.col("protocol") == 6)))
+
+
+PLANTED = """
+  UNION ALL SELECT organization_id, source_ip, destination_ip, make_timestamp(epoch_us(ts) + unnest(range(25000)) * 800),
+    protocol, failed, bytes FROM flow_events WHERE event_id % 5000 = 7"""
+
+
+@query("st2_stream_planted_flood", flood_sql(10, 5, 60, 1000, "FALSE", PLANTED))
+def _(t):
+    """One event in 5,000 opens twenty seconds of 1,250 equal events a second."""
+    columns = [*PAIR, "ts", "protocol", "failed", "bytes"]
+    rows = flow_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    step = F.explode(F.sequence(F.lit(0), F.lit(24999)))
+    planted = rows.filter(F.col("event_id") % 5000 == 7).withColumn("step", step).withColumn(
+        "ts", F.timestamp_micros(F.unix_micros("ts") + 800 * F.col("step")))
+    return flood_output(t, windows.flood_alerts(rows.select(*columns).unionByName(planted.select(*columns))))
 
 
 @query("st3_stream_scoring", detections_sql(closed_sql(300), "AND bp > fp"))
 def _(t):
-    """Event stream to features to detections: the closed windows are scored as a stream of their own."""
-    folder, path = scratch_dir(t.spark, "st3-in"), scratch_dir(t.spark, "st3")
-    rows = stream_features(t)
-    rows.write.parquet(folder)
-    jobs.score_stream(jobs.read_events(t.spark, folder, rows.schema), event_forest(t), t.assets, path,
-                      scratch_dir(t.spark, "st3-log")).awaitTermination()
-    return detection_columns(t.spark.read.parquet(path))
+    """Event stream to features to detections, window by window as they close."""
+    return detection_columns(emitted(t, forest=event_forest(t), assets=t.assets))
 
 
 @query("st4_stream_feed_ingest", f"""
@@ -117,13 +151,14 @@ WITH {NVD_SQL}, graded AS (SELECT *, {SEVERITY_SQL} AS severity FROM nvd)
 SELECT k.cve_id, k.cve_id AS title, g.description, g.severity, k.source
 FROM known_threats k JOIN graded g ON g.cve_id = k.cve_id""")
 def _(t):
-    folder = land_pages(t, nvd_feed(t), "threat_id", "st4-in")
-    table = jobs.ChangeTable(t.spark, scratch_dir(t.spark, "st4"), jobs.THREATS, "cve_id")
+    """Pages come in three lots; each run goes on from the checkpoint, the first lot comes twice."""
+    folder, log = scratch_dir(t.spark, "st4-in"), scratch_dir(t.spark, "st4-log")
+    table = BucketTable(t.spark, scratch_dir(t.spark, "st4"), jobs.THREATS, ["cve_id"], 16)
     table.create(stored_threats(t))
-    q = jobs.ingest_feed(t.spark, folder, table, scratch_dir(t.spark, "st4-log"),
-                         F.to_timestamp(F.lit("2024-01-31 00:00:00")))
-    q.awaitTermination()
-    return table.read(q.lastProgress.batchId).select("cve_id", "title", "description", "severity", "source")
+    for run, lot in enumerate((0, 1, 0, 2)):
+        land_pages(t, nvd_feed(t).filter(F.col("threat_id") % 3 == lot), "threat_id", "st4-in", f"{folder}/lot{run}")
+        jobs.ingest_feed(t.spark, folder, table, log, F.to_timestamp(F.lit("2024-01-31 00:00:00"))).awaitTermination()
+    return table.read().select("cve_id", "title", "description", "severity", "source")
 
 
 @query("st5_stream_insert_once", """
@@ -140,9 +175,12 @@ def _(t):
 SELECT organization_id, source_ip AS ip_address, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings
 FROM flow_events GROUP BY ALL""")
 def _(t):
-    path = scratch_dir(t.spark, "st6")
-    jobs.track_last_seen(flow_stream(t), path, scratch_dir(t.spark, "st6-log")).awaitTermination()
-    return ntz(jobs.last_seen(t.spark, path), "first_seen_at", "last_seen_at")
+    """The events come in three lots that share their times; each run goes on from the checkpoint."""
+    folder, path, log = (scratch_dir(t.spark, f"st6{x}") for x in ("-in", "", "-log"))
+    for lot in range(3):
+        t.flow_events.filter(F.col("event_id") % 3 == lot).write.mode("append").parquet(folder)
+        sightings.track_last_seen(jobs.read_events(t.spark, folder, t.flow_events.schema), path, log, buckets=8).awaitTermination()
+    return ntz(sightings.last_seen(t.spark, path), "first_seen_at", "last_seen_at")
 
 
 @query("st7_stream_late_rows", f"""

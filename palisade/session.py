@@ -50,3 +50,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="palisade-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found, system = _hadoop_path(spark, path)
+    return system.exists(found)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows, if it is there."""
+    found, system = _hadoop_path(spark, path)
+    system.delete(found, True)

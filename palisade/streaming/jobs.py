@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
-from palisade.operators import detectors, features, threats as thr
+from palisade.operators import features, threats as thr
 from palisade.operators.features import PAIR
-from palisade.operators.forest import Forest, apply_forest
-from palisade.operators.ranking import latest_per_key
 from palisade.schemas import NVD_DOCUMENT, THREATS, struct_of
 from palisade.sources.feeds import parse_nvd
+from palisade.streaming.tables import BucketTable
 
 
 def read_events(spark: SparkSession, path: str, schema, **options) -> DataFrame:
@@ -24,16 +22,17 @@ def read_events(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def _timed(stream: DataFrame, watermark: str) -> DataFrame:
+def timed(stream: DataFrame, watermark: str) -> DataFrame:
+    """``ts`` as a timestamp with a watermark."""
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
 def _prepared(stream: DataFrame, seconds: int, watermark: str) -> DataFrame:
-    return features.prepare_events(_timed(stream, watermark), seconds, keep=["ts"])
+    return features.prepare_events(timed(stream, watermark), seconds, keep=["ts"])
 
 
 def event_slices(stream: DataFrame, window_seconds: int = 300, slice_seconds: int = 1, watermark: str = "10 minutes",
-                 ) -> DataFrame:
+                 keep: list[str] = ()) -> DataFrame:
     """The slice sums of the batch features, emitted once the watermark has passed their window.
 
     The state of a slice holds its distinct timestamps, so arrival order does not matter; equal timestamps add
@@ -46,50 +45,15 @@ def event_slices(stream: DataFrame, window_seconds: int = 300, slice_seconds: in
     exact = "decimal(27,0)"
     gap_sq = F.expr(f"""aggregate(transform(sequence(1, size(times)), i -> if(i = 1, 0L, times[i - 1] - times[i - 2])),
         CAST(0 AS {exact}), (s, g) -> CAST(s + CAST(g AS {features.MICROS}) * CAST(g AS {features.MICROS}) AS {exact}))""")
-    return slices.withColumn("gap_sq", gap_sq).drop("window", "times")
+    return slices.withColumn("gap_sq", gap_sq).drop(*{"window", "times"}.difference(keep))
 
 
-def event_counts(stream: DataFrame, window_seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+def event_counts(stream: DataFrame, window_seconds: int = 300, watermark: str = "10 minutes", keep: list[str] = ()) -> DataFrame:
     """Port and payload counts in long form, emitted once the watermark has passed a window."""
     rows = _prepared(stream, window_seconds, watermark)
     counts = features.value_counts(rows, [F.window("ts", f"{window_seconds} seconds").alias("window"), *PAIR, "window_start"],
                                    PAIR + ["window_start", "window"])
-    return counts.drop("window")
-
-
-def window_features(stream: DataFrame, window_seconds: int, folder: str, rules: DataFrame | None = None,
-                    watermark: str = "10 minutes") -> DataFrame:
-    """All batch features of the windows that the watermark has closed, from the events available now.
-
-    Two queries append slice sums and value counts below ``folder`` and keep their checkpoints there; calling this
-    again goes on where they stopped. The features are then one batch combination of both tables.
-    """
-    parts = {"slices": event_slices(stream, window_seconds, 1, watermark), "counts": event_counts(stream, window_seconds, watermark)}
-    for name, part in parts.items():
-        run_to_table(part, f"{folder}/{name}", f"{folder}/{name}-log").awaitTermination()
-    read = stream.sparkSession.read
-    return features.combine_windows(*[read.schema(part.schema).parquet(f"{folder}/{name}") for name, part in parts.items()],
-                                    rules, window_seconds)
-
-
-def flood_alerts(stream: DataFrame, size_seconds: int = 10, slide_seconds: int = 5, watermark: str = "1 minute",
-                 rate: float = detectors.FLOOD_RATE) -> DataFrame:
-    """Sliding windows whose traffic breaks the flood rules, in one streaming aggregate.
-
-    Interval deviation needs the order of events, which one aggregate does not have: it is null and gives no points.
-    """
-    window = F.window("ts", f"{size_seconds} seconds", f"{slide_seconds} seconds")
-    size, n = F.col("bytes").cast("double"), F.count("*")
-    packets = n / F.lit(float(size_seconds))
-    syn = F.count_if("syn") if "syn" in stream.columns else F.lit(0)
-    rows = _timed(stream, watermark).groupBy(window, *PAIR).agg(
-        packets.alias("packets_per_second"), n.cast("double").alias("connection_count"),
-        (1 - F.stddev_pop(size) / (F.avg(size) + 1)).alias("header_repetition_score"),
-        (syn / (packets + 1)).alias("syn_flood_score"), (F.count_if("failed") / n).alias("failed_connection_ratio"))
-    rows = rows.withColumn("packet_interval_std", F.lit(None).cast("double"))
-    return detectors.flood_rules(rows, rate).filter("is_flood").select(
-        *PAIR, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "packets_per_second", "header_repetition_score", "flood_score")
+    return counts.drop(*{"window"}.difference(keep))
 
 
 def gap_slices(stream: DataFrame, slice_seconds: int = 1, watermark: str = "10 minutes") -> DataFrame:
@@ -99,7 +63,7 @@ def gap_slices(stream: DataFrame, slice_seconds: int = 1, watermark: str = "10 m
     does not matter and a one-second slice never holds more than a million.
     Equal timestamps add gaps of zero, which the row count accounts for.
     """
-    rows = _timed(stream, watermark).withColumn("at", F.unix_micros("ts"))
+    rows = timed(stream, watermark).withColumn("at", F.unix_micros("ts"))
     slices = rows.groupBy(F.window("ts", f"{slice_seconds} seconds"), *PAIR).agg(
         F.count("*").alias("n"), F.sort_array(F.collect_set("at")).alias("times"))
     gap_sq = F.expr("""aggregate(transform(sequence(1, size(times)),
@@ -132,62 +96,18 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def score_stream(windows: DataFrame, forest: Forest, assets: DataFrame, path: str, checkpoint: str,
-                 version: str = "stream", tie_rule: str = "single") -> StreamingQuery:
-    """Score feature rows as they come and append what is not normal."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fused = detectors.fuse(detectors.apply_rules(apply_forest(batch, forest)), tie_rule)
-        detectors.detection_rows(fused, assets, F.lit(version)).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
-
-    return (windows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-class ChangeTable:
-    """A keyed table as appended changes: folder ``batch=n`` holds the rows that batch ``n`` changed, -1 the first rows.
-
-    A batch that is run again replaces its own folder. ``compact`` writes the rows as they are after a batch to a new
-    table, so that changes need not be kept for ever.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str | StructType, key: str):
-        self.spark, self.root, self.key = spark, root, key
-        self.schema = struct_of(schema) if isinstance(schema, str) else schema
-
-    def create(self, rows: DataFrame) -> None:
-        self.write(rows, -1)
-
-    def read(self, batch: int) -> DataFrame:
-        """The newest row of every key after ``batch``."""
-        names = self.schema.fieldNames()
-        kept = StructType([*self.schema.fields, StructField("batch", LongType())])
-        changes = self.spark.read.schema(kept).parquet(self.root)
-        return latest_per_key(changes.filter(F.col("batch") <= batch), [self.key], ["batch"]).select(*names)
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
-
-    def compact(self, batch: int, root: str) -> ChangeTable:
-        fresh = ChangeTable(self.spark, root, self.schema, self.key)
-        fresh.create(self.read(batch))
-        return fresh
-
-
-def ingest_feed(spark: SparkSession, folder: str, table: ChangeTable, checkpoint: str, as_of: Column,
+def ingest_feed(spark: SparkSession, folder: str, table: BucketTable, checkpoint: str, as_of: Column,
                 files_per_batch: int = 1000) -> StreamingQuery:
     """New feed pages in a folder are folded into the threat table; the checkpoint is the bookmark.
 
-    A batch reads the rows of its own keys and appends what it changed.
+    A batch reads and replaces the buckets of its own keys only.
     """
     pages = (spark.readStream.schema(NVD_DOCUMENT).option("multiLine", True)
              .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).json(folder)
              .withColumn("page", F.input_file_name()))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = thr.last_in_batch(parse_nvd(batch))
-        known = table.read(batch_id - 1).join(fresh.select("cve_id"), "cve_id", "left_semi")
-        table.write(thr.apply_nvd(known, fresh, as_of).drop("action"), batch_id)
+        table.apply(thr.last_in_batch(parse_nvd(batch)), batch_id, lambda known, fresh: thr.apply_nvd(known, fresh, as_of))
 
     return (pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -196,42 +116,10 @@ def ingest_feed(spark: SparkSession, folder: str, table: ChangeTable, checkpoint
 def insert_once(stream: DataFrame, existing: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Associations not seen before: not in the stream within the watermark, not in the table."""
     keys = ["asset_id", "threat_id"]
-    return (_timed(stream, watermark).dropDuplicatesWithinWatermark(keys)
+    return (timed(stream, watermark).dropDuplicatesWithinWatermark(keys)
             .join(existing.select(*keys), keys, "left_anti"))
 
 
-def track_last_seen(stream: DataFrame, path: str, checkpoint: str, forget_after: str | None = None) -> StreamingQuery:
-    """First and last sighting and number of sightings per address, kept as streaming state.
-
-    Each batch appends only the addresses it changed; ``last_seen`` reads the result. With ``forget_after`` (say
-    "30 days") the state is kept by period of that length and dropped when the watermark has passed it, so it does
-    not grow for ever; ``last_seen`` adds the periods up.
-    """
-    at = F.col("ts").cast("timestamp")
-    period = F.lit(0).cast("timestamp")
-    if forget_after:
-        stream = _timed(stream, forget_after)
-        period = F.window("ts", forget_after)
-    state = stream.groupBy("organization_id", F.col("source_ip").alias("ip_address"), period.alias("period")).agg(
-        F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), F.count("*").alias("sightings"))
-    if forget_after:
-        state = state.withColumn("period", F.col("period.start"))
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (state.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-def last_seen(spark: SparkSession, path: str) -> DataFrame:
-    """The sightings of every address: its newest appended row in each period, added up."""
-    keys = ["organization_id", "ip_address"]
-    newest = latest_per_key(spark.read.parquet(path), [*keys, "period"], ["batch"])
-    return newest.groupBy(*keys).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
-                                     F.sum("sightings").alias("sightings"))
-
-
 class LateRows:
     """Rows that the watermark has dropped, by batch.
 

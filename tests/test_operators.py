@@ -310,20 +310,6 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-@pytest.mark.parametrize("forget_after", [None, "36 hours"])
-def test_last_seen_over_two_runs(spark, tmp_path, forget_after):
-    from test_features import EVENTS
-
-    for day in (3, 1) if forget_after is None else (1, 3):
-        rows = [(1, ip, "8.8.8.8", dt.datetime(2024, 1, day), 10.0, 6, False, 80, 1, False) for ip in ("a", f"b{day}")]
-        spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = jobs.read_events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-        jobs.track_last_seen(stream, str(tmp_path / "out"), str(tmp_path / "log"), forget_after).awaitTermination()
-    got = {r.ip_address: (r.first_seen_at.day, r.last_seen_at.day, r.sightings)
-           for r in jobs.last_seen(spark, str(tmp_path / "out")).collect()}
-    assert got == {"a": (1, 3, 2), "b3": (3, 3, 1), "b1": (1, 1, 1)}
-
-
 def test_schema_conformance(spark):
     df = conform(spark.createDataFrame([("CVE-1",)], "cve_id string"), THREATS)
     assert len(df.columns) == 21 and KEV_DOCUMENT and NVD_DOCUMENT
@@ -397,12 +383,19 @@ def test_large_k_goes_by_ranges(spark):
     assert len(got) == len(want) and {r.id for r in got} == want
 
 
-def test_change_table_reads_and_compacts(spark, tmp_path):
-    table = jobs.ChangeTable(spark, str(tmp_path / "t"), "id long, v string", "id")
-    for batch, rows in ((-1, [(1, "a"), (2, "b")]), (0, [(2, "c"), (3, "d")]), (1, [(1, "e")])):
-        table.write(spark.createDataFrame(rows, "id long, v string"), batch)
-    table.write(spark.createDataFrame([(1, "f")], "id long, v string"), 1)  # a batch that is run again
-    rows = lambda df: sorted(map(tuple, df.collect()))
-    assert rows(table.read(0)) == [(1, "a"), (2, "c"), (3, "d")] and rows(table.read(-1)) == [(1, "a"), (2, "b")]
-    small = table.compact(1, str(tmp_path / "u"))
-    assert rows(small.read(-1)) == rows(table.read(1)) == [(1, "f"), (2, "c"), (3, "d")]
+def test_products_meet_texts_by_their_rarest_grams(spark):
+    """Banners made of one repeated piece, overlapping names, short names and long texts; contains decides."""
+    rng = random.Random(4)
+    keys = ["apache", "apache 2", "a" * 40, "ab" * 30, "x", "php", "", "nginx\n1", "ünïcödé 5", "no such product", "the the the"]
+    keys += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts = ["apache 2.4 and php", "a" * 200, "ab" * 400, None, "", "x", "nginx\n1.2", "an ünïcödé 5", "the the thethe the the"]
+    texts += ["".join(rng.choice("abx ") for _ in range(rng.randrange(0, 80))) for _ in range(80)] + ["the word " * 20000 + "php"]
+    want = {(k, i) for k in set(keys) if k for i, t in enumerate(texts) if t is not None and k in t}
+    p = spark.createDataFrame([(k,) for k in set(keys)], "product_key string")
+    d = spark.createDataFrame(list(enumerate(texts)), "text_id int, body string").filter("body is not null")
+    found = vuln.contained_keys(p, d)
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    filed = {r.product_key: r.gram for r in vuln.anchors(p, d).collect()}
+    assert all(g in k and len(g) == min(len(k), vuln.GRAM) for k, g in filed.items())
+    assert "no such product" not in filed and "" not in filed
+    assert vuln.contained_keys(p.limit(0), d).count() == 0 and vuln.contained_keys(p, d.limit(0)).count() == 0
