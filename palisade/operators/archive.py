@@ -42,29 +42,26 @@ def mark_archived(audit: DataFrame, batch: DataFrame) -> DataFrame:
     return set_where_listed(audit, batch, "audit_id", "archive_path")
 
 
-def file_digest(content: Column, algorithm: str = "sha256") -> Column:
-    if algorithm == "md5":
-        return F.md5(content)
-    return F.sha2(content, {"sha256": 256, "sha512": 512}[algorithm])
-
-
-def capture_manifest(captures: DataFrame) -> DataFrame:
-    """``captures``: organization_id, source_ip, capture_time, content."""
+def capture_manifest(captures: DataFrame, digests: DataFrame) -> DataFrame:
+    """``captures``: organization_id, source_ip, capture_time and the path of the stored file; ``digests``: path, length, digest."""
     at = F.col("capture_time")
-    return captures.select(
+    return captures.join(digests, "path").select(
         "organization_id", "source_ip", "capture_time",
         capture_path(CAPTURE_PREFIX, F.col("organization_id"), F.col("source_ip"), at).alias("key"),
-        F.octet_length("content").alias("size_bytes"), file_digest(F.col("content")).alias("sha256"),
+        F.col("length").alias("size_bytes"), F.col("digest").alias("sha256"),
         F.date_add(F.to_date(at), CAPTURE_DAYS).alias("retain_until"))
 
 
-def integrity_report(files: DataFrame, manifest: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """Files that differ from the manifest: ``files`` (path, content), ``manifest`` (path, digest)."""
-    now = files.select("path", file_digest(F.col("content"), algorithm).alias("found_digest"))
-    rows = manifest.select("path", F.col("digest").alias("expected_digest")).join(now, "path", "full_outer")
-    status = (F.when(F.col("expected_digest").isNull(), "unexpected").when(F.col("found_digest").isNull(), "missing")
-              .when(F.col("expected_digest") != F.col("found_digest"), "changed"))
-    return rows.withColumn("status", status).filter(F.col("status").isNotNull())
+def integrity_report(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files that differ from the manifest, both (path, digest); a listed file that cannot be read through is changed.
+
+    ``found`` comes from ``files.file_digests`` or, for very large files, ``files.tree_digests``.
+    """
+    now = found.select("path", F.col("digest").alias("found_digest"), F.lit(True).alias("there"))
+    rows = manifest.select("path", F.col("digest").alias("expected_digest"), F.lit(True).alias("known")).join(now, "path", "full_outer")
+    status = (F.when(F.col("known").isNull(), "unexpected").when(F.col("there").isNull(), "missing")
+              .when(~F.col("expected_digest").eqNullSafe(F.col("found_digest")) | F.col("found_digest").isNull(), "changed"))
+    return rows.withColumn("status", status).filter(F.col("status").isNotNull()).drop("known", "there")
 
 
 def file_policy(files: DataFrame, extensions: list[str], max_mb: float = 100) -> DataFrame:

@@ -10,7 +10,7 @@ from palisade.operators import vulnerabilities as vuln
 from palisade.plans.reads import EVENT_SQL, ORDER_SQL, event_clock, order_clock
 from palisade.plans.registry import query
 from palisade.session import scratch_dir
-from palisade.sources import datasets
+from palisade.sources import datasets, files
 
 
 # --- updates --------------------------------------------------------------------------------
@@ -270,24 +270,28 @@ def _(t):
     return _archived(t, None)
 
 
-def captures(t) -> DataFrame:
-    """Documents as captured payloads."""
-    k = F.col("doc_id")
-    return t.documents.select(
-        (k % 25).alias("organization_id"), F.concat(F.lit("10.0.0."), (k % 250).cast("string")).alias("source_ip"),
-        (event_clock() - F.make_interval(hours=k.cast("int"))).alias("capture_time"),
-        F.encode("text", "utf-8").alias("content"))
+def landed(t, rows: DataFrame, key: str, label: str) -> DataFrame:
+    """Write the text column of ``rows`` as one file for each ``key`` and list them: (key, path, length)."""
+    root = scratch_dir(t.spark, label)
+    rows.select(key, "text").repartition(key).write.partitionBy(key).text(root)
+    number = F.regexp_extract("key", f"{key}=([0-9]+)", 1).cast("bigint").alias(key)
+    return datasets.list_objects(t.spark, root).select(number, F.col("key").alias("path"), F.col("size").alias("length"))
 
 
 @query("snk3_capture_manifest", f"""
 SELECT doc_id % 25 AS organization_id, '10.0.0.' || CAST(doc_id % 250 AS VARCHAR) AS source_ip, at AS capture_time,
   'pcap-logs/' || CAST(doc_id % 25 AS VARCHAR) || '/' || strftime(at, '%Y/%m/%d') || '/10_0_0_' || CAST(doc_id % 250 AS VARCHAR)
    || '_' || strftime(at, '%H%M%S') || '.pcap.gz' AS key,
-  octet_length(encode(text)) AS size_bytes, sha256(text) AS sha256, CAST(at AS DATE) + 365 AS retain_until
+  octet_length(encode(text)) + 1 AS size_bytes, sha256(text || chr(10)) AS sha256, CAST(at AS DATE) + 365 AS retain_until
 FROM (SELECT *, {EVENT_SQL} - INTERVAL 1 HOUR * CAST(doc_id AS INT) AS "at" FROM documents) x""".replace(
     " at AS", ' x."at" AS').replace("strftime(at", 'strftime(x."at"').replace("CAST(at", 'CAST(x."at"'))
 def _(t):
-    return archive.capture_manifest(captures(t))
+    """Every document is a captured file; the manifest is taken from the files."""
+    listing, k = landed(t, t.documents, "doc_id", "captures"), F.col("doc_id")
+    captures = listing.select(
+        (k % 25).alias("organization_id"), F.concat(F.lit("10.0.0."), (k % 250).cast("string")).alias("source_ip"),
+        (event_clock() - F.make_interval(hours=k.cast("int"))).alias("capture_time"), "path")
+    return archive.capture_manifest(captures, files.file_digests(listing))
 
 
 @query("src11_object_catalogue", """
@@ -303,31 +307,54 @@ def _(t):
 
 @query("int1_integrity_report", """
 SELECT 'page-' || CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 7 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'changed'
-   ELSE 'unexpected' END AS status, CASE WHEN page_id % 7 <> 0 THEN sha256(html) END AS found_digest
+   ELSE 'unexpected' END AS status, CASE WHEN page_id % 7 <> 0 THEN sha256(html || chr(10)) END AS found_digest
 FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0 OR page_id % 3 = 0""")
 def _(t):
+    """Every page is a file, some are not written, some have changed since the manifest."""
     k = F.col("page_id")
-    name = F.concat(F.lit("page-"), k.cast("string"))
-    files = t.pages.filter(k % 7 != 0).select(name.alias("path"), F.encode("html", "utf-8").alias("content"))
+    name = F.concat(F.lit("page-"), k.cast("string")).alias("path")
+    text = F.concat("html", F.lit("\n"))
+    listing = landed(t, t.pages.filter(k % 7 != 0).withColumn("text", F.col("html")), "page_id", "pages")
+    found = files.file_digests(listing).join(listing.select("path", "page_id"), "path").select(name, "digest")
     known = t.pages.filter((k % 7 == 0) | (k % 5 == 0) | (k % 3 != 0))
-    manifest = known.select(name.alias("path"), F.when(k % 5 == 0, "0").otherwise(
-        archive.file_digest(F.encode("html", "utf-8"))).alias("digest"))
-    return archive.integrity_report(files, manifest).select("path", "status", "found_digest")
+    manifest = known.select(name, F.when(k % 5 == 0, "0").otherwise(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return archive.integrity_report(found, manifest).select("path", "status", "found_digest")
+
+
+@query("int1_changed_blocks", """
+WITH f AS (SELECT page_id, html || chr(10) AS before, CASE page_id % 3 WHEN 0 THEN html || chr(10) WHEN 1 THEN html || ' appended' || chr(10)
+    ELSE '!' || substr(html, 2, 40) || chr(10) END AS after FROM pages WHERE html IS NOT NULL AND regexp_full_match(html, '[\x00-\x7F]*')),
+b AS (SELECT page_id, unnest(range(greatest(0, length(before) - 1, length(after) - 1) // 1000 + 1)) AS block, before, after FROM f),
+s AS (SELECT page_id, block, CASE WHEN block > greatest(0, length(before) - 1) // 1000 THEN 'added'
+    WHEN block > greatest(0, length(after) - 1) // 1000 THEN 'removed'
+    WHEN substr(before, block * 1000 + 1, 1000) <> substr(after, block * 1000 + 1, 1000) THEN 'changed' END AS status FROM b)
+SELECT page_id, block, status FROM s WHERE status IS NOT NULL""")
+def _(t):
+    """Pages of plain characters are stored twice, some longer, some cut short: which blocks of 1,000 bytes differ."""
+    k, html = F.col("page_id"), F.col("html")
+    after = F.when(k % 3 == 0, html).when(k % 3 == 1, F.concat(html, F.lit(" appended"))).otherwise(
+        F.concat(F.lit("!"), F.substring("html", 2, 40)))
+    plain = t.pages.filter(html.rlike(r"\A[\x00-\x7F]*\z"))
+    lists = []
+    for text in (html, after):
+        listing = landed(t, plain.withColumn("text", text), "page_id", "blocks")
+        lists.append(files.block_digests(listing, block_bytes=1000).join(listing.select("path", "page_id"), "path")
+                     .select(k.cast("string").alias("path"), "block", "digest"))
+    return files.changed_blocks(*lists).select(F.col("path").cast("bigint").alias("page_id"), "block", "status")
 
 
 @query("dq5_file_policy", """
 SELECT page_id, 'page_' || CAST(page_id AS VARCHAR) || ext AS safe_name,
   list_aggregate(list_filter([CASE WHEN page_id % 4 = 0 THEN 'path_traversal' END, CASE WHEN ext = '.exe' THEN 'extension' END,
-    CASE WHEN octet_length(encode(html)) > 0.01 * 1048576 THEN 'too_large' END], lambda x: x IS NOT NULL), 'string_agg', ',')
+    CASE WHEN octet_length(encode(html)) + 1 > 0.01 * 1048576 THEN 'too_large' END], lambda x: x IS NOT NULL), 'string_agg', ',')
     AS violations
 FROM (SELECT *, CASE WHEN page_id % 3 = 0 THEN '.exe' ELSE '.html' END AS ext FROM pages)""")
 def _(t):
-    k = F.col("page_id")
+    """Uploads declare a name; their size comes from the listing of the files, which are not opened."""
+    listing, k = landed(t, t.pages.withColumn("text", F.col("html")), "page_id", "uploads"), F.col("page_id")
     ext = F.when(k % 3 == 0, ".exe").otherwise(".html")
-    path = F.concat(F.when(k % 4 == 0, "up/../").otherwise("in/"), F.lit("pa?ge_"), k.cast("string"), ext)
-    files = t.pages.select(k, path.alias("path"), F.encode("html", "utf-8").alias("content")).withColumn(
-        "length", F.octet_length("content"))
-    report = archive.file_policy(files.drop("page_id"), [".html"], 0.01)
+    name = F.concat(F.when(k % 4 == 0, "up/../").otherwise("in/"), F.lit("pa?ge_"), k.cast("string"), ext)
+    report = archive.file_policy(listing.select(name.alias("path"), "length"), [".html"], 0.01)
     v = F.array_join("violations", ",")
     return report.select(F.regexp_extract("path", r"_(\d+)", 1).cast("bigint").alias("page_id"), "safe_name",
                          F.when(v != "", v).alias("violations"))

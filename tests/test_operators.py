@@ -258,19 +258,67 @@ def test_training_files_skip_broken_ones(spark, tmp_path):
         pass
 
 
+def listed(spark, folder):
+    return datasets.list_objects(spark, str(folder)).select(F.col("key").alias("path"), F.col("size").alias("length"))
+
+
 def test_integrity_of_files(spark, tmp_path):
-    for n in ("a", "b", "c"):
-        (tmp_path / n).write_bytes(n.encode())
-    files = datasets.read_files(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-    manifest = files.filter("path != 'c'").select("path", archive.file_digest(F.col("content"), "sha512").alias("digest"))
-    manifest = manifest.union(spark.createDataFrame([("d", "x")], "path string, digest string")).cache()
-    manifest.count()
-    (tmp_path / "b").write_bytes(b"changed")
-    spark.catalog.refreshByPath(str(tmp_path))
-    got = {r.path: r.status for r in archive.integrity_report(
-        datasets.read_files(spark, str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"),
-        manifest, "sha512").collect()}
-    assert got["c"] == "unexpected" and got["d"] == "missing" and "a" not in got
+    import hashlib
+
+    from palisade.sources import files
+
+    (tmp_path / "in").mkdir()
+    body = {"a": b"a" * 3_000_001, "b b%20": bytes(range(256)) * 40, "c": b"", "e": b"x" * 4096, "f": b"y" * 4097}
+    for n, content in body.items():
+        (tmp_path / "in" / n).write_bytes(content)
+    # Spark's listing leaves out the empty file
+    listing = listed(spark, tmp_path / "in").union(spark.createDataFrame([(f"file:{tmp_path}/in/c", 0)], "path string, length long")).cache()
+    name = F.element_at(F.split("path", "/"), -1).alias("path")
+    for algorithm in ("md5", "sha256", "sha512"):
+        found = {r.path: r.digest for r in files.file_digests(listing, algorithm).select(name, "digest").collect()}
+        assert found == {n: hashlib.new(algorithm, content).hexdigest() for n, content in body.items()}
+    blocks = files.block_digests(listing, block_bytes=4096)
+    want = {(n, i): hashlib.sha256(c[i * 4096:(i + 1) * 4096]).hexdigest() for n, c in body.items() for i in range(max(1, -(-len(c) // 4096)))}
+    assert {(r.path, r.block): r.digest for r in blocks.select(name, "block", "digest").collect()} == want
+    tree = {r.path: r.digest for r in files.tree_digests(blocks).select(name, "digest").collect()}
+    top = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    assert tree == {n: top([top(want[n, i] for i in range(max(1, -(-len(c) // 4096))))]) for n, c in body.items()}
+    manifest = files.file_digests(listing).filter(name != "c").select("path", "digest")
+    gone = listing.agg(F.min("path")).first()[0].rsplit("/", 1)[0] + "/d"
+    manifest = manifest.union(spark.createDataFrame([(gone, "x")], "path string, digest string")).cache()
+    before = blocks.cache()
+    assert manifest.count() == 5 and before.count() == len(want)
+    (tmp_path / "in" / "f").write_bytes(b"y" * 4096 + b"z")
+    (tmp_path / "in" / "e").write_bytes(b"short")  # listed with its old length, it cannot be read through
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in archive.integrity_report(files.file_digests(listing), manifest).collect()}
+    assert got == {"c": "unexpected", "d": "missing", "f": "changed", "e": "changed"}
+    now = files.block_digests(listed(spark, tmp_path / "in"), block_bytes=4096)
+    diff = {(r.path.rsplit("/", 1)[1], r.block, r.status) for r in files.changed_blocks(before, now).collect()}
+    assert diff == {("f", 1, "changed"), ("e", 0, "changed"), ("c", 0, "removed")}  # not in the listing
+    assert files.tree_digests(files.block_digests(listing.limit(0))).count() == 0
+
+
+def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
+    """Sparse, so it takes no room: blocks are read by separate tasks and the end of the file is seen."""
+    from palisade.sources import files
+
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate((2 << 30) + 5)
+        f.seek(2 << 30)
+        f.write(b"end")
+    found = files.block_digests(listed(spark, tmp_path), "md5", 512 << 20)
+    rows = {r.block: (r.size, r.digest) for r in found.collect()}
+    assert len(rows) == 5 and rows[4][0] == 5 and len({d for _, d in rows.values()}) == 2
+    assert files.tree_digests(found).first().digest is not None
+
+
+def test_size_and_name_rules_open_no_file(spark, tmp_path):
+    (tmp_path / "a.exe").write_bytes(b"x" * 3000)
+    report = archive.file_policy(listed(spark, tmp_path), [".html"], 0.002)
+    assert report.first().violations == ["extension", "too_large"]
+    from test_plans import plan_of
+
+    assert "content" not in plan_of(report)
 
 
 def test_activation_keeps_one_active_model(spark):
