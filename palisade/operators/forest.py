@@ -9,30 +9,35 @@ the scaler is kept with the model for reports. Values are single precision in
 trees and scores alike.
 
 Many models fit in one job: ``group`` names a column whose values each get
-their own forest. Rows are scored next to the trees of their model: both meet
-in slices of a bounded number of rows, one pass for any number of models.
+their own forest. A single model, whose size trees x sample bounds, is sent to
+all tasks, and rows are scored where they are. The rows of many models are
+scored next to the trees of their model: both meet in slices, one pass for any
+number of models.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from palisade.functions.text import invert_score
-from palisade.operators.quantiles import quantile
+from palisade.operators.quantiles import group_quantiles
 from palisade.schemas import FEATURES
 from palisade.session import scratch_dir
 
 EULER = 0.5772156649
 GLOBAL = "global"
 HASH_RANGE = 1 << 31
-SLICE_ROWS = 50_000  # rows that meet the trees of their model in one task
+SLICE_ROWS = 50_000  # rows that meet the trees of their model in one task, more for large trees
+NODES_PER_ROW = 5  # nodes that a slice may bring for each of its rows
 SPREAD = 0x9E3779B97F4A7C15  # spreads tree numbers over the key bits
 NODE_SCHEMA = ("model_key string, tree_id int, node_id int, feature int, threshold double, "
                "left_id int, right_id int, depth int, size int")
@@ -232,6 +237,17 @@ class Forest:
     offsets: DataFrame | None = None
     scaler: DataFrame | None = None
     rejected: DataFrame | None = None
+    shared: Broadcast | None = field(default=None, init=False, repr=False, compare=False)
+
+    def trees(self) -> Broadcast:
+        """The trees of the single model for all tasks, sent once: at most 2 x trees x sample nodes."""
+        if self.shared is None:
+            rows = self.nodes.select("tree_id", "node_id", *NODE_FIELDS).toArrow().sort_by([("tree_id", "ascending"), ("node_id", "ascending")])
+            columns = {n: rows.column(n).to_numpy() for n in ("tree_id", *NODE_FIELDS)}
+            ends = np.flatnonzero(np.diff(columns["tree_id"], append=np.iinfo(np.int32).max)) + 1
+            trees = [_arrays({n: columns[n][a:b] for n in NODE_FIELDS}) for a, b in zip([0, *ends[:-1]], ends)]
+            self.shared = self.nodes.sparkSession.sparkContext.broadcast(trees)
+        return self.shared
 
 
 def one_offset(spark: SparkSession, offset: float, model: str = GLOBAL) -> DataFrame:
@@ -294,28 +310,50 @@ NODE_FIELDS = ("feature", "threshold", "left_id", "right_id", "depth", "size")
 
 
 def raw_score(df: DataFrame, forest: Forest, group: str | None = None, name: str = "raw_score") -> DataFrame:
-    """Add the negative score; null where a row's group has no model.
+    """Add the negative score; null where a row's group has no model."""
+    return _scored_in_slices(df, forest, group, name).drop("__model_key") if group else _scored_in_place(df, forest, name)
+
+
+def _scored_in_place(df: DataFrame, forest: Forest, name: str) -> DataFrame:
+    """Rows with the score of the single model: nothing is shuffled or counted."""
+    columns = [f"__x{i}" for i in range(len(forest.params.columns))]
+    shared = forest.trees()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(batch.num_rows, np.nan)
+            if shared.value and batch.num_rows:
+                x = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns])
+                out = negative_score(np.nan_to_num(x), shared.value)
+            kept = batch.columns[:-len(columns)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64(), mask=np.isnan(out))],
+                                             [*batch.schema.names[:len(kept)], "__score"])
+
+    rows = df.select(*df.columns, *[F.col(c).cast("float").alias(x) for x, c in zip(columns, forest.params.columns)])
+    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType())])
+    return rows.mapInArrow(score, schema).withColumnRenamed("__score", name)
 
-    A model's rows are dealt evenly into slices of about ``SLICE_ROWS``, each of which gets the model's trees.
-    """
-    return _scored(df, forest, group, name).drop("__model_key")
 
+def _scored_in_slices(df: DataFrame, forest: Forest, group: str, name: str) -> DataFrame:
+    """Rows with the score of their group's model and its key.
 
-def _scored(df: DataFrame, forest: Forest, group: str | None, name: str) -> DataFrame:
+    A model's rows are dealt evenly into slices, each of which gets the model's trees; a slice is so large that the
+    trees do not outweigh its rows.
+    """
     columns = [f"__x{i}" for i in range(len(forest.params.columns))]
-    model = F.col(group).cast("string") if group else F.lit(GLOBAL)
+    model = F.col(group).cast("string")
     rows = df.withColumns({"__model_key": model, "__deal": F.monotonically_increasing_id()} | {
         x: F.col(c).cast("float") for x, c in zip(columns, forest.params.columns)})
     packed = (forest.nodes.groupBy("model_key", "tree_id")
               .agg(F.array_sort(F.collect_list(F.struct("node_id", *NODE_FIELDS))).alias("nodes")))
-    if group:
-        sizes = _stored(df.groupBy(model.alias("__sized_key")).agg(
-            F.ceil(F.count("*") / F.lit(SLICE_ROWS)).cast("int").alias("__slices")), "score-sizes")
-        rows = rows.join(sizes, F.col("__model_key").eqNullSafe(F.col("__sized_key")))
-        packed = packed.join(sizes, F.col("model_key") == F.col("__sized_key"))
-    else:  # one model: its number of slices is one number, so nothing is joined
-        slices = F.lit(max(1, -(-df.count() // SLICE_ROWS)))
-        rows, packed = rows.withColumn("__slices", slices), packed.withColumn("__slices", slices)
+    weights = forest.nodes.groupBy("model_key").agg(F.count("*").alias("__nodes"))
+    each = F.greatest(F.lit(SLICE_ROWS), F.coalesce("__nodes", F.lit(0)) / NODES_PER_ROW)
+    sizes = df.groupBy(model.alias("__sized_key")).agg(F.count("*").alias("__rows")).join(
+        weights, F.col("__sized_key") == F.col("model_key"), "left").select(
+        "__sized_key", F.ceil(F.col("__rows") / each).cast("int").alias("__slices"))
+    sizes = _stored(sizes, "score-sizes")
+    rows = rows.join(sizes, F.col("__model_key").eqNullSafe(F.col("__sized_key")))
+    packed = packed.join(sizes, F.col("model_key") == F.col("__sized_key"))
     rows = rows.withColumn("__slice", F.pmod("__deal", "__slices").cast("int")).select(*df.columns, "__model_key", "__slice", *columns)
     packed = packed.select("model_key", "tree_id", "nodes", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)).alias("__slice"))
     fields = [*df.columns, "__model_key"]
@@ -327,11 +365,15 @@ def _scored(df: DataFrame, forest: Forest, group: str | None, name: str) -> Data
 
 def apply_forest(df: DataFrame, forest: Forest, group: str | None = None) -> DataFrame:
     """Add ``distance``, ``is_anomaly`` and ``anomaly_score`` (0..1, higher is worse)."""
-    offsets = forest.offsets.select(F.col("model_key").alias("__model_key"), F.col("offset").alias("__offset"))
+    if group:
+        offsets = forest.offsets.select(F.col("model_key").alias("__model_key"), F.col("offset").alias("__offset"))
+        rows = _scored_in_slices(df, forest, group, "raw_score").join(offsets, "__model_key", "left").drop("__model_key")
+    else:
+        offset = forest.offsets.filter(F.col("model_key") == GLOBAL).first()
+        rows = _scored_in_place(df, forest, "raw_score").withColumn("__offset", F.lit(offset and offset["offset"]).cast("double"))
     distance = F.col("raw_score") - F.col("__offset")
-    return (_scored(df, forest, group, "raw_score").join(offsets, "__model_key", "left").withColumn("distance", distance)
-            .withColumn("is_anomaly", F.coalesce(F.col("distance") < 0, F.lit(False)))
-            .withColumn("anomaly_score", invert_score(F.col("distance"))).drop("raw_score", "__offset", "__model_key"))
+    return (rows.withColumn("distance", distance).withColumn("is_anomaly", F.coalesce(F.col("distance") < 0, F.lit(False)))
+            .withColumn("anomaly_score", invert_score(F.col("distance"))).drop("raw_score", "__offset"))
 
 
 # --- fitting --------------------------------------------------------------------------------
@@ -343,7 +385,6 @@ def fit_forest(train: DataFrame, key: list[str], params: ForestParams = ForestPa
     Returns the forest and its node table, which lies in the shared scratch folder. Groups with fewer than
     ``min_rows`` rows get no model and a row in ``rejected``; without a group they are an error.
     """
-    spark = train.sparkSession
     name = F.col(group).cast("string") if group else F.lit(GLOBAL)
     stats = _stored(fit_scaler(train.withColumn("model_key", name), params.columns, ["model_key"]), "scaler")
     small = F.col("rows") < params.min_rows
@@ -352,13 +393,10 @@ def fit_forest(train: DataFrame, key: list[str], params: ForestParams = ForestPa
     nodes = _stored(grow_forests(train, key, params, group), "forest")
     forest = Forest(params, nodes, scaler=stats.filter(~small), rejected=stats.filter(small).select(
         "model_key", "rows", F.format_string(f"%d rows, needs {params.min_rows}", "rows").alias("reason")))
-    scores = _stored(_scored(train, forest, group, "raw_score").select(
-        F.col("__model_key").alias("model_key"), "raw_score").filter("raw_score IS NOT NULL"), "scores")
-    if group:
-        forest.offsets = _stored(scores.groupBy("model_key").agg(
-            F.percentile_approx("raw_score", params.contamination, 100000).alias("offset")), "offsets")
-    else:
-        forest.offsets = one_offset(spark, quantile(scores, "raw_score", params.contamination))
+    scored = (_scored_in_slices(train, forest, group, "raw_score") if group else
+              _scored_in_place(train, forest, "raw_score").withColumn("__model_key", F.lit(GLOBAL)))
+    scores = scored.select(F.col("__model_key").alias("model_key"), "raw_score")
+    forest.offsets = _stored(group_quantiles(scores, "model_key", "raw_score", params.contamination, "offset"), "offsets")
     return forest, nodes
 
 

@@ -124,6 +124,7 @@ def test_sampling_and_scoring_join_by_equality(spark, points, group, limit):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if group is None:
         assert "Join" not in plan.split("== Physical Plan ==")[1]
+        assert "Exchange" not in plan.split("== Physical Plan ==")[2]  # rows are scored where they are
 
 
 def test_too_few_rows(points):
@@ -190,3 +191,33 @@ def test_tie_rules(spark):
 def test_rate_grades(spark):
     rows = spark.createDataFrame([(0.1,), (0.15,), (0.25,), (0.26,)], "r double").select(feat.rate_grade(F.col("r")).alias("g"))
     assert [r.g for r in rows.collect()] == ["excellent", "good", "acceptable", "high"]
+
+
+def test_quantiles_of_many_groups_are_exact(spark):
+    """Ties, a single row, a heavy group, infinities, wide spread, a null group; every share at once equals numpy's."""
+    from palisade.operators.quantiles import group_quantiles
+
+    rng = np.random.default_rng(11)
+    groups = {"even": rng.normal(size=999), "heavy": np.where(rng.random(8000) < 0.7, -0.5, rng.normal(size=8000)), "one": [3.25],
+              "two": [-1.0, 2.0], "wide": np.exp(rng.normal(size=500) * 50) * rng.choice([-1, 1], 500), "zeros": [0.0, -0.0, 0.0],
+              None: rng.integers(-3, 3, 70).astype(float), "inf": [-np.inf, -np.inf, 1.0, np.inf, np.inf]}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("none", None), ("even", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for share in (0.0, 0.1, 0.37, 0.5, 1.0):
+        got = {r.g: r.quantile for r in group_quantiles(df, "g", "v", share).collect()}
+        assert set(got) == set(groups)
+        for g, values in groups.items():
+            if g == "inf":
+                continue
+            assert got[g] == pytest.approx(np.quantile(np.array(values, float), share), rel=1e-12, abs=1e-300), (g, share)
+    assert {r.g: r.quantile for r in group_quantiles(df.filter("g = 'inf'"), "g", "v", 0.1).collect()} == {"inf": -np.inf}
+    assert group_quantiles(df.limit(0), "g", "v", 0.5).count() == 0
+
+
+def test_offsets_of_groups_equal_those_of_separate_fits(spark, points):
+    forest, nodes = iso.fit_forest(points, ["id"], PARAMS, "org")
+    scores = {}
+    for r in iso.raw_score(points, forest, "org").collect():
+        scores.setdefault(str(r.org), []).append(r.raw_score)
+    for r in forest.offsets.collect():
+        assert r.offset == pytest.approx(np.quantile(scores[r.model_key], PARAMS.contamination), rel=1e-12)
