@@ -232,6 +232,33 @@ def test_injection_scan_agrees_with_re(spark):
     assert (19, quality.STRICT_FIRST) in {(r.id, r.pattern) for r in strict.collect()}
 
 
+def test_injection_scan_takes_time_in_proportion(spark):
+    """Equal answers on texts of awkward pieces, and long texts that made a scan quadratic."""
+    import re
+    import time
+
+    rng = random.Random(6)
+    bits = ["OR", "AND", " ", "\n", "=", "a", "or", "x", "/*", "*/", "/", "*", "on", "onx", "\t", "==", "band", "\n\n", "b=", "-"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    patterns = {q for q in quality.LINEAR if q != quality.STRICT_FIRST}
+    got = {(r.id, r.pattern) for r in quality.injection_hits(df, "id", ["body"]).collect() if r.pattern in patterns}
+    assert got == {(i, q) for i, s in enumerate(texts) for q in patterns if re.search(q, s, re.I)}
+    strict = quality.injection_hits(df, "id", ["body"], ["sql"], strict=True).collect()
+    assert {r.id for r in strict if r.pattern == quality.STRICT_FIRST} == {i for i, s in enumerate(texts) if re.search(quality.STRICT_FIRST, s, re.I)}
+
+    def seconds(size, strict=False):
+        long = ["this and that " * size + "=", "/*" * 7 * size, "on" * 7 * size + " =" * 0 + "- = -", "or " * 5 * size + "="]
+        rows = spark.createDataFrame(list(enumerate(long)), "id int, body string").coalesce(1).cache()
+        rows.count()
+        start = time.time()
+        quality.injection_hits(rows, "id", ["body"], strict=strict).collect()
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(80_000) < 20 and seconds(80_000, True) < 20  # over a megabyte each; before, minutes for a tenth of it
+
+
 def test_redaction_depths(spark):
     text = json.dumps({"a": {"Password": 1, "b": [{"my_token": [1]}, 3, [{"pwd": 1}]]}, "auth": {"x": 1}})
     row = spark.createDataFrame([(text,), ("no json",), (None,)], "t string").select(redaction.redact_json("t").alias("r")).collect()
