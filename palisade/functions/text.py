@@ -52,3 +52,8 @@ def integer_packets(rate: Column, seconds: Column) -> Column:
 def invert_score(distance: Column) -> Column:
     """Signed forest distance to a 0..1 score where higher is worse."""
     return 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), distance + 0.5))
+
+
+def grams(text: Column, size: int) -> Column:
+    """The different substrings of ``size`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.functions.text import like_pattern
 from palisade.operators.merging import merge_rows
 from palisade.operators.ranking import latest_per_key
+from palisade.operators.searching import containing
 
 KEV_FIELDS = ("cisa_kev_added_at", "cisa_due_date", "cisa_required_action")
 NVD_KEPT = ("title", "description", "cvss_v3_score", "cvss_v3_vector", "cvss_v2_score")
@@ -16,12 +16,8 @@ INSERTED = NVD_KEPT + NVD_REPLACED + KEV_FIELDS + (
 
 
 def search(threats: DataFrame, term: str) -> DataFrame:
-    """Case-insensitive substring over id, title and description."""
-    pattern = like_pattern(term)
-    hit = F.lit(False)
-    for name in ("cve_id", "title", "description"):
-        hit = hit | F.coalesce(F.col(name).ilike(pattern), F.lit(False))
-    return threats.filter(hit)
+    """Case-insensitive substring over id, title and description, reading them all; ``searching.TextIndex`` does not."""
+    return containing(threats, term)
 
 
 def search_order() -> list[Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from palisade.fixtures import EVENT_CLOCK, ORDER_CLOCK
 from palisade.functions.severity import severity_from_confidence, severity_from_scores, severity_rank
@@ -12,7 +14,9 @@ from palisade.operators import anomalies as anom
 from palisade.operators import dashboard, inventory, threats as thr, vulnerabilities as vuln
 from palisade.operators.merging import insert_missing, set_where_listed
 from palisade.operators.ranking import latest_per_key, page, top_per_group
+from palisade.operators.searching import TextIndex
 from palisade.plans.registry import query
+from palisade.session import scratch_dir
 
 
 def event_clock():
@@ -114,6 +118,19 @@ def _(t):
     return page(rows, thr.search_order(), 50)
 
 
+@query("flt5_indexed_search", f"""
+WITH {GRADED_SQL}
+SELECT DISTINCT term, cve_id, title, severity FROM graded, (SELECT unnest(['RING', 'st', '-0001', 'e b', '100%', 'zzzz']) AS term)
+WHERE contains(lower(cve_id), lower(term)) OR contains(lower(title), lower(term)) OR contains(lower(description), lower(term))""")
+def _(t):
+    """Several terms against one stored index: common, too short for it, within the id, across words, and two that are nowhere."""
+    index = TextIndex(t.spark, scratch_dir(t.spark, "flt5"), buckets=8)
+    index.build(graded(t).select(*index.columns, "severity"))
+    found = [index.search(term).select(F.lit(term).alias("term"), "cve_id", "title", "severity")
+             for term in ("RING", "st", "-0001", "e b", "100%", "zzzz")]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 @query("flt6_threat_by_id", "SELECT * FROM known_threats WHERE cve_id = 'CVE-2024-00042'")
 def _(t):
     return thr.by_id(t.known_threats, "cve-2024-00042")

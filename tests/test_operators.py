@@ -474,3 +474,28 @@ def test_products_meet_texts_by_their_rarest_grams(spark):
     assert all(g in k and len(g) == min(len(k), vuln.GRAM) for k, g in filed.items())
     assert "no such product" not in filed and "" not in filed
     assert vuln.contained_keys(p.limit(0), d).count() == 0 and vuln.contained_keys(p, d.limit(0)).count() == 0
+
+
+def test_indexed_search_equals_the_plain_one(spark, tmp_path):
+    """Short and unknown terms, wildcards, letter case, terms across lines, null texts; few buckets are read."""
+    from test_plans import plan_of
+
+    from palisade.operators.searching import TextIndex, containing
+
+    rng = random.Random(9)
+    words = ["Apache", "apache", "HTTP", "50%", "a_b", "Straße", "çelik", "x\ny", "remote", "code", "0001", "İstanbul"]
+    rows = [(f"CVE-{i:04d}", rng.choice([None, " ".join(rng.choices(words, k=2))]), " ".join(rng.choices(words, k=rng.randrange(0, 9))))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "cve_id string, title string, description string").repartition(3)
+    index = TextIndex(spark, str(tmp_path / "i"), buckets=8)
+    index.build(df)
+    for term in ("apache", "HTTP 50%", "a_b", "aXb", "STRASSE", "straße", "ÇEL", "x\ny", "ap", "", "%", "cve-0007", "nowhere", "0001 remote", "code CVE"):
+        want = sorted(r.cve_id for r in containing(df, term).collect())
+        found = index.search(term)
+        assert found.columns == df.columns and sorted(r.cve_id for r in found.collect()) == want, term
+    assert index.rarest("ap") is None and index.rarest("nowhere") == [] and len(index.rarest("cve-0007")) == 3
+    plan = plan_of(index.search("cve-0007"))
+    assert "dynamicpruning" in plan and plan.count("PartitionFilters") >= 2 and "PushedFilters: [IsNotNull(gram), In(gram" in plan.replace("[In(gram", "[IsNotNull(gram), In(gram")
+    empty = TextIndex(spark, str(tmp_path / "e"), buckets=2)
+    empty.build(df.limit(0))
+    assert empty.search("apache").count() == 0
