@@ -28,6 +28,7 @@ def _tenths(rules: list[tuple[Column, int]]) -> Column:
 def flood_rules(df: DataFrame, rate: float = FLOOD_RATE) -> DataFrame:
     """Adds ``is_flood`` and ``flood_score``."""
     c = F.col
+    # Thresholds and points, in tenths.
     tenths = _tenths([
         (c("packets_per_second") > rate, 4),
         (c("header_repetition_score") > 0.7, 3),
@@ -41,6 +42,7 @@ def flood_rules(df: DataFrame, rate: float = FLOOD_RATE) -> DataFrame:
 def backdoor_rules(df: DataFrame) -> DataFrame:
     """Adds ``is_backdoor`` and ``backdoor_score``."""
     c = F.col
+    # Thresholds and points, in tenths.
     tenths = _tenths([
         ((c("is_outbound") != 0) & (c("is_non_allowlisted") != 0), 4),
         (c("uses_non_standard_port") != 0, 2),

@@ -58,8 +58,7 @@ def _scrub(node):
 
 
 @F.pandas_udf(T.StringType())
-def redact_json(texts: pd.Series) -> pd.Series:
-    """Mask secret keys in JSON text of unknown shape; text that is no JSON object stays."""
+def _scrub_texts(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
             node = json.loads(text)
@@ -68,3 +67,18 @@ def redact_json(texts: pd.Series) -> pd.Series:
         return json.dumps(_scrub(node), ensure_ascii=False, separators=(",", ":")) if isinstance(node, dict) else text
 
     return texts.map(one, na_action="ignore")
+
+
+def may_hold_secret(text: Column) -> Column:
+    """Whether JSON text can have a secret key: it holds a term, or an escape that may spell one."""
+    return F.coalesce(F.lower(text).rlike("|".join(SECRET_TERMS)) | F.contains(text, F.lit("\\")), F.lit(False))
+
+
+def redact_json(text: Column | str) -> Column:
+    """Mask secret keys in JSON text of unknown shape; text that is no JSON object, or has no secret key to mask, stays.
+
+    Built-ins decide which texts can have a secret key; only these reach Python.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    suspect = may_hold_secret(text)
+    return F.when(suspect, _scrub_texts(F.when(suspect, text))).otherwise(text)

@@ -259,6 +259,18 @@ def test_injection_scan_takes_time_in_proportion(spark):
     assert seconds(80_000) < 20 and seconds(80_000, True) < 20  # over a megabyte each; before, minutes for a tenth of it
 
 
+def test_only_suspect_json_reaches_python(spark):
+    from pyspark.sql import Row
+
+    texts = ['{"a": [1, {"b": 2}]}', '{"Pass\\u0077ord": 1, "x": "y"}', '{"x": "my TOKEN"}', '["token"]', '{"API_KEY": {"a": 1}}', "", None, "{broken token"]
+    df = spark.createDataFrame([Row(t=t) for t in texts], "t string")
+    rows = df.select(redaction.redact_json("t").alias("r"), redaction.may_hold_secret(F.col("t")).alias("s")).collect()
+    assert [r.s for r in rows] == [False, True, True, True, True, False, False, True]
+    mask = redaction.MASK
+    assert [r.r for r in rows] == [texts[0], json.dumps({"Password": mask, "x": "y"}, separators=(",", ":")), '{"x":"my TOKEN"}', texts[3],
+                                   json.dumps({"API_KEY": mask}, separators=(",", ":")), "", None, texts[7]]
+
+
 def test_redaction_depths(spark):
     text = json.dumps({"a": {"Password": 1, "b": [{"my_token": [1]}, 3, [{"pwd": 1}]]}, "auth": {"x": 1}})
     row = spark.createDataFrame([(text,), ("no json",), (None,)], "t string").select(redaction.redact_json("t").alias("r")).collect()
