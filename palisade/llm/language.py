@@ -5,14 +5,16 @@ and ``>`` at its ends) of the greatest length of which any is known, and scores
 frequencies. A text's language is the one with the highest sum; its score is that language's share of the
 posterior.
 
-The model is fitted on about ``sample`` labelled documents of each language, chosen by a hash of their id, and
-holds the ``max_words`` most frequent words of each language and the n-grams of all words of the sample; so its size
-is bounded by the sample and it is sent to all tasks.
-Prediction reads every text whole.
+The model is fitted on at most ``sample`` labelled rows and ``sample_bytes`` bytes of text for each language, the rows
+with the least hashes of id and text, whole. Words and n-grams are counted by Spark; of their counts a language keeps
+the most frequent ``max_words`` words and as many n-grams, and all languages together ``MAX_ENTRIES`` of each. The
+counts leave Spark as Arrow columns and stay sparse: a name lists the languages that have it, all others share a floor.
+So the model has a bounded size for any number of languages and is sent to all tasks. Prediction reads every text whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; documents without language or id
-teach nothing; without any labelled document every text is ``und``; equal sums go to the first language in
-code-point order; an empty table gives no rows; other columns pass through.
+teach nothing; without any labelled document every text is ``und`` and ``with_language`` keeps all texts with a letter;
+equal sums go to the first language in code-point order; rows that repeat id and text count once each, within the same
+bounds; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,11 +35,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .common import fresh, stored, unit_draw
 
 UNKNOWN = "und"
-SAMPLE = 1000
-MAX_WORDS = 60_000
+SAMPLE, SAMPLE_BYTES = 1000, 64 << 20
+MAX_WORDS, MAX_ENTRIES = 60_000, 600_000
 LONGEST_GRAM = 4
-#: Unknown words whose scores a task keeps at hand.
-CACHE = 600_000
+#: Scores that a task keeps at hand, over all words and languages; words that are looked up and rows that are read together.
+CACHE, BLOCK, ROWS = 1_000_000, 50_000, 500
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,54 +55,122 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+@dataclass
+class Shares:
+    """Sparse log shares: ``names``, for each from ``start`` on the languages that have it and by how much it lies above ``floor``."""
+
+    names: pa.Array
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    floor: np.ndarray
+
+    def index(self) -> dict[str, int]:
+        return {name: i for i, name in enumerate(self.names.to_pylist())}
+
+    def scores(self, at: list[int], owner: list[int] | np.ndarray | None = None, size: int | None = None) -> np.ndarray:
+        """The scores of the names ``at``, one row each, or the mean for each of ``size`` owners."""
+        at, n = np.asarray(at, np.int64), len(self.floor)
+        owner, size = (np.arange(len(at)), len(at)) if owner is None else (np.asarray(owner, np.int64), size)
+        first, many = self.start[at], self.start[at + 1] - self.start[at]
+        place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        above = np.bincount(np.repeat(owner, many) * n + self.lang[place], self.gain[place], size * n).reshape(size, n)
+        return self.floor + above / np.maximum(np.bincount(owner, minlength=size), 1)[:, None]
+
+
 @dataclass
 class LanguageModel:
+    """Shares of the words (place 0) and of the n-grams of each length n."""
+
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-
-    def backoff(self, word: str) -> np.ndarray:
-        """The scores of an unknown word."""
-        framed = f"<{word}>"
-        for n in range(LONGEST_GRAM, 0, -1):
-            known = [g for g in (framed[i:i + n] for i in range(len(framed) - n + 1)) if g in self.grams and g not in "<>"]
-            if known:
-                return self.gram_scores[[self.grams[g] for g in known]].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+    shares: list[Shares]
 
 
 class Scorer(dict):
-    """Row of each word in a table of scores; unknown words are added when first met."""
+    """Row of each word in a table of scores; words are added when first met, many at a time."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.fill(model)
-
-    def fill(self, model: LanguageModel) -> None:
-        self.clear()
-        self.update(model.words)
-        self.model, self.scores, self.used = model, model.word_scores.copy(), len(model.word_scores)
+        self.model = model
+        self.known = [s.index() for s in model.shares]
+        self.most = CACHE // max(1, len(model.languages))
+        self.scores = np.empty((1024, len(model.languages)), np.float32)
+        # single characters that only frame words
+        self.frame = {self.known[1][c] for c in "<>" if c in self.known[1]}
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """The scores of unknown words: the means over their n-grams of the greatest length that has any."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        left = [f"<{word}>" for word in words]
+        open_ = list(range(len(words)))
+        for n in range(LONGEST_GRAM, 0, -1):
+            known, at, owner, done = self.known[n], [], [], []
+            for i in open_:
+                framed = left[i]
+                found = [k for k in map(known.get, [framed[j:j + n] for j in range(len(framed) - n + 1)]) if k is not None]
+                if n == 1:
+                    found = [k for k in found if k not in self.frame]
+                if found:
+                    owner += [len(done)] * len(found)
+                    at += found
+                    done.append(i)
+            if done:
+                out[done] = self.model.shares[n].scores(at, owner, len(done))
+                open_ = sorted(set(open_).difference(done))
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > self.most:
+            self.clear()
+        new = [w for w in words if w not in self]
+        used = len(self)
+        if used + len(new) > len(self.scores):
+            grown = np.empty((max(2 * len(self.scores), used + len(new)), self.scores.shape[1]), np.float32)
+            grown[:used] = self.scores[:used]
+            self.scores = grown
+        at = [self.known[0].get(w) for w in new]
+        have = [i for i, k in enumerate(at) if k is not None]
+        lack = [i for i, k in enumerate(at) if k is None]
+        rows = np.empty((len(new), self.scores.shape[1]))
+        rows[have] = self.model.shares[0].scores([at[i] for i in have])
+        rows[lack] = self.backoff([new[i] for i in lack])
+        self.scores[used:used + len(new)] = rows
+        self.update(zip(new, range(used, used + len(new))))
 
     def __missing__(self, word: str) -> int:
-        if self.used == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.empty((max(1024, self.used), self.scores.shape[1]), np.float32)])
-        self.scores[self.used] = self.model.backoff(word)
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.learn({word})
+        return self[word]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.model.languages or not has_letter(words):
-            return UNKNOWN, 0.0
-        if len(self) > len(self.model.words) + CACHE:
-            self.fill(self.model)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.scores[at].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        total, lettered = np.zeros((len(texts), len(self.model.languages))), []
+        held, owner, size = [], [], 0
+        for i, text in enumerate(texts):
+            words = words_of(text) if text else []
+            lettered.append(has_letter(words))
+            for first in range(0, len(words) if self.model.languages else 0, BLOCK):
+                held.append(words[first:first + BLOCK])
+                owner.append(i)
+                size += len(held[-1])
+                if size >= BLOCK:
+                    self._add(total, held, owner)
+                    held, owner, size = [], [], 0
+        if held:
+            self._add(total, held, owner)
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        best = total.argmax(axis=1)
+        share = 1.0 / np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0)).sum(axis=1)
+        return [(self.model.languages[b], float(s)) if found else (UNKNOWN, 0.0) for b, s, found in zip(best, share, lettered)]
+
+    def _add(self, total: np.ndarray, held: list[list[str]], owner: list[int]) -> None:
+        """Add the scores of the words of each part to the total of its text."""
+        self.learn(set().union(*held))
+        sizes = np.array([len(h) for h in held])
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(held)), np.int64, int(sizes.sum()))
+        np.add.at(total, owner, np.add.reduceat(self.scores[at], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,59 +202,77 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> LanguageModel:
-    """Learn from ``docs`` (doc_id, text, lang); rows that are held out, or lack a language, text or id, teach nothing."""
+def drawn(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """lang, text of the rows to learn from: for each language those with the least hashes of id and text, within both bounds.
+
+    Rows that are held out, or lack a language, text or id, teach nothing.
+    """
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = stored(labelled.groupBy("lang").count().select(
         F.col("lang").alias("size_lang"), F.col("count").alias("n_docs")), "language-sizes")
-    chosen = (labelled.join(sizes, F.col("lang") == F.col("size_lang"))
-              .where(unit_draw(F.col("doc_id").cast("string"), "language") * F.col("n_docs") < sample))
-    counts = (chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
+    draw = unit_draw(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5(F.col("text").cast("binary"))), "language")
+    # most rows go before any is ranked
+    near = (labelled.join(sizes, F.col("lang") == F.col("size_lang")).withColumn("draw", draw)
+            .where(F.col("draw") * F.col("n_docs") < 4 * sample))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    first = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("place"))
+    return first.withColumn("bytes", size).where((F.col("bytes") <= sample_bytes) | (F.col("place") == 1)).select("lang", "text")
+
+
+def _most_frequent(counts: DataFrame, name: str, each: int) -> pa.Table:
+    """lang, name, n of the ``each`` most frequent names of every language, as Arrow columns."""
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), name)
+    return (counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+            .select("lang", F.col(name).alias("name"), "n").toArrow())
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+    """Learn from ``docs`` (doc_id, text, lang)."""
+    counts = (drawn(docs, sample, sample_bytes).mapInArrow(_count_words, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     counts = stored(counts, "language-words")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    words = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_words).select("word").distinct()
-    kept = counts.join(words, "word").select("lang", "word", "n").collect()  # at most max_words words of each language
-    grams = (counts.mapInArrow(_count_grams, "lang string, gram string, n long")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect())
-    return build(kept, grams)
-
-
-def _table(rows: list[tuple[str, str, int]], number: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
-    place: dict[str, int] = {}
-    for _, name, _ in rows:
-        place.setdefault(name, len(place))
-    counts = np.zeros((len(place), len(number)))
-    for lang, name, n in rows:
-        counts[place[name], number[lang]] += n
-    return place, counts
-
-
-def build(rows: list[tuple[str, str, int]], gram_rows: list[tuple[str, str, int]] | None = None) -> LanguageModel:
-    """The model of (lang, word, n) and (lang, gram, n), by default the n-grams of the same words."""
-    if gram_rows is None:
-        gram_rows = [(lang, gram, n) for lang, word, n in rows for gram in grams_of(word)]
-    languages = sorted({r[0] for r in rows})
-    number = {x: i for i, x in enumerate(languages)}
-    words, counts = _table(rows, number)
-    grams, gram_counts = _table(gram_rows, number)
-    length = np.array([len(g) for g in grams], np.int64)
-    gram_scores = np.zeros_like(gram_counts)
-    for n in range(1, LONGEST_GRAM + 1):
-        gram_scores[length == n] = _log_share(gram_counts[length == n])
-    return LanguageModel(languages, words, _log_share(counts).astype(np.float32), grams, gram_scores.astype(np.float32))
-
-
-def _log_share(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(counts)))) if len(counts) else counts
+    grams = stored(counts.mapInArrow(_count_grams, "lang string, gram string, n long")
+                   .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    languages = max(1, counts.select("lang").distinct().count())
+    words = _most_frequent(counts, "word", min(max_words, max(1, MAX_ENTRIES // languages)))
+    return build(words, _most_frequent(grams, "gram", max(1, MAX_ENTRIES // languages)))
+
+
+def build(words: pa.Table, grams: pa.Table) -> LanguageModel:
+    """The model of Arrow columns (lang, name, n): counts of words and of n-grams."""
+    languages = sorted(set(words.column("lang").to_pylist()))
+    length = pc.utf8_length(grams.column("name"))
+    return LanguageModel(languages, [_shares(words, languages)] + [
+        _shares(grams.filter(pc.equal(length, n)), languages) for n in range(1, LONGEST_GRAM + 1)])
+
+
+def _shares(table: pa.Table, languages: list[str]) -> Shares:
+    lang = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy().astype(np.int64)
+    n = table.column("n").to_numpy().astype(np.float64)
+    coded = table.column("name").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    name = coded.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((lang, name))
+    start = np.searchsorted(name[order], np.arange(len(coded.dictionary) + 1))
+    # half a count for every name that a language lacks
+    floor = np.log(0.5) - np.log(np.bincount(lang, n, len(languages)) + 0.5 * max(1, len(coded.dictionary)))
+    return Shares(coded.dictionary, start.astype(np.int32), lang[order].astype(np.uint16),
+                  np.log(2 * n[order] + 1).astype(np.float32), floor)
+
+
+def _texts(batch: pa.RecordBatch, column: int = -1) -> Iterator[list[str | None]]:
+    """A column, ``ROWS`` texts at a time."""
+    for first in range(0, batch.num_rows, ROWS):
+        yield batch.column(column % batch.num_columns).slice(first, ROWS).to_pylist()
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [f for texts in _texts(batch) for f in scorer.predict_all(texts)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*batch.schema.names[:-1], "lang_pred", "score"])
@@ -198,16 +288,25 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without the documents of unknown language; a missing ``lang`` is filled with the prediction."""
-    name, text = fresh(docs, "lang_pred"), fresh(docs, "lang_text")
+    """``docs`` without the texts that have no letter; a missing ``lang`` is filled with the prediction.
+
+    When nothing was learned ``lang`` stays as it is.
+    """
+    name, text = fresh(docs, "lang_pred"), [c.lower() for c in docs.columns].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = _predict(shared)
+    learned = bool(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in inner(batches):
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], [*batch.schema.names[:-2], name])
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found: list[str | None] = []
+            for texts in _texts(batch, text):
+                if learned:
+                    found += [f[0] for f in scorer.predict_all(texts)]
+                else:
+                    found += [None if t and has_letter(words_of(t)) else UNKNOWN for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, name])
 
-    both = docs.withColumn(text, F.col("text"))
     schema = StructType([*docs.schema.fields, StructField(name, StringType())])
-    predicted = both.mapInArrow(run, schema).where(F.col(name) != UNKNOWN)
+    predicted = docs.mapInArrow(run, schema).where(F.col(name).isNull() | (F.col(name) != UNKNOWN))
     return predicted.withColumn("lang", F.coalesce("lang", name)).select(*docs.columns)

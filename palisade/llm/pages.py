@@ -38,7 +38,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption "
             "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav noscript object "
             "ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
-SKIPPED = set("script style template noscript svg math iframe object canvas".split())
+SKIPPED = set("script style template noscript svg iframe object canvas".split())
 CLOSES_P = BLOCK - set("html head body title button label option".split())
 
 # Words of classes and ids, by what they stand for.
@@ -71,6 +71,7 @@ class _Blocks(HTMLParser):
         self.path: list[tuple[str, tuple[str, ...]]] = []
         self.parts: list[str] = []
         self.links, self.in_link, self.skip = 0, 0, None
+        self.inner: list[str] = []  # elements open inside a skipped one
         self.out: list[Block] = []
 
     def cut(self) -> None:
@@ -81,9 +82,11 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.skip:
+            if tag in BLOCK and tag not in VOID:
+                self.inner.append(tag)
             return
         if tag in SKIPPED:
-            self.skip = tag
+            self.skip, self.inner = tag, []
             return
         if tag == "a":
             self.in_link = 1
@@ -107,8 +110,14 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag == self.skip:
+            if tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+            elif tag == self.skip:
+                self.skip = None
+            elif any(t == tag for t, _ in self.path):  # the end of an element around it: the skipped one was never closed
                 self.skip = None
+                self.handle_endtag(tag)
             return
         if tag == "a":
             self.in_link = 0
@@ -144,7 +153,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
                  *[f"class={g}" for g in groups], f"length={min(n.bit_length(), 10)}",
                  f"links={min(4, 4 * b.link_chars // n)}", f"stop={b.text[-1] in '.!?:;\"”»…'}",
                  f"edge={'first' if i == 0 else 'last' if i == len(blocks) - 1 else 'no'}"]
-        if "©" in b.text or "cookie" in b.text.lower()[:400]:
+        if "©" in b.text or "cookie" in b.text.lower():
             names.append("boilerplate")
         out.append(names)
     return out
