@@ -8,8 +8,8 @@ training texts, with one count more for each and one for all words not seen:
 
 So every word of the corpus counts, however many there are, while what the states know has a fixed size that tasks
 can hold. Word counts are a table; they meet the words of the texts in a join. A word with more than
-1 / ``FREQUENT`` of all tokens is one of at most ``FREQUENT`` such words; these form a small table of their own,
-and no other word can fill a join partition.
+1 / ``FREQUENT`` of all tokens is one of at most ``FREQUENT`` such words; these are sent to all tasks, and no other word
+can fill a join partition.
 
 Baum-Welch: each round, tasks run the scaled forward and backward recursions over the training texts and add up the
 expected emissions, transitions and starts; Spark sums them across tasks in whole 2**-16ths, so the order does not matter,
@@ -32,6 +32,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ from .common import stored
 
 STATES, N_CLASSES, ROUNDS = 8, 32_768, 4
 #: A part in so many of all tokens makes a word frequent.
-FREQUENT = 32_768
-#: Bytes of text cut into words together, tokens stepped through together, and tokens of a piece.
-SLICE, TOKENS, PIECE = 1 << 22, 500_000, 1024
+FREQUENT = 1 << 20
+#: Bytes of text cut into words together, tokens stepped through together, tokens of a piece, and steps between scalings.
+SLICE, TOKENS, PIECE, RESCALE = 1 << 22, 2_000_000, 8192, 8
 #: Words whose classes a task keeps at hand.
 CACHE = 500_000
 UNIT = 65536.0
@@ -96,7 +98,7 @@ def tokenised(docs: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                        held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     return stored(rows.mapInArrow(cut, "row long, doc_id long, held_out boolean, codes binary, words array<string>, ns array<int>"),
-                  "hmm-tokens")
+                  "hmm-tokens", "zstd")
 
 
 def _words(tokens: DataFrame) -> DataFrame:
@@ -104,33 +106,28 @@ def _words(tokens: DataFrame) -> DataFrame:
     return tokens.select("row", pairs.alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.ns").cast("long").alias("n"))
 
 
-def _class_of(word: Column, n_classes: int) -> Column:
-    return F.pmod(F.crc32(word.cast("binary")), F.lit(n_classes)).cast("int")
-
-
 @dataclass
 class Counts:
-    """Training counts: words (word, c, size of the class) as a table, and totals."""
+    """Training counts: words (word, c) as a table, totals, and the sizes of the classes."""
 
     words: DataFrame
-    classes: DataFrame  # class, size: the counts of its words plus the number of its words
     tokens: int
     distinct: int
-    sizes: np.ndarray  # size of each class, the end last
+    sizes: np.ndarray  # of each class, the end last: the counts of its words, plus one each
 
 
 def count_words(tokens: DataFrame, n_classes: int = N_CLASSES) -> Counts:
     train = tokens.where(~F.col("held_out"))
     words = stored(_words(train).groupBy("word").agg(F.sum("n").alias("c")), "hmm-words")
-    classes = stored(words.groupBy(_class_of(F.col("word"), n_classes).alias("class")).agg(
-        F.sum(F.col("c") + 1).alias("size"), F.count("*").alias("n")), "hmm-classes")
+    of = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(n_classes)).cast("int")
+    classes = words.groupBy(of.alias("class")).agg(F.sum(F.col("c") + 1).alias("size"), F.count("*").alias("n"))
     sizes, distinct = np.zeros(n_classes + 1), 0
     for row in classes.collect():  # at most n_classes rows
         sizes[row["class"]], distinct = row["size"], distinct + row["n"]
     texts = train.count()
     sizes[n_classes] = texts + (texts > 0)
     ends = int(texts > 0)
-    return Counts(words, classes.drop("n"), int(sizes.sum()) - distinct - ends, distinct + ends, sizes)
+    return Counts(words, int(sizes.sum()) - distinct - ends, distinct + ends, sizes)
 
 
 @dataclass
@@ -157,11 +154,14 @@ def next_model(sizes: np.ndarray, emitted: np.ndarray, moved: np.ndarray, starte
 
 
 class Pieces:
-    """Texts given by their codes, cut into pieces that are stepped through side by side, longest first."""
+    """Texts given by their codes, cut into pieces that are stepped through side by side, longest first.
+
+    ``kind`` is the precision of the recursions within a piece: single will do for expected counts.
+    """
 
-    def __init__(self, codes: list[np.ndarray], model: Model, piece: int | None = None):
+    def __init__(self, codes: list[np.ndarray], model: Model, piece: int | None = None, kind: type = np.float64):
         piece = piece or PIECE
-        self.model, self.n_texts = model, len(codes)
+        self.model, self.n_texts, self.kind = model, len(codes), kind
         self.codes = np.concatenate(codes).astype(np.int64)
         sizes = np.array([len(c) for c in codes], np.int64)
         many = -(-sizes // piece)
@@ -206,66 +206,101 @@ class Pieces:
             vector = np.einsum("nij,nj->ni", through[here], self.going[chosen[here]])
             self.going[chosen[before]] = vector / vector.sum(axis=1, keepdims=True)
 
-    def _forward(self, part: slice, keep: list | None = None) -> np.ndarray:
-        """Log likelihood of the pieces of ``part``; ``keep`` takes the scaled vectors and the emissions of every step."""
-        coming, first, length = self.coming[part], self.first[part], self.length[part]
-        total, vector, begin = np.zeros(len(coming)), coming, self.begin[part]
-        for t in range(int(length.max(initial=0))):
-            n = int(np.searchsorted(-length, -t))  # those longer than t
-            emitted = self.model.emit[self.codes[begin[:n] + t]]
-            moved = vector[:n] @ self.model.step
-            if t == 0:
-                moved = np.where(first[:, None], coming, moved)
-            moved *= emitted
-            scale = moved.sum(axis=1)
-            vector = moved / scale[:, None]
-            total[:n] += np.log(scale)
-            if keep is not None:
-                keep.append((vector, emitted))
-        return total
-
     def likelihood(self) -> np.ndarray:
         """Natural log likelihood of each text."""
-        return np.bincount(self.text, self._forward(slice(None)), self.n_texts)
+        found = [Steps(self, part).forward() for part in self._parts()]
+        return np.bincount(self.text, np.concatenate(found), self.n_texts)
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected emissions (class x state), transitions (state x state) and starts (state)."""
         states = len(self.model.start)
         emitted, moved, started = np.zeros(self.model.emit.shape), np.zeros((states, states)), np.zeros(states)
-        ends = np.cumsum(self.length)
-        begin = 0
-        while begin < len(ends):  # pieces of about TOKENS tokens at a time
+        for part in self._parts():
+            Steps(self, part).expect(emitted, moved, started)
+        return emitted, moved * self.model.step, started
+
+    def _parts(self) -> Iterator[slice]:
+        """Pieces of about ``TOKENS`` tokens at a time."""
+        ends, begin = np.cumsum(self.length), 0
+        while begin < len(ends):
             end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TOKENS, side="right")))
-            self._expect(slice(begin, end), emitted, moved, started)
+            yield slice(begin, end)
             begin = end
-        return emitted, moved * self.model.step, started
 
-    def _expect(self, part: slice, all_emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
-        """Adds the expectations of the pieces of ``part``; ``moved`` still lacks the transition itself."""
-        step, steps, shares, seen = self.model.step, [], [], []
-        self._forward(part, steps)
-        coming, going, first, begin = self.coming[part], self.going[part], self.first[part], self.begin[part]
-        after = np.empty((0, len(step)))
-        for t in range(len(steps) - 1, -1, -1):
-            vector, emitted = steps[t]
-            n = len(vector)
-            behind = np.concatenate([after, going[len(after):n]])
-            share = vector * behind
-            share /= share.sum(axis=1, keepdims=True)
-            shares.append(share)
-            seen.append(self.codes[begin[:n] + t])
-            back = emitted * behind
+
+class Steps:
+    """The recursions over some pieces: states by tokens, the tokens of a step side by side.
+
+    Vectors are brought back to sum 1 every ``RESCALE`` steps. The likeliest state of a class emits it with share 1 here,
+    so that vectors shrink slowly between scalings; the true shares enter the likelihood as logarithms.
+    """
+
+    def __init__(self, pieces: Pieces, part: slice):
+        length, begin, kind = pieces.length[part], pieces.begin[part], pieces.kind
+        self.step, self.first = pieces.model.step.astype(kind), pieces.first[part]
+        self.coming, self.going = pieces.coming[part].T.astype(kind), pieces.going[part].T.astype(kind)
+        # pieces with a token at each step, and where the tokens of the step begin
+        self.active = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1), side="right").tolist()
+        self.at = (np.cumsum(self.active) - self.active).tolist()
+        step = np.repeat(np.arange(len(self.active)), self.active)
+        self.piece = np.arange(len(step)) - np.repeat(self.at, self.active)
+        self.codes = pieces.codes[begin[self.piece] + step]
+        # shares in proportion to the greatest of their class
+        self.top = pieces.model.emit.max(axis=1)
+        self.emitted = (pieces.model.emit / self.top[:, None]).T.astype(kind)[:, self.codes]
+        self.ahead = np.empty_like(self.emitted)
+        self.scale = np.ones(len(step), kind)
+
+    def forward(self) -> np.ndarray:
+        """Log likelihood of each piece; leaves the scaled forward vectors in ``ahead``."""
+        turn = np.ascontiguousarray(self.step.T)
+        total = np.bincount(self.piece, np.log(self.top)[self.codes], len(self.first))
+        ends = [*self.active[1:], 0]
+        for t, (at, n, end) in enumerate(zip(self.at, self.active, ends)):
+            now = self.ahead[:, at:at + n]
             if t:
-                origin = steps[t - 1][0][:n]
+                before = self.at[t - 1]
+                np.matmul(turn, self.ahead[:, before:before + n], out=now)
             else:
-                origin, back = coming[~first], back[~first]
-                started += share[first].sum(axis=0)
-            reached = back @ step.T
-            moved += origin.T @ (back / np.einsum("ni,ni->n", origin, reached)[:, None])
-            after = reached / reached.sum(axis=1, keepdims=True)
-        seen, shares = np.concatenate(seen), np.concatenate(shares)
+                np.copyto(now, np.where(self.first, self.coming, turn @ self.coming))
+            now *= self.emitted[:, at:at + n]
+            if t % RESCALE == RESCALE - 1:
+                scale = now.sum(axis=0)
+                now /= scale
+                self.scale[at:at + n] = scale
+                total[:n] += np.log(scale)
+            if end < n:
+                total[end:n] += np.log(now[:, end:].sum(axis=0))
+        return total
+
+    def expect(self, all_emitted: np.ndarray, moved: np.ndarray, started: np.ndarray) -> None:
+        """Adds the expectations; ``moved`` still lacks the transition itself."""
+        self.forward()
+        step, behind = self.step, np.empty_like(self.emitted)
+        after = 0
+        for t in range(len(self.active) - 1, -1, -1):
+            at, n = self.at[t], self.active[t]
+            now = behind[:, at:at + n]
+            now[:, after:] = self.going[:, after:n]
+            if after:
+                following = slice(self.at[t + 1], self.at[t + 1] + after)
+                reached = step @ (self.emitted[:, following] * behind[:, following])
+                now[:, :after] = reached / reached.sum(axis=0) if t % RESCALE == 0 else reached
+            after = n
+        share = self.ahead * behind
+        whole = share.sum(axis=0)
+        share /= whole
+        started += share[:, :self.active[0]][:, self.first].sum(axis=1)
         for s in range(len(step)):
-            all_emitted[:, s] += np.bincount(seen, shares[:, s], len(all_emitted))
+            all_emitted[:, s] += np.bincount(self.codes, share[s], len(all_emitted))
+        # what a transition into a token carries, but for its origin and probability
+        into = np.multiply(self.emitted, behind, out=behind)
+        into /= whole * self.scale
+        for t in range(1, len(self.active)):
+            n, at, before = self.active[t], self.at[t], self.at[t - 1]
+            moved += self.ahead[:, before:before + n] @ into[:, at:at + n].T
+        inner = ~self.first
+        moved += self.coming[:, inner] @ into[:, :self.active[0]][:, inner].T
 
 
 def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -295,7 +330,7 @@ def train(tokens: DataFrame, counts: Counts, states: int = STATES, rounds: int =
             total = np.zeros((n_codes + states + 1, states))  # classes, then transitions, then starts
             for batch in batches:
                 for _, texts in _grouped(batch):
-                    total += np.vstack(Pieces(texts, shared.value).expected())
+                    total += np.vstack(Pieces(texts, shared.value, kind=np.float32).expected())
             whole = np.rint(total * UNIT).astype(np.int64)
             used = np.flatnonzero(whole.any(axis=1))
             yield pa.RecordBatch.from_arrays(
@@ -309,39 +344,75 @@ def train(tokens: DataFrame, counts: Counts, states: int = STATES, rounds: int =
     return model
 
 
-def path_scores(tokens: DataFrame, model: Model) -> DataFrame:
-    """row, doc_id, held_out, n_tokens and the log10 likelihood of the classes of each text."""
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Frequent:
+    """The frequent words, at most ``FREQUENT``, and the log10 of their counts plus one."""
+
+    words: pa.Array
+    gain: np.ndarray
+
+    def places(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are frequent, and their places here."""
+        found = pc.index_in(flat, value_set=self.words)
+        there = found.is_valid().to_numpy(zero_copy_only=False)
+        return there, found.drop_null().to_numpy()
+
+
+def frequent_words(counts: Counts) -> Frequent:
+    often = counts.words.where(F.col("c") * FREQUENT > counts.tokens).toArrow().combine_chunks()
+    return Frequent(pa.array(often.column("word").to_pylist(), pa.string()), np.log10(often.column("c").to_numpy() + 1.0))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Row in the batch, word and number of all words of all texts."""
+    words, ns = (batch.column(batch.schema.get_field_index(c)) for c in ("words", "ns"))
+    return pc.list_parent_indices(words).to_numpy(), words.flatten(), ns.flatten()
+
+
+def path_scores(tokens: DataFrame, model: Model, counts: Counts, often: Broadcast) -> DataFrame:
+    """row, doc_id, held_out, n_tokens; n_often and often_score, of the frequent words; and path_score, the log10 likelihood
+    of the classes of each text, each word being one of its class's size, plus one."""
+    shared = tokens.sparkSession.sparkContext.broadcast((model, counts.sizes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sizes = shared.value
+        one_of = np.log10(np.append(sizes[:-1] + 1.0, 1.0))  # the end is alone in its class
         for batch in batches:
             size, found = [np.empty(0, np.int64)], [np.empty(0)]
             for _, texts in _grouped(batch):
                 size.append(np.array([len(t) for t in texts], np.int64))
-                found.append(Pieces(texts, shared.value).likelihood() / np.log(10.0))
+                inside = np.add.reduceat(one_of[np.concatenate(texts)], np.cumsum(size[-1]) - size[-1])
+                found.append(Pieces(texts, model).likelihood() / np.log(10.0) - inside)
+            row, words, ns = _flat(batch)
+            there, place = often.value.places(words)
+            row, n = row[there], ns.to_numpy()[there]
+            known = np.bincount(row, n, batch.num_rows).astype(np.int64)
+            gained = np.bincount(row, n * often.value.gain[place], batch.num_rows).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.concatenate(size)), pa.array(np.concatenate(found))],
-                ["row", "doc_id", "held_out", "n_tokens", "path_score"])
-
-    return tokens.select("row", "doc_id", "held_out", "codes").mapInArrow(
-        score, "row long, doc_id long, held_out boolean, n_tokens long, path_score double")
-
-
-def word_scores(tokens: DataFrame, counts: Counts, n_classes: int = N_CLASSES) -> DataFrame:
-    """row, n_known, base (log10 of the smoothed shares of its words) and inside (of the words in their classes)."""
-    known = counts.words.select(F.col("word").alias("known"), "c")
-    sizes = counts.classes.select("class", "size")
-    often = stored(known.where(F.col("c") * FREQUENT > counts.tokens), "hmm-frequent")
-    words = _words(tokens)
-    one = words.join(often, F.col("word") == F.col("known"))
-    rest = words.join(often, F.col("word") == F.col("known"), "left_anti").join(
-        known.where(F.col("c") * FREQUENT <= counts.tokens), F.col("word") == F.col("known"), "left")
-    both = one.unionByName(rest).withColumn("c", F.coalesce("c", F.lit(0)))
-    both = both.withColumn("of", _class_of(F.col("word"), n_classes)).join(sizes, F.col("of") == F.col("class"), "left")
-    base = F.log10((F.col("c") + 1) / F.lit(float(counts.tokens + counts.distinct + 1)))
-    inside = F.log10((F.col("c") + 1) / (F.coalesce("size", F.lit(0)) + 1))
-    return both.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-                                   F.sum(F.col("n") * base).alias("base"), F.sum(F.col("n") * inside).alias("inside"))
+                [*batch.columns[:3], *map(pa.array, (np.concatenate(size), known, gained, np.concatenate(found)))],
+                ["row", "doc_id", "held_out", "n_tokens", "n_often", "often_score", "path_score"])
+
+    return tokens.select("row", "doc_id", "held_out", "codes", "words", "ns").mapInArrow(
+        score, "row long, doc_id long, held_out boolean, n_tokens long, n_often long, often_score double, path_score double")
+
+
+def rare_scores(tokens: DataFrame, counts: Counts, often: Broadcast) -> DataFrame:
+    """of_row, n_rare (its known words that are not frequent) and rare_score (the log10 of their counts, plus one).
+
+    Unknown words count as zero, plus one, and so add nothing.
+    """
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words, ns = _flat(batch)
+            there, _ = often.value.places(words)
+            left = pa.array(np.flatnonzero(~there))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row).take(left)), words.take(left), ns.take(left)],
+                                             ["of_row", "word", "n"])
+
+    words = tokens.select("row", "words", "ns").mapInArrow(rare, "of_row long, word string, n int")
+    known = counts.words.where(F.col("c") * FREQUENT <= counts.tokens).select(F.col("word").alias("known"), "c")
+    return words.join(known, F.col("word") == F.col("known")).groupBy("of_row").agg(
+        F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_score"))
 
 
 def score(docs: DataFrame, states: int = STATES, n_classes: int = N_CLASSES, rounds: int = ROUNDS) -> DataFrame:
@@ -353,11 +424,13 @@ def score(docs: DataFrame, states: int = STATES, n_classes: int = N_CLASSES, rou
     counts = count_words(tokens, n_classes)
     model = train(tokens, counts, states, rounds)
     texts = counts.sizes[-1] - 1 if counts.sizes[-1] else 0  # every training text has one end
-    end = float(np.log10((texts + 1) / (counts.tokens + counts.distinct + 1)))
-    found = path_scores(tokens, model).join(word_scores(tokens, counts, n_classes).withColumnRenamed("row", "of_row"),
-                                            F.col("row") == F.col("of_row"), "left")
+    end, all_tokens = float(np.log10(texts + 1)), float(np.log10(counts.tokens + counts.distinct + 1))
+    often = docs.sparkSession.sparkContext.broadcast(frequent_words(counts))
+    found = path_scores(tokens, model, counts, often).join(
+        rare_scores(tokens, counts, often), F.col("row") == F.col("of_row"), "left")
+    words = F.col("often_score") + F.coalesce("rare_score", F.lit(0.0))
     return found.select(
-        "doc_id", "held_out", "n_tokens", (F.coalesce("n_known", F.lit(0)) + int(texts > 0)).alias("n_known"),
+        "doc_id", "held_out", "n_tokens",
+        (F.col("n_often") + F.coalesce("n_rare", F.lit(0)) + int(texts > 0)).alias("n_known"),
         F.lit(counts.tokens).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + end).alias("base_score"),
-        (F.coalesce("inside", F.lit(0.0)) + F.col("path_score")).alias("score"))
+        (words + end - F.col("n_tokens") * all_tokens).alias("base_score"), (words + F.col("path_score")).alias("score"))
