@@ -6,7 +6,8 @@
    take suspects away. The filter has a fixed number of bits, so memory is bounded; a crowded one only adds suspects.
 3. Lines with a suspected hash are confirmed by the SHA-256 of their whole key: first and last document per key,
    combined before the shuffle, so a line that every document holds costs one row per task.
-4. Documents take up the keys that they lose.
+4. Rows take up the keys that they lose, each its own, so a document of many rows gathers nothing in one place. A key
+   meets its lines in ``SALTS`` parts, so the line that every document holds is not one task's work.
 
 Key of a line: white space stripped at both ends, A-Z lower-cased. Keys shorter than ``min_chars`` stay.
 
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, id_key, stored
+from .common import WHITE, id_key, numbered, stored
 
 MIN_CHARS = 10
 FILTER_BITS = 1 << 26
 PROBES = 3
 #: Hashes that a task gathers before it passes them on.
 GATHER = 200_000
+#: Parts in which the lines of a key meet the decision on it.
+SALTS = 16
 
 _STRIP = WHITE.encode()
 
@@ -116,29 +119,32 @@ def suspected_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FI
 def _lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column("doc").to_pylist(), _texts(batch, "text")):
+            sizes, keys = [], []
+            for text in _texts(batch, "text"):
                 own = {k for k in line_keys(text, min_chars) if k}
                 keys.extend(own)
-                ids.extend([doc] * len(own))
+                sizes.append(len(own))
+            of = pa.array(np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64)))
             hashes = np.frombuffer(b"".join(k[:8] for k in keys), dtype="<i8")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hashes), pa.array(keys, pa.binary())], ["doc", "hash", "key"])
+                [batch.column("row").take(of), batch.column("doc").take(of), pa.array(hashes), pa.array(keys, pa.binary())],
+                ["row", "doc", "hash", "key"])
 
     return run
 
 
-def lost_keys(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
-    """doc, keys: the key digests whose lines each document loses."""
+def lost_keys(docs: DataFrame, row: str, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
+    """lost_row, keys: the key digests whose lines each row of ``docs`` (``row``, doc_id, text) loses."""
     suspects = stored(suspected_hashes(docs, min_chars, bits), "line-suspects")
-    lines = (docs.select(id_key().alias("doc"), "text")
-             .mapInArrow(_lines(min_chars), "doc long, hash long, key binary")
-             .join(suspects.distinct(), "hash", "left_semi").select("doc", "key"))
+    lines = (docs.select(F.col(row).alias("row"), id_key().alias("doc"), "text")
+             .mapInArrow(_lines(min_chars), "row long, doc long, hash long, key binary")
+             .join(suspects.distinct(), "hash", "left_semi").select("row", "doc", "key"))
     lines = stored(lines, "line-suspected")
     repeats = (lines.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
                .where("first < last").select("key", "first"))
-    lost = lines.join(repeats, "key").where("doc > first")
-    return lost.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    repeats = repeats.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    lost = lines.withColumn("salt", F.pmod("row", F.lit(SALTS))).join(repeats, ["key", "salt"]).where("doc > first")
+    return lost.groupBy(F.col("row").alias("lost_row")).agg(F.collect_set("key").alias("keys"))
 
 
 def _rewrite(min_chars: int):
@@ -163,7 +169,7 @@ def _rewrite(min_chars: int):
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, kept_text for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lost = stored(lost_keys(docs, min_chars, bits), "line-lost")
-    joined = docs.join(lost, id_key() == F.col("doc"), "left").select("doc_id", "text", "keys")
+    docs, row = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "line-rows")
+    lost = stored(lost_keys(docs, row, min_chars, bits), "line-lost")
+    joined = docs.join(lost, F.col(row) == F.col("lost_row"), "left").select("doc_id", "text", "keys")
     return joined.mapInArrow(_rewrite(min_chars), "doc_id long, n_lines long, n_dropped long, kept_text string")

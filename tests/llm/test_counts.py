@@ -75,6 +75,15 @@ def test_shard_query_columns(spark):
         assert r.grown_shard in (r.shard, 16)
 
 
+def test_line_dedup_of_many_rows_without_id(spark):
+    """A third of the rows are one document: their lines go where an id holds them, each row keeps its own list."""
+    rows = [(None if i % 3 == 0 else i, f"the line that every document holds\nown line number {i}\nshared by {i % 7} of them") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert brute.rows(line_dedup.dedup_lines(df)) == Counter(brute.line_dedup(rows))
+    stored, row = line_dedup.numbered(df, "rows")
+    assert max(len(r["keys"]) for r in line_dedup.lost_keys(stored, row).collect()) <= 2
+
+
 def test_line_dedup(odd, odd_rows, empty):
     got = brute.rows(line_dedup.dedup_lines(odd))
     assert got == Counter(brute.line_dedup([r[:2] for r in odd_rows]))
