@@ -511,3 +511,16 @@ def test_indexed_search_equals_the_plain_one(spark, tmp_path):
     empty = TextIndex(spark, str(tmp_path / "e"), buckets=2)
     empty.build(df.limit(0))
     assert empty.search("apache").count() == 0
+
+
+def test_texts_are_never_sent_whole_when_products_meet_them(spark, tmp_path):
+    """A compressed table looks small enough to send, and as small once its texts are taken apart into grams."""
+    spark.range(2000).select(F.col("id").alias("threat_id"), F.lit("CVE").alias("cve_id"), F.lit(1.0).alias("cvss_v3_score"),
+                             F.lit("flaw in nginx server").alias("description"),
+                             F.array(F.lit("a:b:c:d:nginx")).alias("cpe_matches")).write.parquet(str(tmp_path / "t"))
+    threats = spark.read.parquet(str(tmp_path / "t"))
+    services = spark.range(50).selectExpr("id AS service_id", "'nginx' AS product", "'nginx/1.10' AS version")
+    found = vuln.match_products(vuln.outdated_services(services), threats, 10)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert found.count() == 10
