@@ -524,3 +524,22 @@ def test_texts_are_never_sent_whole_when_products_meet_them(spark, tmp_path):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert found.count() == 10
+
+
+def test_a_hot_product_is_spread_over_cells(spark):
+    """All pairs of one product, and of others beside it, without one task for the product."""
+    services = spark.range(600).select(
+        F.col("id").alias("asset_id"), F.when(F.col("id") % 50 == 0, "mysql").otherwise("nginx").alias("product"),
+        F.lit("nginx/1.10 MySQL 5.5").alias("version"), F.create_map(F.lit("a"), F.col("id")).alias("extra"))
+    threats = spark.range(300).select(
+        F.col("id").alias("threat_id"), F.lit("c").alias("cve_id"), F.lit(1.0).alias("cvss_v3_score"),
+        F.when(F.col("id") % 3 == 0, "mysql").otherwise("an nginx flaw").alias("description"),
+        F.lit(None).cast("array<string>").alias("cpe_matches"))
+    found = vuln.correlate(services, threats, None)
+    rows = found.select("asset_id", "threat_id").collect()
+    assert len(rows) == len(set(rows)) == 588 * 200 + 12 * 100
+    assert all((r.asset_id % 50 == 0) == (r.threat_id % 3 == 0) for r in rows)
+    left = services.select("asset_id", F.substring("product", 99, 9).alias("key"))
+    right = threats.select("threat_id", F.substring("description", 99, 9).alias("key"))
+    tasks = vuln.join_in_cells(left, right, "key", 30).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 180000 and max(r["count"] for r in tasks) < 60000
