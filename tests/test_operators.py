@@ -543,3 +543,29 @@ def test_a_hot_product_is_spread_over_cells(spark):
     right = threats.select("threat_id", F.substring("description", 99, 9).alias("key"))
     tasks = vuln.join_in_cells(left, right, "key", 30).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in tasks) == 180000 and max(r["count"] for r in tasks) < 60000
+
+
+def test_texts_become_files_and_a_listing_by_tasks(spark, tmp_path):
+    """Null and repeated keys' texts, many batches, and folders that do not grow with the files."""
+    from palisade.sources import files
+
+    rows = [(i, None if i % 7 == 0 else "é" * (i % 5)) for i in range(3000)] + [(5, "again"), (6, "x\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    root = f"file://{tmp_path}/made"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        files.write_texts(df, "doc_id", "text", root, folders=16)
+        files.write_texts(df, "doc_id", "text", root, folders=16)  # as a repeated task would
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    want = {}
+    for k, text in rows:
+        want.setdefault(k, []).append((text or "").encode() + b"\n")
+    listing = files.list_texts(spark, root, folders=16).collect()
+    assert len(listing) == 3000 and len(list((tmp_path / "made").iterdir())) <= 16
+    for r in listing:
+        path = r.path.removeprefix("file://")
+        content = open(path, "rb").read()
+        parts = want[int(path.rsplit("/", 1)[1].removesuffix(".txt"))]
+        assert r.length == len(content) and content in {b"".join(parts), b"".join(parts[::-1])}
+    assert files.list_texts(spark, f"file://{tmp_path}/none").count() == 0
