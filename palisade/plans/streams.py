@@ -156,7 +156,7 @@ def _(t):
     table = BucketTable(t.spark, scratch_dir(t.spark, "st4"), jobs.THREATS, ["cve_id"], 16)
     table.create(stored_threats(t))
     for run, lot in enumerate((0, 1, 0, 2)):
-        land_pages(t, nvd_feed(t).filter(F.col("threat_id") % 3 == lot), "threat_id", "st4-in", f"{folder}/lot{run}")
+        land_pages(t, nvd_feed(t).filter(F.col("threat_id") % 3 == lot), "st4-in", f"{folder}/lot{run}")
         jobs.ingest_feed(t.spark, folder, table, log, F.to_timestamp(F.lit("2024-01-31 00:00:00"))).awaitTermination()
     return table.read().select("cve_id", "title", "description", "severity", "source")
 
