@@ -49,3 +49,13 @@ def list_objects(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and time of every file; contents are never opened."""
     return read_files(spark, path).select(
         F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+
+
+def list_part_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Objects stored in parts, as uploads of many parts are: a folder of part files is one object.
+
+    (key, size, last_modified, parts); no task has to write or read an object whole.
+    """
+    parts = list_objects(spark, path)
+    return parts.groupBy(F.regexp_extract("key", r"(?s)^(.*)/[^/]*$", 1).alias("key")).agg(
+        F.sum("size").alias("size"), F.max("last_modified").alias("last_modified"), F.count("*").alias("parts"))

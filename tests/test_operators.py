@@ -569,3 +569,24 @@ def test_texts_become_files_and_a_listing_by_tasks(spark, tmp_path):
         parts = want[int(path.rsplit("/", 1)[1].removesuffix(".txt"))]
         assert r.length == len(content) and content in {b"".join(parts), b"".join(parts[::-1])}
     assert files.list_texts(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_feed_records_are_made_by_the_tasks_of_their_pages(spark, tables):
+    """One scan task must not make the records of all pages, which are far larger than its rows."""
+    from palisade.plans import feeds as plans
+
+    made = plans.nvd_feed(tables)
+    pages = {r.page for r in made.select("page").distinct().collect()}
+    tasks = made.select("page", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == len(pages) and made.rdd.getNumPartitions() >= 32
+    path = plans.land_pages(tables, made, "pages")
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").collect()
+    assert len(stored) == len(pages) and all(r.path.endswith(".gz") for r in stored)
+
+
+def test_an_object_of_many_parts_is_listed_once(spark, tmp_path):
+    rows = spark.range(0, 1000, numPartitions=7).select(
+        F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"), F.lit("abc").alias("text"))
+    rows.write.partitionBy("lang").text(str(tmp_path / "o"))
+    got = {r.key.rsplit("/", 1)[1]: (r.size, r.parts) for r in datasets.list_part_objects(spark, str(tmp_path / "o")).collect()}
+    assert got == {"lang=de": (334 * 4, 7), "lang=en": (666 * 4, 7)}
