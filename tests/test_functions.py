@@ -113,3 +113,16 @@ def test_score_inversion(spark):
     rows = spark.createDataFrame([(-0.7,), (-0.1,), (0.0,), (0.9,)], "d double").select(
         text.invert_score(F.col("d")).alias("s")).collect()
     assert [round(r.s, 6) for r in rows] == [1.0, 0.6, 0.5, 0.0] and not any(math.isnan(r.s) for r in rows)
+
+
+def test_nfkc_of_every_character_goes_to_python_only_if_it_is_not_ascii(spark):
+    import unicodedata
+
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(map(chr, points[i:i + 50])) for i in range(0, len(points), 50)] + ["", "plain", None, "é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    for r in df.select("s", text.nfkc("s").alias("n")).collect():
+        assert r.n == (None if r.s is None else unicodedata.normalize("NFKC", r.s))
+    # a text that is plain reaches Python as a null
+    plan = df.select(text.nfkc("s").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "octet_length" in plan
