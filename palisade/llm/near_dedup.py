@@ -39,8 +39,10 @@ BINS = BANDS * ROWS
 SLICE = 512
 #: Columns of the matrices that a tile multiplies.
 _COLUMNS = 8192
-#: Words whose hash a task keeps at hand.
-WORD_CACHE = 500_000
+#: Words whose hash a task keeps at hand, about 20 MB.
+WORD_CACHE = 100_000
+#: Texts that are Python objects at a time.
+FEW = 256
 _PICKS, _FIRST_PICKS = 512, 16
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -122,10 +124,17 @@ def _bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FEW):
+            yield batch.slice(at, FEW)
+
+
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in _pieces(batches):
             n, digests, keys = [], [], []
             for text in _bytes(batch.column("text")):
                 values = shingles(text, width, hashes)
@@ -179,7 +188,7 @@ def _confirm(width: int, percent: int):
             far = np.flatnonzero(least != np.arange(len(least)))
             return names[far].tolist(), names[least[far]].tolist()
 
-        for batch in batches:
+        for batch in _pieces(batches):
             u, v = [], []
             columns = [batch.column(c).to_pylist() for c in ("hub", "i", "j", "member")]
             for hub, i, j, member, text in zip(*columns, _bytes(batch.column("text"))):

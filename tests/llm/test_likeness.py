@@ -185,3 +185,18 @@ def test_stars_over_several_slices(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.digest_columns(near_dedup.near_duplicates(
         spark.createDataFrame(rows, "doc_id long, text string"), 4)).collect()}
     assert got == {doc: x[1] for (doc, _), x in zip(rows, brute.components(rows, 4))}
+
+
+def test_texts_of_a_batch_become_objects_few_at_a_time():
+    """A batch has as many rows as the session allows; a task must not hold all its texts and keys twice."""
+    import pyarrow as pa
+
+    from palisade.llm import near_dedup as nd
+
+    n = 3 * nd.FEW + 5
+    batch = pa.RecordBatch.from_pydict({"row": list(range(n)), "id": list(range(n)),
+                                        "text": [None if i % 50 == 0 else f"a b c d word{i}" for i in range(n)]})
+    made = list(nd._sketches(4)(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in made) <= nd.FEW
+    assert [r for b in made for r in b.column(0).to_pylist()] == list(range(n))
+    assert [k for b in made for k in b.column(2).to_pylist()] == [0 if i % 50 == 0 else 2 for i in range(n)]
