@@ -144,7 +144,7 @@ def prepare_events(events: DataFrame, window_seconds: int, keep: list[str] = ())
     ).withColumn("window_start", F.floor(F.col("at") / (window_seconds * 1000000)) * window_seconds)
 
 
-def _slice_stats(rows: DataFrame, slice_micros: int) -> DataFrame:
+def slice_stats(rows: DataFrame, slice_micros: int) -> DataFrame:
     """Counts, sums and gap squares of each (pair, window, time slice).
 
     The time order is only needed inside a slice, so a busy pair is spread over
@@ -225,7 +225,7 @@ def window_features(events: DataFrame, rules: DataFrame | None = None, window_se
     zero.
     """
     rows = prepare_events(events, window_seconds)
-    slices = _slice_stats(rows, int(slice_seconds * 1000000))
+    slices = slice_stats(rows, int(slice_seconds * 1000000))
     return combine_windows(slices, value_counts(rows, PAIR + ["window_start"]), rules, window_seconds)
 
 
@@ -237,11 +237,15 @@ def combine_windows(slices: DataFrame, counts: DataFrame, rules: DataFrame | Non
     return finish_windows(_window_stats(slices).join(_variety(counts, ports), PAIR + ["window_start"]), window_seconds)
 
 
-def finish_windows(windows: DataFrame, window_seconds: int) -> DataFrame:
-    """Features of windows from their sums and variety, all windows of a time being among the rows."""
+def finish_windows(windows: DataFrame, window_seconds: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Features of windows from their sums and variety, all windows of a time being among the rows.
+
+    ``sizes`` may give the events ``n`` of the windows at less cost than ``windows``, for the opposite directions.
+    """
     keys = PAIR + ["window_start"]
-    back = windows.select("organization_id", F.col("destination_ip").alias("source_ip"),
-                          F.col("source_ip").alias("destination_ip"), "window_start", F.col("n").alias("back"))
+    back = (windows if sizes is None else sizes).select(
+        "organization_id", F.col("destination_ip").alias("source_ip"), F.col("source_ip").alias("destination_ip"),
+        "window_start", F.col("n").alias("back"))
     joined = windows.join(back, keys, "left")
     n, seconds = F.col("n"), F.lit(float(window_seconds))
     rate = n / seconds

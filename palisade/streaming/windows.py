@@ -1,22 +1,23 @@
 """Windows of an event stream, each emitted once when the watermark closes it.
 
-Both jobs chain aggregates: the first keeps short slices or panes, whose distinct timestamps give the gaps between
-events whatever the order of arrival; the second merges the summaries of a window, (first, last, number, sum of
-squared gaps) in time order, as the watermark passes it. No table of earlier windows is read.
+Features: the state is the distinct events of the open windows; what the watermark closes leaves it and is summed up by
+the batch, in short slices of a busy pair. Flood watch: a chain of two aggregates, the first of panes, whose distinct
+timestamps give the gaps between events whatever the order of arrival; the second merges the summaries of a window,
+(first, last, number, sum of squared gaps) in time order, as the watermark passes it. No table of earlier windows is read.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from palisade.operators import detectors, features
 from palisade.operators.allowlist import destination_ports, port_allowed
 from palisade.operators.features import MICROS, NO_PORT, PAIR
 from palisade.operators.forest import Forest, apply_forest
-from palisade.streaming.jobs import event_counts, event_slices, timed
+from palisade.streaming.jobs import timed
 
 SUMS = ["n", "bytes", "payload", "bytes_sq", "tcp", "udp", "icmp", "failed", "syn", "high"]
 EXACT = "decimal(27,0)"
@@ -48,32 +49,42 @@ def interval_deviation(n: Column, first: Column, last: Column, gap_sq: Column) -
 
 # --- features -------------------------------------------------------------------------------
 
-def closed_windows(stream: DataFrame, window_seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
-    """The sums and the variety of ports and payloads of every window, once the watermark has passed it."""
-    keys = ["window", *PAIR, "window_start"]
-    slices = event_slices(stream, window_seconds, 1, watermark, keep=["window"])
-    counts = event_counts(stream, window_seconds, watermark, keep=["window"])
+def closed_events(stream: DataFrame, window_seconds: int = 300, watermark: str = "10 minutes") -> DataFrame:
+    """The events of every window once the watermark has passed it, equal ones as one row with their number ``m``.
+
+    All that a window needs is kept in one aggregate of fixed width, so an event costs one row of state at most.
+    """
+    rows = features.prepare_events(timed(stream, watermark), window_seconds, keep=["ts"])
+    values = [c for c in rows.columns if c not in ("ts", "window_start")]
+    return rows.groupBy(F.window("ts", f"{window_seconds} seconds"), *values).agg(F.count("*").alias("m")).select(
+        F.unix_seconds("window.start").alias("window_start"), *values, "m")
+
+
+def closed_features(closed: DataFrame, rules: DataFrame | None, window_seconds: int = 300) -> DataFrame:
+    """Features of the windows that one batch has closed; windows of the same time close together.
+
+    Slices and value counts meet in one shuffle. A count has no slice and comes before the slices of its window.
+    """
+    keys = [*PAIR, "window_start"]
+    events = closed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m", "copy")
+    slices, counts = features.slice_stats(events, 1000000), features.value_counts(events, keys)
+    payload, port, refused = F.col("kind") == "p", F.col("kind") == "d", F.lit(False)
+    if rules is not None:
+        target = ["organization_id", "destination_ip"]
+        counts = counts.join(destination_ports(closed.select(*target).distinct(), rules), target, "left")
+        refused = port & ~port_allowed(F.when(F.col("value") != NO_PORT, F.col("value")), F.col("ports"))
+    counts = counts.select(*keys, "kind", "value", "m", refused.alias("refused"))
     both = slices.unionByName(counts, allowMissingColumns=True)
-    payload, port = F.col("kind") == "p", F.col("kind") == "d"
+    jump = (F.col("first_at") - F.lag("last_at").over(Window.partitionBy(*keys).orderBy("slice"))).cast(MICROS)
     total = F.sum(F.when(payload, F.col("m")))
-    merged = both.groupBy(*keys).agg(
+    merged = both.withColumn("jump", jump).groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in SUMS], F.max("odd_port").alias("odd_port"),
-        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("gap_sq").alias("inner_sq"),
-        F.sort_array(F.collect_list(F.when(F.col("first_at").isNotNull(), F.struct("first_at", "last_at")))).alias("edges"),
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
+        F.sum(F.col("gap_sq") + F.coalesce(F.col("jump") * F.col("jump"), F.lit(0))).alias("gap_sq"),
         F.count_if(port & (F.col("value") != NO_PORT)).alias("dst_ports"), F.count_if(F.col("kind") == "s").alias("src_ports"),
-        F.collect_set(F.when(port, F.col("value"))).alias("port_values"),
+        F.max(F.when(F.col("refused"), 1.0).otherwise(0.0)).alias("not_allowed"),
         (F.log2(total) - F.sum(F.when(payload, F.col("m") * F.log2("m"))) / total).alias("entropy"))
-    return merged.withColumn("gap_sq", F.col("inner_sq") + jump_squares("edges")).drop("inner_sq", "edges")
-
-
-def closed_features(closed: DataFrame, rules: DataFrame | None, window_seconds: int = 300) -> DataFrame:
-    """Features of the windows that one batch has closed; windows of the same time close together."""
-    refused = F.lit(False)
-    if rules is not None:
-        keys = ["organization_id", "destination_ip"]
-        closed = closed.join(destination_ports(closed.select(*keys).distinct(), rules), keys, "left")
-        refused = F.exists("port_values", lambda p: ~port_allowed(F.when(p != NO_PORT, p), F.col("ports")))
-    return features.finish_windows(closed.withColumn("not_allowed", refused.cast("double")), window_seconds)
+    return features.finish_windows(merged, window_seconds, closed.groupBy(*keys).agg(F.sum("m").alias("n")))
 
 
 def emit_windows(stream: DataFrame, path: str, checkpoint: str, rules: DataFrame | None = None, window_seconds: int = 300,
@@ -85,7 +96,7 @@ def emit_windows(stream: DataFrame, path: str, checkpoint: str, rules: DataFrame
     replaces its folder; a batch that closes nothing writes nothing.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # destinations, opposite direction and sums are read from it
+        batch = batch.persist()  # destinations, opposite direction, slices and counts are read from it
         if not batch.isEmpty():
             rows = closed_features(batch, rules, window_seconds)
             if forest:
@@ -94,7 +105,7 @@ def emit_windows(stream: DataFrame, path: str, checkpoint: str, rules: DataFrame
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()
 
-    return (closed_windows(stream, window_seconds, watermark).writeStream.outputMode("append").foreachBatch(handle)
+    return (closed_events(stream, window_seconds, watermark).writeStream.outputMode("append").foreachBatch(handle)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -144,6 +144,22 @@ def test_each_closed_window_is_emitted_once_and_equals_the_batch(spark, tmp_path
     assert rows_of(got.select(*keys, *rounded)) == rows_of(want.select(*keys, *rounded))
 
 
+def test_an_event_costs_one_row_of_state(spark, tmp_path):
+    """Equal events share their row, and come back as many; a window without a source is kept."""
+    rows = [(1, None if k % 4 == 0 else "a", "b", START + dt.timedelta(milliseconds=700 * (k // 2)), 10.0 * (k // 2), 6, False, k // 2, 1, False)
+            for k in range(80)]
+    end = [(9, "z", "z", START + dt.timedelta(days=1), 1.0, 6, False, 1, 1, False)]
+    held = []
+    for part in (rows, end):
+        q = windows.emit_windows(stream_of(spark, tmp_path / "in", part), str(tmp_path / "out"), str(tmp_path / "log"))
+        q.awaitTermination()
+        held += [sum(op.numRowsTotal for op in p.stateOperators) for p in q.recentProgress]
+    assert held[0] <= len(set(rows)) and held[-1] == 1
+    got = {r.source_ip: (r.connection_count, r.unique_dst_ports) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    ports = {source: [r[7] for r in rows if r[1] == source] for source in (None, "a")}
+    assert got == {source: (len(v), len(set(v))) for source, v in ports.items()}
+
+
 @pytest.mark.parametrize("size,slide,pane", [(10, 5, None), (60, 20, 10), (5, 5, 1)])
 def test_flood_windows_equal_the_batch_rules(spark, tmp_path, size, slide, pane):
     """Even and uneven gaps, equal timestamps and arrival out of order; the watch sees what the rules see."""
