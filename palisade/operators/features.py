@@ -225,16 +225,12 @@ def window_features(events: DataFrame, rules: DataFrame | None = None, window_se
     zero.
     """
     rows = prepare_events(events, window_seconds)
-    slices = slice_stats(rows, int(slice_seconds * 1000000))
-    return combine_windows(slices, value_counts(rows, PAIR + ["window_start"]), rules, window_seconds)
-
-
-def combine_windows(slices: DataFrame, counts: DataFrame, rules: DataFrame | None, window_seconds: int) -> DataFrame:
-    """Slice sums and value counts to the features of the windows both have. The destinations to check are those of the counts."""
-    ports = None
+    keys, ports = PAIR + ["window_start"], None
     if rules is not None:
-        ports = destination_ports(counts.filter("kind = 'd'").select("organization_id", "destination_ip").distinct(), rules)
-    return finish_windows(_window_stats(slices).join(_variety(counts, ports), PAIR + ["window_start"]), window_seconds)
+        ports = destination_ports(rows.select("organization_id", "destination_ip").distinct(), rules)
+    slices = slice_stats(rows, int(slice_seconds * 1000000))
+    windows = _window_stats(slices).join(_variety(value_counts(rows, keys), ports), keys)
+    return finish_windows(windows, window_seconds, rows.groupBy(*keys).agg(F.count("*").alias("n")))
 
 
 def finish_windows(windows: DataFrame, window_seconds: int, sizes: DataFrame | None = None) -> DataFrame:

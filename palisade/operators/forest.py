@@ -37,6 +37,7 @@ EULER = 0.5772156649
 GLOBAL = "global"
 HASH_RANGE = 1 << 31
 SLICE_ROWS = 50_000  # rows that meet the trees of their model in one task, more for large trees
+BLOCK_ROWS = 4096  # rows that walk down a tree together
 NODES_PER_ROW = 5  # nodes that a slice may bring for each of its rows
 SPREAD = 0x9E3779B97F4A7C15  # spreads tree numbers over the key bits
 NODE_SCHEMA = ("model_key string, tree_id int, node_id int, feature int, threshold double, "
@@ -258,27 +259,43 @@ def _arrays(part: dict[str, np.ndarray]) -> dict:
     """Node columns of one tree, ordered by node, for walking rows down."""
     inner = part["feature"] >= 0
     own = np.arange(len(inner))
+    # the largest single at most the threshold: singles lie above both or neither
+    exact = np.where(inner, part["threshold"], np.inf)
+    cut = exact.astype(np.float32)
     return {
         # a leaf sends every row back to itself, so a fixed number of steps needs no masks
-        "feature": np.where(inner, part["feature"], 0).astype(np.int32),
-        "threshold": np.where(inner, part["threshold"], np.inf),
+        "feature": np.where(inner, part["feature"], 0).astype(np.intp),
+        "threshold": np.where(cut > exact, np.nextafter(cut, np.float32(-np.inf)), cut),
         "children": np.stack([np.where(inner, part["left_id"], own), np.where(inner, part["right_id"], own)],
-                             1).astype(np.int32).ravel(),
+                             1).astype(np.intp).ravel(),
         "path": part["depth"] + average_path(part["size"]), "steps": int(part["depth"].max()), "rows": int(part["size"][0]),
     }
 
 
 def mean_path(x: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """Average path length of every row over the trees."""
-    flat, width = np.ascontiguousarray(x).ravel(), x.shape[1]
-    base = np.arange(len(x), dtype=np.int64) * width
+    """Average path length of every row, in single precision, over the trees: blocks of rows that stay in the cache."""
+    x = np.ascontiguousarray(x, dtype=np.float32)
     total = np.zeros(len(x))
-    for tree in trees:
-        at = np.zeros(len(x), dtype=np.int32)
-        for _ in range(tree["steps"]):
-            right = flat[base + tree["feature"][at]] > tree["threshold"][at]
-            at = tree["children"][2 * at + right]
-        total += tree["path"][at]
+    for start in range(0, len(x), BLOCK_ROWS):
+        block = x[start:start + BLOCK_ROWS]
+        flat, n = block.ravel(), len(block)
+        base = np.arange(n, dtype=np.intp) * x.shape[1]
+        at, place, path = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n)
+        value, cut, right = np.empty(n, np.float32), np.empty(n, np.float32), np.empty(n, bool)
+        for tree in trees:
+            at.fill(0)
+            for _ in range(tree["steps"]):
+                # every index is valid; "clip" lets the results go straight into the buffers
+                tree["feature"].take(at, out=place, mode="clip")
+                place += base
+                flat.take(place, out=value, mode="clip")
+                tree["threshold"].take(at, out=cut, mode="clip")
+                np.greater(value, cut, out=right)
+                at += at
+                at += right
+                tree["children"].take(at, out=place, mode="clip")
+                at, place = place, at
+            total[start:start + n] += tree["path"].take(at, out=path, mode="clip")
     return total / len(trees)
 
 
@@ -311,27 +328,33 @@ NODE_FIELDS = ("feature", "threshold", "left_id", "right_id", "depth", "size")
 
 def raw_score(df: DataFrame, forest: Forest, group: str | None = None, name: str = "raw_score") -> DataFrame:
     """Add the negative score; null where a row's group has no model."""
-    return _scored_in_slices(df, forest, group, name).drop("__model_key") if group else _scored_in_place(df, forest, name)
+    return _scored_in_slices(df, forest, group, name).drop("__model_key") if group else _scored_in_place(df, {name: forest})
 
 
-def _scored_in_place(df: DataFrame, forest: Forest, name: str) -> DataFrame:
-    """Rows with the score of the single model: nothing is shuffled or counted."""
-    columns = [f"__x{i}" for i in range(len(forest.params.columns))]
-    shared = forest.trees()
+def _scored_in_place(df: DataFrame, forests: dict[str, Forest], keep: list[str] | None = None) -> DataFrame:
+    """Rows with the scores of single models, by the name of the score: nothing is shuffled or counted.
+
+    Python sees the columns of the models and those to ``keep``, by default all.
+    """
+    kept = df.columns if keep is None else keep
+    used = list(dict.fromkeys(c for f in forests.values() for c in f.params.columns))
+    models = [(f.trees(), [used.index(c) for c in f.params.columns]) for f in forests.values()]
+    names = [f"__score{i}" for i in range(len(models))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.full(batch.num_rows, np.nan)
-            if shared.value and batch.num_rows:
-                x = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns])
-                out = negative_score(np.nan_to_num(x), shared.value)
-            kept = batch.columns[:-len(columns)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64(), mask=np.isnan(out))],
-                                             [*batch.schema.names[:len(kept)], "__score"])
+            values = np.nan_to_num(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(kept):]]))
+            scores = []
+            for shared, places in models:
+                out = np.full(batch.num_rows, np.nan)
+                if shared.value and batch.num_rows:
+                    out = negative_score(values[:, places], shared.value)
+                scores.append(pa.array(out, pa.float64(), mask=np.isnan(out)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *scores], [*batch.schema.names[:len(kept)], *names])
 
-    rows = df.select(*df.columns, *[F.col(c).cast("float").alias(x) for x, c in zip(columns, forest.params.columns)])
-    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType())])
-    return rows.mapInArrow(score, schema).withColumnRenamed("__score", name)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(c).cast("float").alias(f"__x{i}") for i, c in enumerate(used)])
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, T.DoubleType()) for n in names]])
+    return rows.mapInArrow(score, schema).withColumnsRenamed(dict(zip(names, forests)))
 
 
 def _scored_in_slices(df: DataFrame, forest: Forest, group: str, name: str) -> DataFrame:
@@ -370,7 +393,7 @@ def apply_forest(df: DataFrame, forest: Forest, group: str | None = None) -> Dat
         rows = _scored_in_slices(df, forest, group, "raw_score").join(offsets, "__model_key", "left").drop("__model_key")
     else:
         offset = forest.offsets.filter(F.col("model_key") == GLOBAL).first()
-        rows = _scored_in_place(df, forest, "raw_score").withColumn("__offset", F.lit(offset and offset["offset"]).cast("double"))
+        rows = _scored_in_place(df, {"raw_score": forest}).withColumn("__offset", F.lit(offset and offset["offset"]).cast("double"))
     distance = F.col("raw_score") - F.col("__offset")
     return (rows.withColumn("distance", distance).withColumn("is_anomaly", F.coalesce(F.col("distance") < 0, F.lit(False)))
             .withColumn("anomaly_score", invert_score(F.col("distance"))).drop("raw_score", "__offset"))
@@ -394,7 +417,7 @@ def fit_forest(train: DataFrame, key: list[str], params: ForestParams = ForestPa
     forest = Forest(params, nodes, scaler=stats.filter(~small), rejected=stats.filter(small).select(
         "model_key", "rows", F.format_string(f"%d rows, needs {params.min_rows}", "rows").alias("reason")))
     scored = (_scored_in_slices(train, forest, group, "raw_score") if group else
-              _scored_in_place(train, forest, "raw_score").withColumn("__model_key", F.lit(GLOBAL)))
+              _scored_in_place(train, {"raw_score": forest}, keep=[]).withColumn("__model_key", F.lit(GLOBAL)))
     scores = scored.select(F.col("__model_key").alias("model_key"), "raw_score")
     forest.offsets = _stored(group_quantiles(scores, "model_key", "raw_score", params.contamination, "offset"), "offsets")
     return forest, nodes
@@ -427,6 +450,6 @@ def load_model(spark: SparkSession, path: str) -> Forest:
 def round_trip_equal(sample: DataFrame, forest: Forest, path: str) -> DataFrame:
     """Whether a stored model scores a sample as the one in memory; one row."""
     again = load_model(sample.sparkSession, path)
-    both = raw_score(raw_score(sample, forest), again, name="stored_score")
+    both = _scored_in_place(sample, {"raw_score": forest, "stored_score": again}, keep=[])
     return both.agg(F.count("*").alias("rows"),
                     F.count_if(~F.col("raw_score").eqNullSafe(F.col("stored_score"))).alias("different"))

@@ -221,3 +221,32 @@ def test_offsets_of_groups_equal_those_of_separate_fits(spark, points):
         scores.setdefault(str(r.org), []).append(r.raw_score)
     for r in forest.offsets.collect():
         assert r.offset == pytest.approx(np.quantile(scores[r.model_key], PARAMS.contamination), rel=1e-12)
+
+
+def test_a_stored_model_is_compared_in_one_pass_over_its_columns(spark, tmp_path):
+    """Python is entered once, with the columns of the model only."""
+    rows = spark.range(300).select(
+        "id", F.col("id").cast("string").alias("other"), F.rand(1).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    forest, nodes = iso.fit_forest(rows, ["id"], iso.ForestParams(trees=5, sample=64, min_rows=10, columns=("a", "b")))
+    iso.save_model(forest, nodes, str(tmp_path / "m"))
+    compared = iso.round_trip_equal(rows, forest, str(tmp_path / "m"))
+    plan = compared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "other" not in plan.split("MapInArrow")[1].split("Range")[0]
+    assert compared.first().asDict() == {"rows": 300, "different": 0}
+
+
+def test_paths_of_values_beside_a_threshold():
+    """The walk in single precision goes where a comparison with the exact threshold goes; more rows than a block has."""
+    rng = np.random.default_rng(3)
+    trees = [iso.grow_tree(rng.normal(size=(200, 3)).astype(np.float32), rng, 8) for _ in range(4)]
+    cuts = np.concatenate([t["threshold"][t["feature"] >= 0] for t in trees]).astype(np.float32)
+    near = np.concatenate([cuts, np.nextafter(cuts, np.float32(np.inf)), np.nextafter(cuts, np.float32(-np.inf)), [0, 1e30, -1e30]])
+    x = rng.choice(near, size=(iso.BLOCK_ROWS + 500, 3)).astype(np.float32)
+    at = np.zeros((len(trees), len(x)), int)
+    for i, t in enumerate(trees):
+        for _ in range(9):
+            feature = t["feature"][at[i]]
+            right = x[np.arange(len(x)), feature].astype(float) > t["threshold"][at[i]]
+            at[i] = np.where(feature < 0, at[i], np.where(right, t["right_id"][at[i]], t["left_id"][at[i]]))
+    want = sum(t["depth"][a] + iso.average_path(t["size"][a]) for t, a in zip(trees, at)) / len(trees)
+    assert np.allclose(iso.mean_path(x, [iso._arrays(t) for t in trees]), want, rtol=0, atol=1e-12)
