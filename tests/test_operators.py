@@ -545,6 +545,21 @@ def test_a_hot_product_is_spread_over_cells(spark):
     assert sum(r["count"] for r in tasks) == 180000 and max(r["count"] for r in tasks) < 60000
 
 
+def test_a_product_of_a_few_thousand_rows_is_spread_too(spark):
+    """Millions of pairs of one product, of fewer rows a side than went to one task whole, are many short tasks."""
+    rare = F.col("id") % 50 == 0
+    services = spark.range(3000).select(
+        F.col("id").alias("asset_id"), F.when(rare, "mysql").otherwise("nginx").alias("product"),
+        F.lit("nginx/1.10 MySQL 5.5").alias("version"))
+    threats = spark.range(3000).select(
+        F.col("id").alias("threat_id"), F.lit("c").alias("cve_id"), F.lit(1.0).alias("cvss_v3_score"),
+        F.when(rare, "mysql").otherwise("an nginx flaw").alias("description"),
+        F.lit(None).cast("array<string>").alias("cpe_matches"))
+    tasks = vuln.correlate(services, threats, None).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 2940 * 2940 + 60 * 60
+    assert max(r["count"] for r in tasks) < 5_000_000
+
+
 def test_texts_become_files_and_a_listing_by_tasks(spark, tmp_path):
     """Null and repeated keys' texts, many batches, and folders that do not grow with the files."""
     from palisade.sources import files
