@@ -560,6 +560,20 @@ def test_a_product_of_a_few_thousand_rows_is_spread_too(spark):
     assert max(r["count"] for r in tasks) < 5_000_000
 
 
+def test_all_threats_of_a_product_are_found(spark, tmp_path):
+    """A product with more than ten threats keeps them all, in both queries of the correlation."""
+    from palisade.plans.catalog import CATALOG
+
+    spark.range(60).selectExpr("id AS p_partkey", "concat('part', id) AS p_name", "'STEEL' AS p_type", "1 AS p_size").write.parquet(
+        str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(6, 3), (36, 4), (1, 5), (21, 5)], "o_orderkey long, o_custkey long").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    want = sorted([(a, s, t) for a, s in ((3, 6), (4, 36)) for t in range(1, 60, 5)] + [(5, 1, 51), (5, 1, 56)])
+    for name in ("jn6_service_correlation", "jn6_service_correlation_all"):
+        found = CATALOG[name](spark, str(tmp_path)).collect()
+        assert sorted((r.asset_id, r.service_id, r.threat_id) for r in found) == want, name
+
+
 def test_texts_become_files_and_a_listing_by_tasks(spark, tmp_path):
     """Null and repeated keys' texts, many batches, and folders that do not grow with the files."""
     from palisade.sources import files
