@@ -574,6 +574,18 @@ def test_all_threats_of_a_product_are_found(spark, tmp_path):
         assert sorted((r.asset_id, r.service_id, r.threat_id) for r in found) == want, name
 
 
+def test_all_criteria_and_references_of_an_advisory_are_read(spark, tmp_path):
+    """An advisory with more than 100 criteria and 20 references keeps them all, in both queries."""
+    from palisade.plans.catalog import CATALOG
+
+    spark.createDataFrame([(1, 60), (2, 41), (3, 3)], "p_partkey long, p_size int").selectExpr(
+        "*", "concat('part', p_partkey) AS p_name", "'STEEL' AS p_type").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("src1_nvd_records", "src1_nvd_records_all"):
+        found = CATALOG[name](spark, str(tmp_path)).collect()
+        assert sorted((r.cve_id[-1], r.cpes, r.exploit_refs) for r in found) == [
+            ("1", 150, 40), ("2", 103, 28), ("3", 8, 2)], name
+
+
 def test_texts_become_files_and_a_listing_by_tasks(spark, tmp_path):
     """Null and repeated keys' texts, many batches, and folders that do not grow with the files."""
     from palisade.sources import files
